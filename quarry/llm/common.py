@@ -59,7 +59,8 @@ def slots_in_order(df: DataFrame, group: str, order: list[str], out: str, tag: s
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(n, *order, "_row")
+    # written first: finding the ranges reads the rows once more
+    dealt = materialize(df.withColumn("_row", F.monotonically_increasing_id()), f"{tag}-rows").repartitionByRange(n, *order, "_row")
     dealt = materialize(dealt.withColumn("_range", F.spark_partition_id()), tag)
     counts = dealt.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,11 +10,12 @@ whole by the library. Units that the memo lacks are encoded by the library too.
 from __future__ import annotations
 
 import os
+import unicodedata
 from array import array
 from functools import lru_cache
 
-#: Entries of each of a memo's two generations: about 100 MB each in a worker.
-MEMO = 300_000
+#: Entries of the memo of units, and of each generation of pre-tokens: about 100 MB each in a worker.
+MEMO = 500_000
 #: Punctuation that no contraction and no special token holds.
 TAIL = ".,;:!?#%&$*()[]{}+-=/@^~"
 _kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -34,16 +35,30 @@ def load(path: str):
     return made
 
 
+class Units(dict):
+    """unit -> value, made when it is first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, unit: str):
+        value = self[unit] = self.make(unit)
+        return value
+
+
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes, or their numbers.
 
     keeps_blanks: whether the vocabulary's pre-tokens carry the blank before them (byte-level) or drop it (word ends).
+    Units are cheap to make again from their pre-tokens, so their memo is emptied when full; the pre-tokens, which
+    cost the merges, are kept for another generation.
     """
 
     def __init__(self, path: str, keeps_blanks: bool, counts: bool = False):
         self.tokenizer = load(path)
         self.keeps_blanks, self.counts = keeps_blanks, counts
-        self.model, self.memo, self.old, self.heads = self.tokenizer.model, {}, {}, {}
+        self.model, self.units, self.heads, self.old = self.tokenizer.model, Units(self._unit), {}, {}
         self.feed = self._whole(["\n"])[0] if keeps_blanks else None
 
     def _value(self, ids):
@@ -52,42 +67,52 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list:
         return [self._value(x.ids) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> dict:
-        """Values of units that the memo lacks. A unit after a line feed begins with it and holds its id too."""
-        if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
-        old = self.old
-        got = {x: old[x] for x in units if x in old}
-        new = [x for x in dict.fromkeys(units) if x not in got]
-        if self.keeps_blanks:
-            got.update(zip(new, [self.feed + self._unit(x[1:], "") if x[0] == "\n" else self._unit(x, " ") for x in new], strict=True))
-        else:
-            got.update(zip(new, [self._unit(x, "") for x in new], strict=True))
-        self.memo.update(got)
-        return got
-
     def _pretoken(self, text: str) -> bytes | int:
         """One pre-token through the library's model alone; its splitting and alignments cost more than the merges."""
         if not text.isascii() or text[0] == " ":
             text = text.encode().decode("latin-1").translate(LETTERS)
         return self._value([x.id for x in self.model.tokenize(text)])
 
-    def _head(self, head: str) -> bytes | int:
-        found = self.heads.get(head)
+    def _made(self, pretoken: str) -> bytes | int:
+        """A pre-token that the memo's newer generation lacks."""
+        if len(self.heads) >= MEMO:
+            self.old, self.heads = self.heads, {}
+        found = self.old.get(pretoken)
         if found is None:
-            if len(self.heads) >= MEMO:
-                self.heads.clear()
-            found = self.heads[head] = self._pretoken(head)
+            found = self._pretoken(pretoken)
+        self.heads[pretoken] = found
         return found
 
-    def _unit(self, unit: str, blank: str) -> bytes | int:
-        """Letters and a tail of plain punctuation are one pre-token each; any other unit goes to the whole pipeline."""
-        plain = unit if self.keeps_blanks else unit.lower() if unit.isascii() else self.tokenizer.normalizer.normalize_str(unit)
-        head = plain.rstrip(TAIL)
-        if not head.isalpha():
-            return self._whole([blank + unit])[0]
-        value, tail = self._head(blank + head), plain[len(head) :]
-        return value + self._head(tail) if tail else value
+    def _unit(self, unit: str) -> bytes | int:
+        """Letters and a tail of plain punctuation are one pre-token each, and so is such a tail alone; any other unit goes to the whole pipeline.
+
+        A unit after a line feed begins with it and holds its id too; any other has a blank before it, if blanks are kept.
+        """
+        before = None
+        if self.keeps_blanks:
+            if unit[0] == "\n":
+                before, unit = self.feed, unit[1:]
+            else:
+                unit = " " + unit
+        head = unit.rstrip(TAIL)
+        value = self.heads.get(head)
+        if value is None:
+            if head.lstrip(" ").isalpha():
+                value = self._made(head)
+            elif head in ("", " "):
+                head, value = unit, self._made(unit)
+            else:
+                head, value = unit, self._whole([unit])[0]
+        if len(head) < len(unit):
+            tail = unit[len(head) :]
+            more = self.heads.get(tail)
+            value = value + (self._made(tail) if more is None else more)
+        return value if before is None else before + value
+
+    @staticmethod
+    def _folds(text: str) -> bool:
+        """Whether lower() is all that the vocabulary's normaliser does beside white space: it composes and lowers letter by letter."""
+        return text.isascii() or ("\u03a3" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", text.lower()))
 
     def __call__(self, texts: list[str]) -> list:
         """One value for each text: bytes of its ids, or with counts=True how many there are."""
@@ -99,13 +124,22 @@ class Encoder:
                 continue
             if self.keeps_blanks:
                 units = ("\n" + text.replace("\n", " \n")).split(" ")
+            elif "<|" in text or not self._folds(text):
+                out.append(self._whole([text])[0])
+                continue
             else:
-                units = text.replace("\n", " ").split(" ")
-            values = list(map(self.memo.get, units))
-            if None in values:
-                got = self._learn([x for x, v in zip(units, values, strict=True) if v is None])
-                values = [got[x] if v is None else v for x, v in zip(units, values, strict=True)]
+                units = text.lower().replace("\n", " ").split(" ")
             if self.keeps_blanks:  # the first unit has no line feed before it
-                values[0] = values[0] - self.feed if self.counts else values[0][len(self.feed) :]
-            out.append(join(values))
+                value = join(map(self.units.__getitem__, units))
+                out.append(value - self.feed if self.counts else value[len(self.feed) :])
+            else:
+                out.append(join(map(self.units.__getitem__, units)))
+            if len(self.units) > MEMO:
+                self.units.clear()
         return out
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, keeps_blanks: bool, counts: bool = False) -> Encoder:
+    """One for each vocabulary and use in a worker, so that its memo serves all of the worker's tasks."""
+    return Encoder(path, keeps_blanks, counts)

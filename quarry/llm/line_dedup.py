@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialize, pick
 
 #: Distinct sites that make a line boilerplate; lines shorter than this many characters are never taken for it.
-MIN_SITES, MIN_CHARS = 10, 15
+MIN_SITES, MIN_CHARS = 5, 15
 #: Sketches have 2 ** LG_K registers, an error of 1.04 / 64; within MARGIN of the threshold the count is made exact.
 LG_K, MARGIN = 12, 0.2
 
@@ -43,12 +43,14 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return materialize(kept, "lines-boilerplate")
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text", site: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text", site: str = "source", carry: tuple[str, ...] = (), most_lost: float | None = None) -> DataFrame:
     """doc_id, text without boilerplate lines, n_lines, n_removed, and the columns named in carry.
 
     A line is boilerplate if it stands on min_sites distinct sites or more, a null site counting as one. Its first
     occurrence stays, so nothing is lost from the corpus; the others go. Rows that repeat a document keep the
-    same lines. Null text stays null with no lines; an emptied text is "". Other columns are left out.
+    same lines. With most_lost, a document that would lose more than that share of its characters is left whole:
+    it is a copy of another page rather than a page with boilerplate, and near-duplicate removal, which compares
+    whole documents, is to judge it. Null text stays null with no lines; an emptied text is "". Other columns are left out.
     """
     base = pick(docs, doc_id=key, text=text, site=site, **{f"_c{i}": c for i, c in enumerate(carry)})
     base = base.withColumns({"doc_id": F.col("doc_id").cast("long"), "th": F.xxhash64("text"), "site": F.coalesce(F.col("site").cast("string"), F.lit("\x00null"))})
@@ -60,7 +62,11 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN
     split = F.split("text", "\n")
     stays = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
     rebuilt = F.array_join(F.transform(F.array(split), lambda x: F.transform(F.array_sort(stays), lambda p: x[p]))[0], "\n")
-    joined = base.join(hits, base["doc_id"].eqNullSafe(hits["_doc"]) & (base["th"] == hits["_th"]), "left")
+    gone = F.col("_gone")
+    if most_lost is not None:
+        lost = F.aggregate(F.transform(F.array(split), lambda x: F.transform("_gone", lambda p: F.char_length(x[p])))[0], F.lit(0), lambda a, n: a + n)
+        gone = F.when(lost <= F.lit(most_lost) * F.char_length("text"), F.col("_gone"))
+    joined = base.join(hits, base["doc_id"].eqNullSafe(hits["_doc"]) & (base["th"] == hits["_th"]), "left").withColumn("_gone", gone)
     return joined.select(
         "doc_id",
         F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rebuilt).alias("text"),

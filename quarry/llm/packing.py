@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, pick, slots_in_order
-from quarry.llm.encode import Encoder
+from quarry.llm.encode import encoder
 
 CAPACITY, NODES = 4096, 2_000
 Pattern = tuple[tuple[int, ...], int]  # lengths in descending order; how many sequences are so
@@ -231,12 +231,12 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPA
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, keeps_blanks)
+        encode = encoder(tokenizer, keeps_blanks)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows: list[tuple] = []
-                for doc, raw in zip(part.column("doc_id").to_pylist(), encoder(part.column("text").to_pylist()), strict=True):
+                for doc, raw in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
                     ids = raw + end
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[a : a + 4 * capacity]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, pick
-from quarry.llm.encode import Encoder, load
+from quarry.llm.encode import encoder, load
 
 #: Characters of a chunk's step and of its overlap with the one before.
 STEP, OVERLAP = 32_768, 512
@@ -52,7 +52,7 @@ def _encoder(tokenizer: str, keeps_blanks: bool, step: int, overlap: int):
         return len(words), head, tail
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Encoder(tokenizer, keeps_blanks, counts=True)
+        count = encoder(tokenizer, keeps_blanks, True)
         for batch in batches:
             text, chunk, chunks = (batch.column(x).to_pylist() for x in ("piece", "chunk", "chunks"))
             single = [i for i, n in enumerate(chunks) if n == 1]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import new_path, pick
-from quarry.llm.encode import Encoder
+from quarry.llm.encode import encoder
 
 MAGIC, BLOCK = b"QTOK1\n", 1 << 16
 FOOTER = struct.Struct("<QIQI6s")
@@ -159,7 +159,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int, b
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, ids, part, total, name = Encoder(tokenizer, keeps_blanks), None, [], None, 0, ""
+        encode, out, ids, part, total, name = encoder(tokenizer, keeps_blanks), None, [], None, 0, ""
         store, folder = fs.FileSystem.from_uri(path)
         for batch in batches:
             if not batch.num_rows:
@@ -171,7 +171,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int, b
                 file = store.open_output_stream(name)
                 out = Writer(file, bits)
             for at in range(0, batch.num_rows, 256):
-                for raw in encoder(batch.column("text").slice(at, 256).to_pylist()):
+                for raw in encode(batch.column("text").slice(at, 256).to_pylist()):
                     out.add(raw + end)
                     total += len(raw) // 4 + 1
             ids += batch.column("doc_id").to_pylist()

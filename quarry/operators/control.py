@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import GOLDEN, fnv1a_many, jump, mix64
+from quarry.operators.ordered import fold_sorted
 
 
 def jump_buckets(rows: DataFrame, buckets: int, key: str = "key") -> DataFrame:
@@ -65,18 +66,16 @@ def unexpired(keys: DataFrame, expired: DataFrame) -> DataFrame:
 
 
 def health(samples: DataFrame, alpha: float = 0.2, enter: float = 200.0, leave: float = 120.0) -> DataFrame:
-    """node, seq, ewma, probation after each sample of (node, seq, ms). Each node's samples are folded in order, in Arrow batches of its own."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        value, held, rows = None, False, []
-        for ms in pdf["ms"]:
-            value = ms if value is None else alpha * ms + (1 - alpha) * value
-            held = value >= leave if held else value > enter
-            rows.append((value, held))
-        return pdf[["node", "seq"]].assign(ewma=[r[0] for r in rows], probation=[r[1] for r in rows])
-
-    return samples.select("node", "seq", "ms").groupBy("node").applyInPandas(fold, "node string, seq long, ewma double, probation boolean")
+    """node, seq, ewma, probation after each sample of (node, seq, ms): a node goes on probation above enter and leaves it below leave."""
+
+    def step(state: dict, row: tuple) -> tuple:
+        node, seq, ms = row
+        value = alpha * ms + (1 - alpha) * state["value"] if state else ms
+        held = value >= leave if state.get("held") else value > enter
+        state.update(value=value, held=held)
+        return node, seq, value, held
+
+    return fold_sorted(samples, "node", "seq", dict, step, ["node", "seq", "ms"], "node string, seq long, ewma double, probation boolean")
 
 
 def elected(campaigns: DataFrame) -> DataFrame:

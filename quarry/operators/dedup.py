@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.hashing import fnv1a_many
+from quarry.functions.hashing import fnv1a_many, signed
 from quarry.functions.text import shingles
-from quarry.operators.graph import _cut
+from quarry.operators.ordered import shared_table
 
-THRESHOLD, BANDS = 3, 4
+THRESHOLD, BANDS = 3, 5
 
 
 def exact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,38 +40,48 @@ def fingerprints(docs: DataFrame, k: int = 3, key: str = "doc_id", text: str = "
     return docs.select(key, shingles(F.col(text), k).alias("grams")).mapInPandas(made, f"{key} long, fp long")
 
 
-def near_pairs(fps: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS, key: str = "doc_id") -> DataFrame:
-    """a < b, distance of all pairs within the threshold; exact while it is below the number of bands.
+def classes(fps: DataFrame, key: str = "doc_id") -> DataFrame:
+    """fp, first: each distinct fingerprint and its least document."""
+    return fps.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("copies"))
 
-    Equal fingerprints meet once as a class; only classes are compared, in buckets of one band's value.
+
+def near_pairs(found: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """a < b (first documents), f and g (their fingerprints), distance of all pairs of classes within the threshold.
+
+    Of `bands` bands of bits, any two such fingerprints agree on all but `threshold`, so they agree on some choice
+    of that many bands; each choice is a key of an equi-join. With five bands a key has 25 bits or more, so that
+    buckets stay small where single bands would not. Copies aren't paired: they are one class.
     """
-    width = 64 // bands
-    classes = fps.groupBy("fp").agg(F.collect_list(key).alias("ids"))
-    slim = _cut(classes, "classes")
-    parts = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i in range(bands)])
-    each = slim.select("fp", F.explode(parts).alias("x")).select("fp", "x.band", "x.value")
-    met = each.alias("l").join(each.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.fp") < F.col("r.fp")))
-    near = met.select(F.col("l.fp").alias("f"), F.col("r.fp").alias("g")).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= threshold).distinct()
-    between = near.join(slim.select(F.col("fp").alias("f"), F.col("ids").alias("x")), "f").join(slim.select(F.col("fp").alias("g"), F.col("ids").alias("y")), "g")
-    between = between.select(F.explode("x").alias("a"), "y", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("distance")).select("a", F.explode("y").alias("b"), "distance")
-    within = slim.where(F.size("ids") > 1).select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b"), F.lit(0).alias("distance")).where("a < b")
-    return between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").unionByName(within)
+    edges = [64 * i // bands for i in range(bands + 1)]
+    masks = [sum(1 << b for i in choice for b in range(edges[i], edges[i + 1])) for choice in combinations(range(bands), bands - threshold)]
+    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("value")) for i, m in enumerate(masks)])
+    each = found.select("fp", "first", F.explode(keys).alias("x")).select("fp", "first", "x.choice", "x.value")
+    met = each.alias("l").join(each.alias("r"), (F.col("l.choice") == F.col("r.choice")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.first") < F.col("r.first")))
+    distance = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp")))
+    return met.where(distance <= threshold).select(F.col("l.first").alias("a"), F.col("r.first").alias("b"), F.col("l.fp").alias("f"), F.col("r.fp").alias("g"), distance.cast("long").alias("distance")).distinct()
 
 
 def leaders(fps: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id") -> DataFrame:
     """key, leader: in the order of keys, a document joins the nearest leader before it (the lesser of equals) within the threshold, or leads.
 
-    A document leads if no leader is among its earlier neighbours. Rounds settle those whose earlier neighbours are
-    all settled or who have a settled leader there; as many are needed as the longest chain of neighbours.
+    Only first documents of classes can lead. One does if no leader is among its earlier neighbours; rounds settle
+    those whose earlier neighbours are all settled or who have a leader there, as many as the longest chain. Then
+    each document takes the nearest of its class's leaders that comes before it.
     """
-    pairs = _cut(near_pairs(fps, threshold, key=key), "near")
-    earlier = pairs.select(F.col("b").alias("node"), F.col("a").alias("before"), "distance")
-    state = _cut(fps.select(F.col(key).alias("node")).join(earlier.select("node").distinct(), "node", "left_anti").select("node", F.lit(True).alias("leads")), "state")
-    total = fps.count()
+    found = shared_table(classes(fps, key), "classes")
+    pairs = shared_table(near_pairs(found, threshold), "near")
+    earlier = pairs.select(F.col("b").alias("node"), F.col("a").alias("before"))
+    nodes = found.select(F.col("first").alias("node"))
+    state = shared_table(nodes.join(earlier.select("node").distinct(), "node", "left_anti").select("node", F.lit(True).alias("leads")), "state")
+    total = nodes.count()
     while state.count() < total:
-        open_ = fps.select(F.col(key).alias("node")).join(state, "node", "left_anti")
+        open_ = nodes.join(state, "node", "left_anti")
         known = earlier.join(open_, "node").join(state.select(F.col("node").alias("before"), "leads"), "before", "left")
         settled = known.groupBy("node").agg(F.coalesce(F.bool_or("leads"), F.lit(False)).alias("led"), F.bool_and(F.col("leads").isNotNull()).alias("all"))
-        state = _cut(state.unionByName(settled.where("led OR all").select("node", (~F.col("led")).alias("leads"))), "state")
-    led = earlier.join(state.where("leads").select(F.col("node").alias("before")), "before").groupBy("node").agg(F.min(F.struct("distance", "before")).alias("x"))
-    return state.join(led, "node", "left").select(F.col("node").alias(key), F.when(F.col("leads"), F.col("node")).otherwise(F.col("x.before")).alias("leader"))
+        state = shared_table(state.unionByName(settled.where("led OR all").select("node", (~F.col("led")).alias("leads"))), "state")
+    lead = state.where("leads").select(F.col("node").alias("leader"))
+    own = found.select("fp", F.col("first").alias("leader"), F.lit(0).cast("long").alias("distance"))
+    near = pairs.select(F.col("f").alias("fp"), F.col("b").alias("leader"), "distance").unionByName(pairs.select(F.col("g").alias("fp"), F.col("a").alias("leader"), "distance"))
+    choices = own.unionByName(near).join(lead, "leader")
+    met = fps.join(choices, "fp").where(F.col("leader") <= F.col(key))
+    return met.groupBy(key).agg(F.min(F.struct("distance", "leader")).alias("x")).select(key, "x.leader")

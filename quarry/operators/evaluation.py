@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.ordered import total_before
+
 
 def judged(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
     """ranked (query_id, doc_id, rank from 1) with each row's grade, 0 where none is given."""
@@ -54,10 +56,10 @@ def gate(report: DataFrame, baseline: dict[str, float], tolerance: float) -> Dat
 def nearest_rank(values: DataFrame, q: float, value: str = "x") -> DataFrame:
     """x at place floor(q (n - 1) + 0.5) of the sorted values; q outside [0, 1] is the nearer end, an empty table gives 0.
 
-    A value and its count are one row, so the running count is over distinct values.
+    A value and its count are one row; their running count is by range.
     """
     counts = values.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     place = int(min(max(q, 0.0), 1.0) * (total - 1) + 0.5) if total else 0
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value)))
-    return running.where(F.col("upto") > place).agg(F.coalesce(F.min(value), F.lit(0)).alias(value))
+    running = total_before(counts, [value], "n", "before")
+    return running.where(F.col("before") + F.col("n") > place).agg(F.coalesce(F.min(value), F.lit(0)).alias(value))

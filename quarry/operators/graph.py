@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, to end its lineage."""
-    spark: SparkSession = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/quarry-checkpoints"
-    path = f"{base}/{tag}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quarry.operators.ordered import shared_table, total_before
 
 
 def dense_vertices(edges: DataFrame) -> DataFrame:
-    """name, v: dense ids from 0 in the order of names. Vertices are few beside edges."""
+    """name, v: dense ids from 0 in the order of names."""
     names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
-    return names.select("name", (F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("v"))
+    return total_before(names, ["name"], None, "v")
 
 
 def out_degrees(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -51,14 +42,14 @@ def power_iteration(edges: DataFrame, vertices: DataFrame, seeds: DataFrame | No
     """
     weighed = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
     degrees = out_degrees(edges, vertices)
-    links = _cut(weighed.join(degrees.select(F.col("v").alias("src"), "degree"), "src").select("src", "dst", (F.col("times") / F.col("degree")).alias("share")), "links")
-    base = _cut(teleport(vertices, seeds).join(degrees, "v"), "vertices")
+    links = shared_table(weighed.join(degrees.select(F.col("v").alias("src"), "degree"), "src").select("src", "dst", (F.col("times") / F.col("degree")).alias("share")), "links")
+    base = shared_table(teleport(vertices, seeds).join(degrees, "v"), "vertices")
     state, converged, done = base.select("v", "t", "degree", F.col("t").alias("rank")), base.isEmpty(), 0
     while done < rounds and not converged:
         lost = state.where("degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         inflow = links.join(state.select(F.col("v").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("v")).agg(F.sum(F.col("rank") * F.col("share")).alias("inflow"))
         new = (1 - damping) * F.col("t") + damping * (F.coalesce("inflow", F.lit(0.0)) + F.lit(float(lost)) * F.col("t"))
-        after = _cut(state.join(inflow, "v", "left").select("v", "t", "degree", F.col("rank").alias("before"), new.alias("rank")), "ranks")
+        after = shared_table(state.join(inflow, "v", "left").select("v", "t", "degree", F.col("rank").alias("before"), new.alias("rank")), "ranks")
         done += 1
         if not fixed:
             converged = after.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))), F.lit(0.0))).first()[0] < tolerance

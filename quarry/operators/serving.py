@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import OrderedDict
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.ordered import fold_sorted
+
 TIES = ("segment", "local")
 
 
@@ -44,16 +48,19 @@ def hedged(attempts: DataFrame, delay: float) -> DataFrame:
 
 
 def lru_hits(requests: DataFrame, capacity: int) -> DataFrame:
-    """hit of each request (stream, seq, key): fewer than capacity other keys were asked for since its last use.
-
-    Each use closes at the key's next one, so the distinct keys since are those uses open within the gap that close after it.
-    """
-    by_key = Window.partitionBy("stream", "key").orderBy("seq")
-    uses = requests.withColumn("last", F.lag("seq").over(by_key)).withColumn("next", F.lead("seq").over(by_key))
-    a, b = uses.alias("a"), uses.select("stream", F.col("seq").alias("s"), F.col("next").alias("n")).alias("b")
-    between = (F.col("a.stream") == F.col("b.stream")) & (F.col("b.s") > F.col("a.last")) & (F.col("b.s") < F.col("a.seq")) & (F.col("b.n").isNull() | (F.col("b.n") > F.col("a.seq")))
-    counted = a.where("last IS NOT NULL").join(b, between, "left").groupBy("a.stream", "a.seq").agg(F.count("b.s").alias("others"))
-    return requests.join(counted, ["stream", "seq"], "left").select("stream", "seq", "key", F.coalesce((F.col("others") < capacity), F.lit(False)).alias("hit"))
+    """hit of each request (stream, seq, key) in a cache of the stream's own that drops the least recently used; none below 1."""
+
+    def step(cache: OrderedDict, row: tuple) -> tuple:
+        hit = row[2] in cache
+        cache[row[2]] = True
+        cache.move_to_end(row[2])
+        if len(cache) > max(capacity, 0):
+            cache.popitem(last=False)
+        return (*row, hit)
+
+    kinds = dict(requests.dtypes)
+    schema = ", ".join(f"{n} {kinds[n]}" for n in ("stream", "seq", "key")) + ", hit boolean"
+    return fold_sorted(requests, "stream", "seq", OrderedDict, step, ["stream", "seq", "key"], schema)
 
 
 def trusted(partitions: DataFrame, keys: DataFrame, reputation: DataFrame, floor: float) -> DataFrame:

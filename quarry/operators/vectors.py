@@ -124,6 +124,28 @@ def binary_code(bits: Column) -> Column:
     return F.conv(bits, 2, -10).cast("long")
 
 
+def nearest_codes(codes: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """query_id, key: the k nearest of each query by Hamming distance of 64-bit codes (`code`), ties to the lesser key.
+
+    queries is a stated, bounded set; each task goes over its rows once in batches and keeps k for each.
+    """
+    asked = queries.select(key, "code").toPandas()
+    ids, q = asked[key].to_numpy(), asked["code"].to_numpy().astype(np.int64)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, kept = np.zeros((len(q), 0), dtype=np.int64), np.zeros((len(q), 0), dtype=np.int64)
+        for batch in batches:
+            own = batch[key].to_numpy().astype(np.int64)
+            d = np.bitwise_count((q[:, None] ^ batch["code"].to_numpy().astype(np.int64)[None, :]).view(np.uint64)).astype(np.int64)
+            keys, kept = np.hstack([keys, np.broadcast_to(own, d.shape)]), np.hstack([kept, d])
+            at = np.lexsort((keys, kept), axis=1)[:, :k]
+            keys, kept = np.take_along_axis(keys, at, axis=1), np.take_along_axis(kept, at, axis=1)
+        yield pd.DataFrame({"query_id": np.repeat(ids, keys.shape[1]), key: keys.ravel(), "h": kept.ravel()})
+
+    window = Window.partitionBy("query_id").orderBy("h", key)
+    return codes.select(key, "code").mapInPandas(best, f"query_id long, {key} long, h long").withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= k).select("query_id", key)
+
+
 def product_codebook(vectors: DataFrame, parts: int, centroids: int = 16, rounds: int = 10, key: str = "vec_id", embedding: str = "embedding") -> np.ndarray:
     """parts x centroids x width by Lloyd's rounds, beginning with the least keys' vectors. Each round is one pass of sums."""
     first = [np.asarray(r[0], dtype=float) for r in vectors.orderBy(key).limit(centroids).select(embedding).collect()]

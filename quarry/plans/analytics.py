@@ -124,12 +124,10 @@ def bq_encode(t: Tables) -> DataFrame:
 @query("bq_hamming_rescore", f"""WITH {MEANS}, near AS (SELECT q.vec_id AS query_id, v.vec_id, q.embedding::DOUBLE[] AS a, v.embedding::DOUBLE[] AS b FROM bits q, bits v WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.bits::BIT, v.bits::BIT)), v.vec_id) <= 60)
 SELECT query_id, vec_id, round({L2}, 6) AS distance FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {L2}, vec_id) <= 10""")
 def bq_hamming_rescore(t: Tables) -> DataFrame:
-    """The 60 nearest codes of each query, then the 10 nearest of those by distance. The query set is broadcast."""
+    """The 60 nearest codes of each query, then the 10 nearest of those by distance."""
     v = bits(t).select("vec_id", "embedding", vectors.binary_code(F.col("bits")).alias("code"))
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("code").alias("q_code"))
-    codes = v.select("vec_id", "code").join(q.select("query_id", "q_code"), F.col("vec_id") >= F.lit(-(1 << 62)))
-    near = codes.withColumn("h", F.bit_count(F.col("code").bitwiseXOR(F.col("q_code"))))
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("h", "vec_id"))).where("n <= 60").select("query_id", "vec_id")
+    near = vectors.nearest_codes(v, v.where("vec_id % 20 = 0"), 60)
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     exact = near.join(v.select("vec_id", "embedding"), "vec_id").join(q.select("query_id", "q"), "query_id").select("query_id", "vec_id", vectors.l2(F.col("q"), F.col("embedding")).alias("distance"))
     best = exact.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where("n <= 10")
     return best.select("query_id", "vec_id", F.round("distance", 6).alias("distance"))

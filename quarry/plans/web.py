@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions import hashing
 from quarry.functions.text import shingles
 from quarry.operators import crawl, dedup, index, storage
+from quarry.operators.ordered import shared_table, total_before
 from quarry.plans.registry import Tables, query
 from quarry.plans.search import POSTINGS, posts
 from quarry.sources import formats
@@ -160,7 +161,7 @@ def warc_write_locators(t: Tables) -> DataFrame:
     """Offset and length of each page's member in an archive of all, by page."""
     records = t.pages.select(F.col("page_id").alias("seq"), F.lit("response").alias("kind"), F.lit("2024-01-01T00:00:00Z").alias("date"), F.col("url").alias("uri"), F.lit("application/http;msgtype=response").alias("content_type"), F.create_map(F.lit("WARC-Consent"), F.lit("allowed")).alias("fields"), F.encode("html", "utf-8").alias("block"))
     sized = formats.archive_members(records).select("seq", F.octet_length("member").cast("long").alias("length"))
-    placed = sized.withColumn("offset", F.coalesce(F.sum("length").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = total_before(sized, ["seq"], "length", "offset")
     return placed.select(F.col("seq").alias("page_id"), "offset", "length")
 
 
@@ -385,27 +386,36 @@ def shingle_counts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(shingles(F.col("text"), 3)).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("simhash_fingerprint", f"WITH {GRAMS}, h AS MATERIALIZED (SELECT gram, {hashing.fnv_sql('gram')} AS h FROM (SELECT DISTINCT gram FROM grams)), " + f"bits AS (SELECT doc_id, {', '.join(f'sum((h >> {b}::UHUGEINT) & 1::UHUGEINT) * 2 > count(*) AS b{b}' for b in range(64))} FROM grams JOIN h USING (gram) GROUP BY doc_id) SELECT d.doc_id, coalesce({' || '.join(f'b{b}::INT::VARCHAR' for b in reversed(range(64)))}, repeat('0', 64)) AS fp FROM documents d LEFT JOIN bits USING (doc_id)")
+FINGERPRINTS = f"{GRAMS}, h AS MATERIALIZED (SELECT gram, {hashing.fnv_sql('gram')} AS h FROM (SELECT DISTINCT gram FROM grams)), bits AS (SELECT doc_id, {', '.join(f'sum((h >> {b}::UHUGEINT) & 1::UHUGEINT) * 2 > count(*) AS b{b}' for b in range(64))} FROM grams JOIN h USING (gram) GROUP BY doc_id), fps AS MATERIALIZED (SELECT d.doc_id, coalesce({' || '.join(f'b{b}::INT::VARCHAR' for b in reversed(range(64)))}, repeat('0', 64)) AS fp FROM documents d LEFT JOIN bits USING (doc_id))"
+
+
+@query("simhash_fingerprint", f"WITH {FINGERPRINTS} SELECT doc_id, fp FROM fps")
 def simhash_fingerprint(t: Tables) -> DataFrame:
     return dedup.fingerprints(t.documents).select("doc_id", F.lpad(F.bin("fp"), 64, "0").alias("fp"))
 
 
-@query("hamming_pairs")
+@query("hamming_pairs", f"WITH {FINGERPRINTS} SELECT a.doc_id, bit_count(xor(a.fp::BIT, b.fp::BIT))::BIGINT AS distance, bit_count(xor(a.fp::BIT, b.fp::BIT)) <= 3 AS near FROM fps a JOIN fps b ON b.doc_id = a.doc_id + 1")
 def hamming_pairs(t: Tables) -> DataFrame:
     """Each document against that of the next id."""
-    fps = dedup.fingerprints(t.documents)
+    fps = shared_table(dedup.fingerprints(t.documents), "fingerprints")
     after = fps.select((F.col("doc_id") - 1).alias("doc_id"), F.col("fp").alias("next"))
     d = F.bit_count(F.col("fp").bitwiseXOR(F.col("next")))
     return fps.join(after, "doc_id").select("doc_id", d.cast("long").alias("distance"), (d <= dedup.THRESHOLD).alias("near"))
 
 
-@query("near_dup_pairs")
+@query("near_dup_classes", f"WITH {FINGERPRINTS} SELECT doc_id, min(doc_id) OVER (PARTITION BY fp) AS class FROM fps")
+def near_dup_classes(t: Tables) -> DataFrame:
+    """The class of each document: the first with its fingerprint. near_dup_pairs has the links between classes."""
+    fps = shared_table(dedup.fingerprints(t.documents), "fingerprints")
+    return fps.join(dedup.classes(fps), "fp").select("doc_id", F.col("first").alias("class"))
+
+
+@query("near_dup_pairs", f"WITH {FINGERPRINTS}, c AS (SELECT fp::BIT AS fp, min(doc_id) AS first FROM fps GROUP BY fp) SELECT x.first AS a, y.first AS b, bit_count(xor(x.fp, y.fp))::BIGINT AS distance FROM c x JOIN c y ON x.first < y.first AND bit_count(xor(x.fp, y.fp)) <= 3")
 def near_dup_pairs(t: Tables) -> DataFrame:
-    return dedup.near_pairs(dedup.fingerprints(t.documents)).select("a", "b", F.col("distance").cast("long").alias("distance"))
+    found = shared_table(dedup.classes(dedup.fingerprints(t.documents)), "classes")
+    return dedup.near_pairs(found).select("a", "b", "distance")
 
 
 @query("near_dup_clusters")
 def near_dup_clusters(t: Tables) -> DataFrame:
-    return dedup.leaders(dedup.fingerprints(t.documents))
-
-
+    return dedup.leaders(shared_table(dedup.fingerprints(t.documents), "fingerprints"))

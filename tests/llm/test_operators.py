@@ -407,13 +407,22 @@ def brute_lines(rows, min_sites, min_chars):
     return out
 
 
-@pytest.mark.parametrize("min_sites", [2, 3, 10])
+@pytest.mark.parametrize("min_sites", [2, 5, 10])
 def test_lines(docs, min_sites):
     rows = rows_of(docs, "doc_id", "text", "source")
     got = line_dedup.line_dedup(docs, min_sites=min_sites)
     assert Counter(rows_of(got, "doc_id", "text", "n_lines", "n_removed")) == brute_lines(rows, min_sites, line_dedup.MIN_CHARS)
 
 
+def test_copies_can_stay_whole(spark):
+    rows = [(i, "a line that all of the pages have\nand one more that they share", f"s{i}") for i in range(6)]
+    rows += [(10 + i, f"a line that all of the pages have\n{'own words of page ' * 4}{i}", f"s{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in line_dedup.line_dedup(df, min_sites=5, most_lost=0.5).collect()}
+    assert all(got[i].text == rows[i][1] and got[i].n_removed == 0 for i in range(6))
+    assert all(got[10 + i].text == f"{'own words of page ' * 4}{i}" and got[10 + i].n_removed == 1 for i in range(6))
+
+
 def test_lines_near_the_threshold(spark):
     rows = [(1000 * k + i, f"this is the shared line number {k}\nand own {k} {i}", f"site{i}") for k in range(70, 131, 5) for i in range(k)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
