@@ -105,7 +105,10 @@ def sign(spark, seed: bytes, message: bytes) -> tuple[bytes, bytes]:
     signer = jvm.java.security.Signature.getInstance("Ed25519")
     signer.initSign(pair.getPrivate())
     signer.update(bytearray(message))
-    return bytes(pair.getPublic().getEncoded()), bytes(signer.sign())
+    # through the key factory: the provider's own key classes aren't open to reflection
+    form = jvm.java.lang.Class.forName("java.security.spec.X509EncodedKeySpec")
+    public = jvm.java.security.KeyFactory.getInstance("Ed25519").getKeySpec(pair.getPublic(), form)
+    return bytes(public.getEncoded()), bytes(signer.sign())
 
 
 def signature_holds(spark, public: bytes, message: bytes, signature: bytes) -> bool:
