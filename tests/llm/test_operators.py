@@ -356,6 +356,57 @@ def test_simhash_links(spark, monkeypatch, block):
     assert all(len(x) == 1 for x in groups.values()) and len(groups) == len(set(want.values()))
 
 
+def brute_similar(rows, least=0.8):
+    """The links between different texts of rows (doc_id, text), by five-word shingles."""
+    sets = {}
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[b" ".join(w)] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    names = sorted(sets)
+    return {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+
+
+def edited(text, rng, share):
+    words = text.split()
+    for _ in range(max(1, int(len(words) * share))):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(999)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_near_duplicate_texts(spark, sf, odd_docs, monkeypatch, block):
+    monkeypatch.setattr(simhash, "TEXTS", block)
+    rng = random.Random(3)
+    base = rows_of(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
+    rows = base + [(10_000 + 10 * d + k, edited(t, rng, share)) for d, t in base[:40] for k, share in enumerate((0.005, 0.01, 0.02, 0.1))]
+    rows += [(d if d is None else d + 90_000, t) for d, t in rows_of(odd_docs, "doc_id", "text")]
+    got = rows_of(simhash.near_duplicate_texts(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id")
+    assert sorted(str(d) for d, _ in got) == sorted(str(d) for d, _ in rows)
+    norm = lambda t: b" ".join((t or "").encode().lower().split())
+    links = brute_similar(rows)
+    root = {norm(t): norm(t) for _, t in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    least = defaultdict(list)
+    for d, t in rows:
+        least[find(norm(t))].append(d)
+    want = {d: min(x for x in least[find(norm(t))] if x is not None) for d, t in rows if d is not None}
+    wrong = [d for d, c in got if d is not None and want[d] != c]
+    assert len(wrong) <= 0.03 * len(rows)
+    assert all(c >= want[d] for d, c in got if d is not None)  # a missed link leaves groups apart, and none is false
+    assert len(links) > 60
+
+
+def test_near_duplicate_texts_of_nothing(no_docs):
+    assert simhash.near_duplicate_texts(no_docs).count() == 0
+
+
 def test_thresholds_meet_the_pigeonhole():
     rng = np.random.default_rng(2)
     bits = (rng.random((500, 64)) < rng.random(64)).astype(float)
