@@ -31,8 +31,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id; one row of those that repeat it."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of near-duplicates the document with the least doc_id; one row of those that repeat it.
+
+    Documents link when their five-word shingles have a similarity of 0.8 or more; SimHash finds the candidates.
+    """
+    found = simhash.near_duplicate_texts(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_doc")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
