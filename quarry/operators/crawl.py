@@ -25,6 +25,13 @@ def host_queues(urls: DataFrame) -> DataFrame:
     return urls.withColumn("place", F.row_number().over(by_host.orderBy("seq"))).withColumn("host_priority", F.max("raw_priority").over(by_host))
 
 
+#: Fixed values for whoever fetches the pages; the engine itself opens no connection. Times are in seconds.
+FETCH_SETTINGS = {
+    "dial_timeout": 10, "keep_alive": 30, "idle_connections": 10_000, "idle_per_host": 2, "connections_per_host": 4,
+    "idle_timeout": 90, "handshake_timeout": 10, "continue_timeout": 1, "header_timeout": 15, "decompress": False,
+}
+
+
 def gap(fetch: Column, delay: Column) -> Column:
     """Seconds between two fetches from a host: ten times the last fetch, within half a second and thirty, and never less than its crawl delay."""
     return F.greatest(delay, F.least(F.greatest(10 * fetch, F.lit(0.5)), F.lit(30.0)))

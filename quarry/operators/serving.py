@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 from collections import OrderedDict
+from collections.abc import Callable, Hashable
+from concurrent.futures import Future
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,3 +69,43 @@ def lru_hits(requests: DataFrame, capacity: int) -> DataFrame:
 def trusted(partitions: DataFrame, keys: DataFrame, reputation: DataFrame, floor: float) -> DataFrame:
     """Partitions whose operator has a key and a reputation of the floor or more; an unset one is 0."""
     return partitions.join(keys.select("operator"), "operator", "left_semi").join(reputation, "operator", "left").where(F.coalesce("reputation", F.lit(0.0)) >= floor)
+
+
+class SharedLoads:
+    """The driver's memo of small results by key, for many threads that ask the same: one load for a key at a time.
+
+    Whoever asks while a load runs waits for it, at most `timeout` seconds, and a wait that ends early leaves the load
+    to the others. What a load raises goes to all who wait and isn't kept. The least recently used key goes first
+    beyond capacity; a capacity below 1 keeps nothing.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity, self.kept, self.running, self.lock = capacity, OrderedDict(), {}, threading.Lock()
+
+    def get(self, key: Hashable, load: Callable[[], object], timeout: float | None = None) -> object:
+        with self.lock:
+            if key in self.kept:
+                self.kept.move_to_end(key)
+                return self.kept[key]
+            shared = self.running.get(key)
+            if shared is None:
+                shared = self.running[key] = Future()
+                threading.Thread(target=self._run, args=(key, load, shared), daemon=True).start()
+        return shared.result(timeout)
+
+    def _run(self, key: Hashable, load: Callable[[], object], shared: Future) -> None:
+        try:
+            value = load()
+        except BaseException as e:  # noqa: BLE001  it is raised where the result is asked for
+            with self.lock:
+                del self.running[key]
+            shared.set_exception(e)
+            return
+        with self.lock:
+            del self.running[key]
+            if self.capacity > 0:
+                self.kept[key] = value
+                self.kept.move_to_end(key)
+                while len(self.kept) > self.capacity:
+                    self.kept.popitem(last=False)
+        shared.set_result(value)

@@ -317,3 +317,37 @@ def test_late_events_are_left_out(spark, tmp_path):
         query.trigger(availableNow=True).start().awaitTermination()
     got = {(r.window.start.hour, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(10, 2)}
+
+
+def test_command_line(capsys):
+    from quarry.__main__ import main
+
+    assert main(["plan"]) == 0 and "M9" in capsys.readouterr().out
+    assert main(["risks"]) == 0 and capsys.readouterr().out.count("(primary)") == 1
+    assert main([]) == 0 and main(["version"]) == 0 and main(["--version"]) == 0
+    assert main(["nothing"]) == 2
+
+
+def test_shared_loads():
+    import threading
+
+    loads, calls, gate = serving.SharedLoads(1), [], threading.Event()
+
+    def slow():
+        calls.append(1)
+        gate.wait(10)
+        return "x"
+
+    got = []
+    waiting = [threading.Thread(target=lambda: got.append(loads.get("k", slow))) for _ in range(4)]
+    for t in waiting:
+        t.start()
+    with pytest.raises(TimeoutError):
+        loads.get("k", slow, 0.05)
+    gate.set()
+    for t in waiting:
+        t.join(10)
+    assert got == ["x"] * 4 and len(calls) == 1
+    with pytest.raises(ZeroDivisionError):
+        loads.get("bad", lambda: 1 / 0)
+    assert loads.get("bad", lambda: 2) == 2 and loads.get("k", lambda: "new") == "new"
