@@ -1,8 +1,9 @@
 """Vectors as arrays: distances, quantisers, and nearest neighbours.
 
-Kernels over two arrays are higher-order functions; arrays are cast to double. Searches take a bounded query set
-and go over all rows once: each task scores its rows against the queries in numpy and keeps the best k of each,
-so what is shuffled is k rows for each query and task, whatever the table's size.
+Kernels over two arrays are higher-order functions; arrays are cast to double. Searches score blocks of rows
+against blocks of queries in numpy and keep the best k of each query, so what is shuffled on is k rows for each query
+and block. Up to QUERY_BLOCK queries go with the tasks, which then read all rows once where they lie; more
+queries, a number that is counted first, meet the rows block by block.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Queries of a block, rows of a block and of one scored at once, rows of a graph.
+QUERY_BLOCK, ROW_BLOCK, CHUNK, SEGMENT = 2_048, 16_384, 1_024, 8_192
+
+
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -53,38 +58,71 @@ def embed_cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), dot(a, b)).otherwise(F.lit(float("nan")))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", rescore: Callable | None = None) -> DataFrame:
-    """query_id, key, distance, rank: exact k nearest rows by squared distance, ties to the lesser key.
+def matrix(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=float) for v in column])
 
-    queries is a stated, bounded set (vec_id, embedding); it is collected once and goes with the tasks.
-    """
-    asked = queries.select(key, embedding).toPandas()
-    ids = asked[key].to_numpy()
-    q = np.stack([np.asarray(x, dtype=float) for x in asked[embedding]]) if len(asked) else np.zeros((0, 1))
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
-        for batch in batches:
-            if not len(batch) or not len(q):
-                continue
-            x = np.stack([np.asarray(v, dtype=float) for v in batch[embedding]])
-            d = ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) if q.size * len(x) < 2e7 else np.stack([((x - row) ** 2).sum(axis=1) for row in q])
-            keys = batch[key].to_numpy()
-            m = min(k, len(x))
-            part = np.argsort(d, axis=1, kind="stable")[:, :m] if m == len(x) else np.argpartition(d, m - 1, axis=1)[:, :m]
-            edge = np.take_along_axis(d, part, axis=1).max(axis=1)
-            rows, cols = np.nonzero(d <= edge[:, None])  # ties at the edge stay until the keys decide
-            found = pd.DataFrame({"query_id": ids[rows], key: keys[cols], "distance": d[rows, cols]})
-            kept = found if kept is None else pd.concat([kept, found])
-            kept = kept.sort_values(["query_id", "distance", key]).groupby("query_id").head(k)
-        if kept is not None:
-            yield kept
-
-    parts = vectors.select(key, embedding).mapInPandas(best, f"query_id long, {key} long, distance double")
+def _blocked(df: DataFrame, key: str, size: int, out: str) -> tuple[DataFrame, int]:
+    """df with a block number by a hash of its key, and how many blocks of about `size` rows that makes."""
+    n = max(1, -(-df.count() // size))
+    return df.withColumn(out, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+
+
+def _kept(ids: np.ndarray, score: Callable[[pd.DataFrame], np.ndarray], batches: Iterator[pd.DataFrame], k: int, key: str) -> pd.DataFrame:
+    """The k best rows of each query, ties to the lesser key. score gives a row of distances for each query."""
+    keys, kept = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
+    for batch in batches:
+        for at in range(0, len(batch), CHUNK):
+            part = batch.iloc[at : at + CHUNK]
+            d = score(part)
+            keys, kept = np.hstack([keys, np.broadcast_to(part[key].to_numpy().astype(np.int64), d.shape)]), np.hstack([kept, d])
+            best = np.lexsort((keys, kept), axis=1)[:, :k]
+            keys, kept = np.take_along_axis(keys, best, axis=1), np.take_along_axis(kept, best, axis=1)
+    return pd.DataFrame({"query_id": np.repeat(ids, keys.shape[1]), key: keys.ravel(), "distance": kept.ravel()})
+
+
+def best_of(rows: DataFrame, queries: DataFrame, k: int, key: str, score: Callable[[pd.DataFrame], Callable[[pd.DataFrame], np.ndarray]]) -> DataFrame:
+    """query_id, key, distance, rank of the k best rows for each query. score(queries) gives what scores rows against them."""
+    schema = f"query_id long, {key} long, distance double"
+    q, n = _blocked(queries.withColumnRenamed(key, "query_id"), "query_id", QUERY_BLOCK, "_q")
+    if n == 1:
+        few = q.drop("_q").toPandas()  # QUERY_BLOCK rows at most
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if len(few):
+                yield _kept(few["query_id"].to_numpy(), score(few), batches, k, key)
+
+        parts = rows.mapInPandas(whole, schema)
+    else:
+        x, m = _blocked(rows, key, ROW_BLOCK, "_x")
+        x = x.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        q = q.withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+        def met(some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked):
+                return pd.DataFrame({"query_id": [], key: [], "distance": []})
+            return _kept(asked["query_id"].to_numpy(), score(asked), iter([some]), k, key)
+
+        parts = x.groupBy("_x", "_q").cogroup(q.groupBy("_x", "_q")).applyInPandas(met, schema)
     window = Window.partitionBy("query_id").orderBy("distance", key)
     return parts.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """query_id, key, distance, rank: exact k nearest rows by squared distance, ties to the lesser key."""
+
+    def score(asked: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+        q = matrix(asked[embedding])
+
+        def apart(batch: pd.DataFrame) -> np.ndarray:
+            x = matrix(batch[embedding])
+            return np.stack([((x - row) ** 2).sum(axis=1) for row in q])
+
+        return apart
+
+    return best_of(vectors.select(key, embedding), queries.select(key, embedding), k, key, score)
+
+
 def scalar_ranges(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     """dim, low, scale: (high - low) / 254, 0 for a constant dimension. As many rows as dimensions."""
     each = vectors.select(F.posexplode(embedding).alias("dim", "x")).groupBy("dim").agg(F.min("x").cast("double").alias("low"), F.max("x").cast("double").alias("high"))
@@ -125,25 +163,13 @@ def binary_code(bits: Column) -> Column:
 
 
 def nearest_codes(codes: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """query_id, key: the k nearest of each query by Hamming distance of 64-bit codes (`code`), ties to the lesser key.
+    """query_id, key: the k nearest of each query by Hamming distance of 64-bit codes (`code`), ties to the lesser key."""
 
-    queries is a stated, bounded set; each task goes over its rows once in batches and keeps k for each.
-    """
-    asked = queries.select(key, "code").toPandas()
-    ids, q = asked[key].to_numpy(), asked["code"].to_numpy().astype(np.int64)
+    def score(asked: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+        q = asked["code"].to_numpy().astype(np.int64)
+        return lambda batch: np.bitwise_count((q[:, None] ^ batch["code"].to_numpy().astype(np.int64)[None, :]).view(np.uint64)).astype(float)
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, kept = np.zeros((len(q), 0), dtype=np.int64), np.zeros((len(q), 0), dtype=np.int64)
-        for batch in batches:
-            own = batch[key].to_numpy().astype(np.int64)
-            d = np.bitwise_count((q[:, None] ^ batch["code"].to_numpy().astype(np.int64)[None, :]).view(np.uint64)).astype(np.int64)
-            keys, kept = np.hstack([keys, np.broadcast_to(own, d.shape)]), np.hstack([kept, d])
-            at = np.lexsort((keys, kept), axis=1)[:, :k]
-            keys, kept = np.take_along_axis(keys, at, axis=1), np.take_along_axis(kept, at, axis=1)
-        yield pd.DataFrame({"query_id": np.repeat(ids, keys.shape[1]), key: keys.ravel(), "h": kept.ravel()})
-
-    window = Window.partitionBy("query_id").orderBy("h", key)
-    return codes.select(key, "code").mapInPandas(best, f"query_id long, {key} long, h long").withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= k).select("query_id", key)
+    return best_of(codes.select(key, "code"), queries.select(key, "code"), k, key, score).select("query_id", key)
 
 
 def product_codebook(vectors: DataFrame, parts: int, centroids: int = 16, rounds: int = 10, key: str = "vec_id", embedding: str = "embedding") -> np.ndarray:
@@ -196,38 +222,31 @@ def product_encoded(vectors: DataFrame, book: np.ndarray, key: str = "vec_id", e
 
 def asymmetric_top(codes: DataFrame, queries: DataFrame, book: np.ndarray, k: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, key, distance, rank from codes alone: sums of a table of each query's distances to the centroids."""
-    asked = queries.select(key, embedding).toPandas()  # a stated, bounded set
-    q = np.stack([np.asarray(x, dtype=float) for x in asked[embedding]]).reshape(len(asked), book.shape[0], 1, -1)
-    tables, ids = ((q - book[None]) ** 2).sum(axis=3), asked[key].to_numpy()
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                c, keys = np.stack(list(batch["codes"])), batch[key].to_numpy()
-                d = sum(tables[:, p, :][:, c[:, p]] for p in range(book.shape[0]))
-                for i, row in enumerate(d):
-                    at = np.lexsort((keys, row))[:k]
-                    yield pd.DataFrame({"query_id": ids[i], key: keys[at], "distance": row[at]})
+    def score(asked: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+        q = matrix(asked[embedding]).reshape(len(asked), book.shape[0], 1, -1)
+        tables = ((q - book[None]) ** 2).sum(axis=3)
 
-    window = Window.partitionBy("query_id").orderBy("distance", key)
-    return codes.mapInPandas(best, f"query_id long, {key} long, distance double").withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+        def looked_up(batch: pd.DataFrame) -> np.ndarray:
+            c = np.stack(list(batch["codes"]))
+            return sum(tables[:, p, :][:, c[:, p]] for p in range(book.shape[0]))
+
+        return looked_up
+
+    return best_of(codes.select(key, "codes"), queries.select(key, embedding), k, key, score)
 
 
-def graph_search(vectors: DataFrame, queries: DataFrame, k: int, links: int = 16, wide: int = 64, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Approximate k nearest by one navigable graph for each partition, searched best first with `wide` candidates.
+def graph_index(vectors: DataFrame, links: int = 16, wide: int = 64, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """key, embedding, segment, place, near: every row in the navigable graph of its segment.
 
-    Each graph links a row with its nearest and with their links back; every row is in one. A partition is a
-    segment, so build time is linear in segments.
+    A segment holds some SEGMENT rows, dealt by a hash, in the order of keys (place). A row is linked with its nearest
+    among those before it and they with it, each keeping the 2 * links nearest. Build time is linear in segments.
     """
-    asked = queries.select(key, embedding).toPandas()
-    ids, q = asked[key].to_numpy(), np.stack([np.asarray(x, dtype=float) for x in asked[embedding]])
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [b for b in batches if len(b)]
-        if not rows:
-            return
-        whole = pd.concat(rows)
-        x, keys = np.stack([np.asarray(v, dtype=float) for v in whole[embedding]]), whole[key].to_numpy()
+    rows, _ = _blocked(vectors.select(key, embedding), key, SEGMENT, "segment")
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(key, kind="stable")
+        x = matrix(part[embedding])
         near: list[set[int]] = [set() for _ in x]
         for i in range(1, len(x)):
             for j in _best_first(x, near, x[i], wide, i)[:links]:
@@ -235,12 +254,33 @@ def graph_search(vectors: DataFrame, queries: DataFrame, k: int, links: int = 16
                 near[j].add(i)
                 if len(near[j]) > 2 * links:
                     near[j] = set(sorted(near[j], key=lambda m: ((x[m] - x[j]) ** 2).sum())[: 2 * links])
-        for i, row in zip(ids, q, strict=True):
-            at = _best_first(x, near, row, max(wide, k), len(x))[:k]
-            yield pd.DataFrame({"query_id": i, key: keys[at], "distance": ((x[at] - row) ** 2).sum(axis=1)})
-
+        return pd.DataFrame({key: part[key], embedding: part[embedding], "segment": part["segment"], "place": np.arange(len(x)), "near": [sorted(n) for n in near]})
+
+    kind = dict(vectors.dtypes)[embedding]
+    return rows.groupBy("segment").applyInPandas(build, f"{key} long, {embedding} {kind}, segment int, place int, near array<int>")
+
+
+def graph_search(graph: DataFrame, queries: DataFrame, k: int, wide: int = 64, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """query_id, key, distance, rank: approximate k nearest from a graph_index table, each segment searched best first with `wide` candidates."""
+    q, n = _blocked(queries.select(F.col(key).alias("query_id"), F.col(embedding).alias("q")), "query_id", QUERY_BLOCK, "_q")
+    count = (graph.agg(F.max("segment")).first()[0] or 0) + 1
+    each = graph.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_s", F.col("segment"))
+    asked = q.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+
+    def search(part: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], key: [], "distance": []})]
+        if len(part):
+            part = part.sort_values("place")
+            x, keys, near = matrix(part[embedding]), part[key].to_numpy(), list(part["near"])
+            for i, row in zip(some["query_id"], some["q"], strict=True):
+                row = np.asarray(row, dtype=float)
+                at = _best_first(x, near, row, max(wide, k), len(x))[:k]
+                found.append(pd.DataFrame({"query_id": i, key: keys[at], "distance": ((x[at] - row) ** 2).sum(axis=1)}))
+        return pd.concat(found)
+
+    parts = each.groupBy("_s", "_q").cogroup(asked.groupBy("_s", "_q")).applyInPandas(search, f"query_id long, {key} long, distance double")
     window = Window.partitionBy("query_id").orderBy("distance", key)
-    return vectors.select(key, embedding).mapInPandas(search, f"query_id long, {key} long, distance double").withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return parts.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
 def _best_first(x: np.ndarray, near: list[set[int]], q: np.ndarray, wide: int, n: int) -> list[int]:
@@ -260,8 +300,9 @@ def _best_first(x: np.ndarray, near: list[set[int]], q: np.ndarray, wide: int, n
         fresh = [j for j in near[i] if j not in seen and j < n]
         seen.update(fresh)
         if fresh:
+            worst = best[-1][0] if len(best) >= wide else float("inf")
             for e, j in zip(((x[fresh] - q) ** 2).sum(axis=1).tolist(), fresh, strict=True):
-                if len(best) < wide or e < best[-1][0]:
+                if e < worst:
                     heapq.heappush(heap, (e, j))
                     best.append((e, j))
             best = sorted(best)[:wide]

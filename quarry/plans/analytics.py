@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import hashing
 from quarry.functions.text import ascii_terms
 from quarry.operators import evaluation, graph, vectors
+from quarry.operators.ordered import shared_table
 from quarry.plans.registry import Tables, query
 
 # --- vectors: every row against the row of the next id
@@ -70,18 +71,23 @@ def knn_exact(t: Tables) -> DataFrame:
     return vectors.nearest(t.embeddings, asked(t), 10).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def vector_graph(t: Tables) -> DataFrame:
+    return shared_table(vectors.graph_index(t.embeddings), "graph")
+
+
 @query("ann_search_recall")
 def ann_search_recall(t: Tables) -> DataFrame:
     """Recall at 10 of the graph search against the exact one, for each query."""
-    exact, found = vectors.nearest(t.embeddings, asked(t), 10), vectors.graph_search(t.embeddings, asked(t), 10)
+    exact, found = vectors.nearest(t.embeddings, asked(t), 10), vectors.graph_search(vector_graph(t), asked(t), 10)
     both = exact.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
     return both.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
 @query("ann_build_stats")
 def ann_build_stats(t: Tables) -> DataFrame:
-    """Rows that the graph search returns for each query: as many as asked where there are as many."""
-    return vectors.graph_search(t.embeddings, asked(t), 10).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.max("distance").alias("furthest"))
+    """Rows, links and the least and most links of a row, for each segment's graph."""
+    links = F.size("near")
+    return vector_graph(t).groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum(links).alias("links"), F.min(links).alias("least"), F.max(links).alias("most"))
 
 
 RANGES = "ranges AS (SELECT i - 1 AS dim, min((embedding::DOUBLE[])[i]) AS low, (max((embedding::DOUBLE[])[i]) - min((embedding::DOUBLE[])[i])) / 254 AS scale FROM embeddings, range(1, 65) r(i) GROUP BY i)"

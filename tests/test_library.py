@@ -263,7 +263,7 @@ def test_vector_recall(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = v.where("vec_id % 20 = 0")
     exact = {(r.query_id, r.vec_id) for r in vectors.nearest(v, q, 10).collect()}
-    found = {(r.query_id, r.vec_id) for r in vectors.graph_search(v, q, 10).collect()}
+    found = {(r.query_id, r.vec_id) for r in vectors.graph_search(vectors.graph_index(v), q, 10).collect()}
     assert len(exact & found) / len(exact) >= 0.9
     coarse = vectors.product_encoded(v, vectors.product_codebook(v, 8, rounds=0)).agg(F.avg("distortion")).first()[0]
     assert vectors.product_encoded(v, vectors.product_codebook(v, 8)).agg(F.avg("distortion")).first()[0] < coarse
@@ -271,6 +271,28 @@ def test_vector_recall(spark, sf):
         vectors.product_codebook(v, 7)
 
 
+def test_searches_in_blocks(spark, sf, monkeypatch):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    codes = v.select("vec_id", "embedding", F.xxhash64("vec_id").alias("code"))
+    q, book = codes.where("vec_id % 20 = 0"), vectors.product_codebook(v, 8, rounds=0)
+    coded = vectors.product_encoded(v, book).select("vec_id", "codes")
+    searches = [
+        lambda: [(r.query_id, r.vec_id, r.rank, round(r.distance, 9)) for r in vectors.nearest(v, q, 5).collect()],
+        lambda: [(r.query_id, r.vec_id) for r in vectors.nearest_codes(codes, q, 5).collect()],
+        lambda: [(r.query_id, r.vec_id, r.rank) for r in vectors.asymmetric_top(coded, q, book, 5).collect()],
+    ]
+    plain = [sorted(f()) for f in searches]
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vectors, "ROW_BLOCK", 90)
+    assert [sorted(f()) for f in searches] == plain
+    assert len(plain[0]) == 5 * q.count()
+    exact = {x[:2] for x in plain[0]}
+    monkeypatch.setattr(vectors, "SEGMENT", 150)
+    found = {(r.query_id, r.vec_id) for r in vectors.graph_search(vectors.graph_index(v), q, 5).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+    assert vectors.nearest(v.limit(0), q, 5).count() == 0 and vectors.nearest(v, q.limit(0), 5).count() == 0
+
+
 def test_claims_and_citations():
     assert [c for c, _, _ in answer.claims("Pi is 3.14. Yes?! No")] == ["Pi is 3.14.", "Yes?!", "No"]
     clean, claims = answer.citations("Sky is blue. [1][3] Grass is green.[2]\nNo mark. Tail [4]")
