@@ -40,17 +40,24 @@ def watched(spark: SparkSession, log: DataFrame, prefix: str, target: str) -> No
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def reconciled(spark: SparkSession, membership: DataFrame, shards: DataFrame, replicas: int, target: str) -> None:
-    """On each batch of (seq, op, node) place the shards on the nodes that are left and publish those that changed."""
-    nodes: set[str] = set()
+def reconciled(spark: SparkSession, membership: DataFrame, shards: DataFrame, replicas: int, target: str, offsets: str | None = None) -> None:
+    """On each batch of (seq, op, node) place the shards on the nodes that are left and publish those that changed.
+
+    The nodes after each batch are written beside the table, so a stream that starts again, or runs a batch again, goes on from them.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
+        nodes = {r.node for r in spark.read.schema("node string").parquet(f"{target}-members/batch={number - 1}").collect()} if number else set()
         for r in batch.orderBy("seq").collect():  # membership is small
             (nodes.add if r.op == "join" else nodes.discard)(r.node)
+        spark.createDataFrame([(n,) for n in sorted(nodes)], "node string").coalesce(1).write.mode("overwrite").parquet(f"{target}-members/batch={number}")
         desired = control.assignment(control.placed(shards, sorted(nodes), replicas))
+        if number:
+            earlier = spark.read.parquet(target).where(F.col("batch") < number)
+            desired = control.changed(desired, earlier.groupBy("shard").agg(F.max_by("nodes", "batch").alias("nodes")))
         desired.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    membership.writeStream.foreachBatch(apply).option("checkpointLocation", folder(spark, "reconcile")).trigger(availableNow=True).start().awaitTermination()
+    membership.writeStream.foreachBatch(apply).option("checkpointLocation", offsets or folder(spark, "reconcile")).trigger(availableNow=True).start().awaitTermination()
 
 
 def deduplicated(events: DataFrame, time: str, delay: str, *keys: str) -> DataFrame:

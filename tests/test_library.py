@@ -328,6 +328,20 @@ def test_telemetry_edges(spark):
     assert {r.sampled for r in telemetry.ratio_sampled(spark.range(5).select(F.col("id").alias("trace_id")), 1.0).collect()} == {True}
 
 
+def test_placement_goes_on_after_a_restart(spark, tmp_path):
+    """Membership that comes in three files, a batch each, with the stream stopped in between."""
+    shards = spark.createDataFrame([(i,) for i in range(12)], "shard long")
+    for k, rows in enumerate(([(1, "join", "a"), (2, "join", "b")], [(3, "join", "c")], [(4, "leave", "a")])):
+        spark.createDataFrame(rows, "seq int, op string, node string").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        stream = spark.readStream.schema("seq int, op string, node string").parquet(str(tmp_path / "log"))
+        live.reconciled(spark, stream, shards, 2, str(tmp_path / "routes"), str(tmp_path / "offsets"))
+    rows = spark.read.parquet(str(tmp_path / "routes"))
+    last = {r.shard: r.nodes for r in rows.groupBy("shard").agg(F.max_by("nodes", "batch").alias("nodes")).collect()}
+    want = {r.shard: r.nodes for r in control.assignment(control.placed(shards, ["b", "c"], 2)).collect()}
+    assert last == want
+    assert [r["count"] for r in rows.groupBy("batch").count().orderBy("batch").collect()][0] == 12
+
+
 def test_late_events_are_left_out(spark, tmp_path):
     first = spark.createDataFrame([("2024-01-01 10:00:00", "a", 1.0), ("2024-01-01 10:30:00", "a", 1.0)], "ts string, k string, value double").withColumn("ts", F.to_timestamp("ts"))
     late = spark.createDataFrame([("2024-01-01 08:00:00", "a", 5.0), ("2024-01-01 12:00:00", "a", 1.0), ("2024-01-01 12:00:00", "a", 1.0)], "ts string, k string, value double").withColumn("ts", F.to_timestamp("ts"))
