@@ -161,8 +161,9 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("p").flatten().to_numpy().reshape(-1, len(DOMAINS))
 
 
-def fit_rates(members: DataFrame, shares: dict[str, float], budget: float | None = None, most: float = 8.0, steps: int = 60, tolerance: float = 1e-6) -> Fit:
-    """Rates for targets shares * budget. budget: tokens in all, by default as many as there are; 0: as many as leave no target above what there is.
+def fit_rates(members: DataFrame, shares: dict[str, float], budget: float | str | None = None, most: float = 8.0, steps: int = 60, tolerance: float = 1e-6) -> Fit:
+    """Rates for targets shares * budget. budget: tokens in all, by default as many as there are; 0: as many as leave no target
+    above what there is; a domain's name: as many as make that domain's target just what there is of it.
 
     Stops when the residuals are within tolerance of the budget, or when they and the step have settled, or after `steps` passes.
     Sums are added in the order of tasks, so a run repeats exactly on the same splits.
@@ -185,6 +186,8 @@ def fit_rates(members: DataFrame, shares: dict[str, float], budget: float | None
     natural, gram = sums([], False), sums([], True).reshape(k, k)
     if budget is None:
         budget = float(natural.sum())
+    elif isinstance(budget, str):
+        budget = float(natural[DOMAINS.index(budget)] / want[DOMAINS.index(budget)])
     elif budget == 0:
         budget = float(min(n / s for n, s in zip(natural, want, strict=True) if s > 0))
     targets = want * budget
@@ -227,7 +230,7 @@ def rated(members: DataFrame, fit: Fit) -> DataFrame:
     return out.withColumn("copies", (whole + (chance < F.col("rate") - whole).cast("long")).cast("long"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], budget: float | None = None, most: float = 8.0, max_train: int = MAX_TRAIN) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], budget: float | str | None = None, most: float = 8.0, max_train: int = MAX_TRAIN) -> DataFrame:
     """Rates for all documents: rated() of memberships() under the fit for these shares.
 
     Null text has no tokens; it gets a rate but weighs nothing. Rows that repeat a document count each and get the
