@@ -11,7 +11,7 @@ from quarry.llm.common import materialize
 from quarry.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Shares of the mix; the budget is the largest that asks of no domain more tokens than it has, and nothing is repeated.
+#: Shares of the mix. The budget asks for just as many clean tokens as there are, and nothing is repeated, so what goes is junk and toxic.
 SHARES = {"clean": 0.96, "junk": 0.03, "toxic": 0.01}
 
 
@@ -42,7 +42,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rates keep. No rate is above 1, so each stays once or goes."""
-    rates = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), SHARES, budget=0, most=1.0)
+    rates = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), SHARES, budget="clean", most=1.0)
     kept = materialize(rates.where("copies >= 1").select(F.col("doc_id").alias("_doc")), "mix-kept")
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_doc")), "left_semi").select(*COLUMNS)
 
