@@ -187,7 +187,7 @@ def lengths(t: Tables) -> DataFrame:
 @query("ciff_export_bytes")
 def ciff_export_bytes(t: Tables) -> DataFrame:
     """The export's pieces with their sizes, in order."""
-    return formats.export_parts(posts(t), lengths(t), "documents").select("part", "key", F.octet_length("data").cast("long").alias("bytes"), F.md5("data").alias("digest"))
+    return formats.export_parts(posts(t), lengths(t), "documents").select("part", "key", "place", F.octet_length("data").cast("long").alias("bytes"), F.md5("data").alias("digest"))
 
 
 @query("ciff_gap_decode", f"WITH {POSTINGS} SELECT term, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS gap FROM postings")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.ordered import shared_table
+
 MAGIC, VERSION = b"CIFF", 1
 
 
@@ -53,7 +55,7 @@ def framed(text: str) -> bytes:
 
 
 def list_bytes(term: str, posts: list[tuple[int, int]]) -> bytes:
-    """A postings list: gaps from the document before, the first from 0. Documents must ascend."""
+    """A postings list in one piece: gaps from the document before, the first from 0. Documents must ascend."""
     out, before = [framed(term), uvarint(len(posts)), uvarint(sum(tf for _, tf in posts)), uvarint(len(posts))], 0
     for doc, tf in posts:
         if doc < before:
@@ -90,37 +92,59 @@ def read_export(data: bytes) -> dict:
 
 
 def export_parts(posts: DataFrame, docs: DataFrame, about: str) -> DataFrame:
-    """part, data: the export in pieces, in order: header, lists by term, documents by id. Joined, they are the file.
+    """part, key, place, data: the export in pieces. Joined in the order of the first three, they are the file.
 
-    Lists are packed by range of terms in tasks, so only the pieces' order ties them together. docs has doc_id, name, length.
+    Part 0 is the header, 1 the lists, 2 the documents. A list is a piece with its term and counts, and after it
+    the postings in pieces of one batch each; a term that a third of the documents hold is dealt over many tasks.
+    Where a list goes on in the next range of (term, doc_id), the gap begins at the last document of the range before:
+    one row for each range comes to the driver for that. docs has doc_id, name, length.
     """
-    n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = posts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     totals = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")).first()
-    terms = posts.select("term").distinct().count()
-    head = header_bytes(terms, totals.docs, totals.total, totals.total / totals.docs if totals.docs else 0.0, about)
+    schema = "part long, key string, place long, data binary"
+    dealt = shared_table(posts.select("term", "doc_id", "tf").repartitionByRange(n, "term", "doc_id").withColumn("range", F.spark_partition_id()), "export")
+    terms = shared_table(dealt.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), "export-terms")
+    head = header_bytes(terms.count(), totals.docs, totals.total, totals.total / totals.docs if totals.docs else 0.0, about)
+    ends = sorted((r.range, r.end) for r in dealt.groupBy("range").agg(F.max(F.struct("term", "doc_id")).alias("end")).collect())
+    before_range = {r: end for (r, _), (_, end) in zip(ends[1:], ends, strict=False)}
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            data = [framed(t) + uvarint(df) + uvarint(cf) + uvarint(df) for t, df, cf in zip(batch["term"], batch["df"], batch["cf"], strict=True)]
+            yield pd.DataFrame({"part": 1, "key": batch["term"], "place": -1, "data": data})
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        term, held = None, []
+    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, term, doc, count = None, None, 0, 0
         for batch in batches:
-            for part, t, d, tf in zip(batch["part"], batch["term"], batch["doc_id"], batch["tf"], strict=True):
-                if t != term and held:
-                    yield pd.DataFrame({"part": [1 + place], "key": [term], "data": [list_bytes(term, held)]})
-                    held = []
-                term, place = t, part
-                held.append((d, tf))
-        if held:
-            yield pd.DataFrame({"part": [1 + place], "key": [term], "data": [list_bytes(term, held)]})
-
-    lists = posts.repartitionByRange(n, "term").sortWithinPartitions("term", "doc_id").select(F.spark_partition_id().cast("long").alias("part"), "term", "doc_id", "tf")
-    lists = lists.mapInPandas(pack, "part long, key string, data binary")
+            keys, places, data, at = [], [], [], -1
+            for r, t, d, tf in zip(batch["range"], batch["term"], batch["doc_id"], batch["tf"], strict=True):
+                if r != held:
+                    held, count, at = r, 0, -1
+                    term, doc = before_range.get(r, (None, 0))
+                if t != term or at < 0:
+                    if t != term:
+                        term, doc = t, 0
+                    at = len(data)
+                    keys.append(t)
+                    places.append((r << 32) + count)
+                    data.append(bytearray())
+                    count += 1
+                if d < doc:
+                    raise ValueError(f"postings of {t!r} don't ascend")
+                data[at] += uvarint(d - doc) + uvarint(tf)
+                doc = d
+            yield pd.DataFrame({"part": 1, "key": keys, "place": places, "data": list(map(bytes, data))})
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             data = [uvarint(d) + framed(name) + uvarint(n) for d, name, n in zip(batch["doc_id"], batch["name"], batch["length"], strict=True)]
-            yield pd.DataFrame({"part": (1 << 40) + batch["doc_id"], "key": "", "data": data})
+            yield pd.DataFrame({"part": 2, "key": "", "place": batch["doc_id"], "data": data})
 
-    first = posts.sparkSession.createDataFrame([(0, "", bytearray(head))], "part long, key string, data binary")
-    return first.unionByName(lists).unionByName(docs.mapInPandas(records, "part long, key string, data binary"))
+    # each range goes to one task again, sorted there; files may hold several ranges or a range several files
+    ordered = dealt.repartition(n, "range").sortWithinPartitions("range", "term", "doc_id")
+    first = spark.createDataFrame([(0, "", 0, bytearray(head))], schema)
+    return first.unionByName(terms.mapInPandas(heads, schema)).unionByName(ordered.mapInPandas(bodies, schema)).unionByName(docs.mapInPandas(records, schema))
 
 
 def gaps(posts: DataFrame) -> DataFrame:
