@@ -30,7 +30,7 @@ PROBE_COST, BLOCK = 500, 8192
 #: The largest threshold of one part: at 3 a part of 16 bits has 697 probes.
 MOST_FLIPS = 3
 #: Near-duplicate texts: words of a shingle, least similarity, and the fingerprints' shingles and distance that find
-#: them. Texts at 0.8 differ in some 2 % of words; measured, 97 to 100 % of pairs above it are within 10 bits.
+#: them. Texts at 0.8 differ in some 2 % of words; measured, 96 to 100 % of pairs above it are within 10 bits.
 WORDS, SIMILARITY, FIND_SHINGLE, FIND_TAU = 5, 0.8, 2, 10
 #: Texts of a block that are compared, and the bytes of their shingles.
 TEXTS, TEXT_BYTES = 1024, 16 << 20

@@ -373,9 +373,10 @@ def edited(text, rng, share):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_near_duplicate_texts(spark, sf, odd_docs, monkeypatch, block):
+@pytest.mark.parametrize(("block", "size"), [(1024, 16 << 20), (4, 16 << 20), (1024, 8_000)])
+def test_near_duplicate_texts(spark, sf, odd_docs, monkeypatch, block, size):
     monkeypatch.setattr(simhash, "TEXTS", block)
+    monkeypatch.setattr(simhash, "TEXT_BYTES", size)
     rng = random.Random(3)
     base = rows_of(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text")
     rows = base + [(10_000 + 10 * d + k, edited(t, rng, share)) for d, t in base[:40] for k, share in enumerate((0.005, 0.01, 0.02, 0.1))]
