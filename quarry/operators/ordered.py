@@ -36,6 +36,22 @@ def total_before(df: DataFrame, order: list[str], value: str | None, out: str) -
     return summed.withColumn(out, F.col("_start") + F.col("_sum")).drop("_add", "_range", "_sum", "_start")
 
 
+def places(df: DataFrame, group: str, by: list, out: str) -> DataFrame:
+    """Places from 0 within each group in the order of `by`, for groups that may hold most of the rows.
+
+    Rows are dealt by range over (group, by), so a large group is spread over many tasks; each numbers what it has,
+    and a count for each group and range says where it begins.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shared_table(shared_table(df, "placed").repartitionByRange(n, group, *by).withColumn("_range", F.spark_partition_id()), "placed")
+    counts = dealt.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*by)) - 1)
+    joined = numbered.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn(out, (F.col("_before") + F.col("_at")).cast("long")).drop("_range", "_at", "_g", "_r", "_before")
+
+
 def fold_sorted(df: DataFrame, group: str, order: str, start: Callable[[], object], step: Callable[[object, tuple], tuple], names: list[str], schema: str) -> DataFrame:
     """step(state, row) -> a row, over each group's rows in order, with a fresh state for each group.
 

@@ -67,6 +67,7 @@ def linear_fusion(lists: DataFrame, weights: DataFrame, keys: tuple[str, ...] =
 
 
 def ranks(results: DataFrame, by: list, group: str = "list_id", out: str = "rank0") -> DataFrame:
+    """Places from 0 in each query's list, which is short; ordered.places is for lists of a whole corpus."""
     return results.withColumn(out, (F.row_number().over(Window.partitionBy(group).orderBy(*by)) - 1).cast("long"))
 
 

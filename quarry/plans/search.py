@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import index, rank
+from quarry.operators.ordered import places
 from quarry.plans.registry import Tables, query
 
 TERMS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -222,7 +223,7 @@ UNION ALL SELECT 1, doc_id % 4, doc_id // 4, row_number() OVER (ORDER BY length(
 def lists(t: Tables) -> DataFrame:
     score = [F.col("n_chars").cast("double"), (F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))).cast("double")]
     both = [t.documents.select(F.lit(i).alias("list_id"), F.pmod("doc_id", F.lit(4)).cast("long").alias("segment"), F.floor(F.col("doc_id") / 4).cast("long").alias("local"), "doc_id", s.alias("score")) for i, s in enumerate(score)]
-    return rank.ranks(both[0].unionByName(both[1]), [F.desc("score"), "doc_id"]).drop("doc_id")
+    return places(both[0].unionByName(both[1]), "list_id", [F.desc("score"), "doc_id"], "rank0").drop("doc_id")
 
 
 @query("fuse_from_results", f"WITH {LISTS} SELECT * FROM lists")

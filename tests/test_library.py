@@ -196,6 +196,17 @@ def test_totals_and_folds(spark):
     assert ordered.total_before(df.limit(0), ["i"], None, "n").count() == 0
 
 
+def test_places_of_a_hot_group(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(20)) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, g string, x long").repartition(5)
+    got = {r.i: r.place for r in ordered.places(df, "g", [F.desc("x"), "i"], "place").collect()}
+    for g in ("hot", "b", None):
+        mine = sorted((i for i, h, _ in rows if h == g), key=lambda i: (-rows[i][2], i))
+        assert [got[i] for i in mine] == list(range(len(mine)))
+    assert ordered.places(df.limit(0), "g", ["i"], "place").count() == 0
+
+
 def test_cache_replay(spark):
     rows = [("s", i, k) for i, k in enumerate("abcabdacca")] + [("t", 0, "a")]
     got = {(r.stream, r.seq): r.hit for r in serving.lru_hits(spark.createDataFrame(rows, "stream string, seq long, key string"), 2).collect()}
