@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from quarry.llm.buckets import forest, meet
 from quarry.llm.common import materialize, pick
@@ -39,9 +40,9 @@ def signatures(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, wid
     return out.view(np.int64)
 
 
-def _units(raw: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Unit vectors in double precision from rows of packed doubles of one length."""
-    v = np.frombuffer(b"".join(raw.to_pylist()), dtype="<f8").reshape(len(raw), -1)
+def _units(raw: pa.ChunkedArray | pa.Array, code: str) -> np.ndarray:
+    """Unit vectors in double precision from rows of packed numbers of one length."""
+    v = np.frombuffer(b"".join(raw.to_pylist()), dtype=code).astype("f8").reshape(len(raw), -1)
     top = np.abs(v).max(axis=1, keepdims=True)
     v = v / top  # keeps squares of huge or tiny components in range
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
@@ -56,10 +57,13 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     least of a component; alone, its component_id and kept are null. Other columns are left out.
 
     Equal vectors are one with a multiplicity. Each link is counted in the first table where it is found, inside
-    the bucket, so no pairs are emitted: a bucket gives its rows' counts and a spanning forest.
+    the bucket, so no pairs are emitted: a bucket gives its rows' counts and a spanning forest. Vectors travel to
+    their buckets in the precision that they have; they are compared in double.
     """
     rows = pick(vectors, vec_id=key, embedding=embedding, label=label)
-    values = F.transform("embedding", lambda x: x.cast("double"))
+    single = isinstance(rows.schema["embedding"].dataType.elementType, FloatType)
+    code = "<f4" if single else "<f8"
+    values = F.transform("embedding", lambda x: x.cast("float" if single else "double"))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), values.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fit = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
@@ -77,8 +81,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
                 ends = np.cumsum(sizes)
                 for dim in np.unique(sizes).tolist():
                     at_rows = np.flatnonzero(sizes == dim)
-                    raw = [flat[ends[i] - dim : ends[i]].astype("<f8").tobytes() for i in at_rows]
-                    keys = signatures(_units(pa.array(raw, pa.binary())), tables, hashes, width) ^ (head[at_rows] * 31 + dim)[:, None]
+                    raw = [flat[ends[i] - dim : ends[i]].astype(code).tobytes() for i in at_rows]
+                    keys = signatures(_units(pa.array(raw, pa.binary()), code), tables, hashes, width) ^ (head[at_rows] * 31 + dim)[:, None]
                     yield pa.RecordBatch.from_pydict(
                         {"bucket": keys.ravel(), "gid": np.repeat(batch.column("gid").to_numpy()[at_rows], tables), "copies": np.repeat(batch.column("copies").to_numpy()[at_rows], tables),
                          "cls": np.repeat(head[at_rows], tables), "tab": np.tile(np.arange(tables, dtype=np.int32), len(at_rows)), "raw": [x for x in raw for _ in range(tables)]},
@@ -93,7 +97,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
             parts = [compare(table.filter(pa.array(lengths == n))) for n in np.unique(lengths) if (lengths == n).sum() > 1]
             parts = [x for x in parts if x]
             return {k: np.concatenate([x[k] for x in parts]) for k in parts[0]} if parts else None
-        unit = _units(table.column("raw"))
+        unit = _units(table.column("raw"), code)
         cosine = unit @ unit.T
         good = (cosine >= threshold - 1e-9) & (cls[:, None] == cls[None, :]) & (tab[:, None] == tab[None, :])
         if side[0] != 2:
