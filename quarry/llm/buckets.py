@@ -20,10 +20,11 @@ def meet(rows: DataFrame, key: str, compare: Callable[[pa.Table], dict | None],
     "_side": rows of side 0 are to be compared with all, of side 1 with side 0 only (two different blocks: one
     side each; one block or a whole bucket: all rows are of both, and _side is 2). It never sees more than two
     blocks, so a bucket that holds a third of all rows is a set of small tasks; pairs themselves aren't emitted.
-    With weight (a long column), blocks hold about `most` of it at most too, as rows are dealt to them by a hash.
+    With weight (a long column), blocks hold about `most` of it at most too, as rows are dealt to them by a hash; there
+    are never more blocks than rows, so a few huge rows aren't copied more often than they are many.
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), (F.sum(weight) if weight else F.lit(0)).alias("_weight"))
-    blocks = F.ceil(F.greatest(F.col("_n") / F.lit(block), F.col("_weight") / F.lit(most or 1))).cast("int")
+    blocks = F.least(F.ceil(F.greatest(F.col("_n") / F.lit(block), F.col("_weight") / F.lit(most or 1))), F.col("_n")).cast("int")
     hot = counts.where((F.col("_n") > block) | (F.col("_weight") > most)).select(F.col(key).alias("_hot"), blocks.alias("_blocks"))
     dealt = rows.join(hot, rows[key] == hot["_hot"], "left").drop("_hot")
     own = F.when(F.col("_blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("gid"), F.col("_blocks")).cast("int"))
