@@ -365,6 +365,7 @@ def test_late_events_are_left_out(spark, tmp_path):
     first = spark.createDataFrame([("2024-01-01 10:00:00", "a", 1.0), ("2024-01-01 10:30:00", "a", 1.0)], "ts string, k string, value double").withColumn("ts", F.to_timestamp("ts"))
     late = spark.createDataFrame([("2024-01-01 08:00:00", "a", 5.0), ("2024-01-01 12:00:00", "a", 1.0), ("2024-01-01 12:00:00", "a", 1.0)], "ts string, k string, value double").withColumn("ts", F.to_timestamp("ts"))
     folder = tmp_path / "in"
+    folder.mkdir()  # a stream's folder must be there
     stream = spark.readStream.schema(first.schema).parquet(str(folder))
     for i, part in enumerate((first, late)):
         part.coalesce(1).write.mode("append").parquet(str(folder))
