@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import index, rank
-from quarry.operators.ordered import places
+from quarry.operators.ordered import places, shared_table
 from quarry.plans.registry import Tables, query
 
 TERMS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -127,7 +127,8 @@ def wand_topk(t: Tables) -> DataFrame:
 
 @query("block_max_topk", WAND)
 def block_max_topk(t: Tables) -> DataFrame:
-    return index.block_max_disjunction(posts(t), index.blocks(posts(t)), weighted(t), 20)
+    mine = shared_table(posts(t).join(weighted(t).select("term").distinct(), "term", "left_semi"), "postings")  # the lists asked for, read several times
+    return index.block_max_disjunction(mine, index.blocks(mine), weighted(t), 20)
 
 
 # --- BM25
