@@ -29,11 +29,13 @@ TAU, SHINGLE, SEED = 2, 3, 42
 PROBE_COST, BLOCK = 500, 8192
 #: The largest threshold of one part: at 3 a part of 16 bits has 697 probes.
 MOST_FLIPS = 3
-#: Near-duplicate texts: words of a shingle, least similarity, and the fingerprints' shingles and distance that find
-#: them. Texts at 0.8 differ in some 2 % of words; measured, 96 to 100 % of pairs above it are within 10 bits.
+#: Near-duplicate texts: words of a shingle, least similarity, and the fingerprints' shingles and distance that group
+#: them first. Texts at 0.8 differ in some 2 % of words if those are scattered, in up to a fifth if they are one passage.
 WORDS, SIMILARITY, FIND_SHINGLE, FIND_TAU = 5, 0.8, 2, 10
 #: Texts of a block that are compared, and the bytes of their shingles.
 TEXTS, TEXT_BYTES = 1024, 16 << 20
+#: Shingles are ordered by how many texts have them, counted in 2 ** LG_SLOTS slots of hashes, in PIECES pieces.
+LG_SLOTS, PIECES = 18, 64
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, once: bool = False) -> int:
@@ -247,6 +249,153 @@ def _shingles(words: list[bytes], n: int) -> bytes:
     return b"".join([xxhash.xxh64_digest(g) for g in grams])
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        self[word] = made = xxhash.xxh64_intdigest(word, SEED)
+        return made
+
+
+def _tokens(words: list[bytes], n: int, hashes: _Hashes) -> np.ndarray:
+    """The distinct shingles of n words as 64-bit hashes made from the words' own; none if there are fewer words."""
+    if len(words) < n:
+        return np.empty(0, dtype=np.uint64)
+    each = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    last = len(words) - n + 1
+    out = each[:last].copy()
+    for k in range(1, n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + each[k : last + k]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def slot_counts(rows: DataFrame, words: int) -> np.ndarray:
+    """How many texts have the shingles of each slot: 2 ** LG_SLOTS sums, whatever the corpus holds."""
+    shift, wide = np.uint64(64 - LG_SLOTS), (1 << LG_SLOTS) // PIECES
+    schema = pa.schema([("piece", pa.int32()), ("n", pa.binary())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = _Hashes(), np.zeros(1 << LG_SLOTS, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column("text"):
+                slots = (_tokens(_words(x.as_py()), words, hashes) >> shift).astype(np.int64)
+                if len(slots):
+                    np.add.at(total, slots, 1)
+        if total.any():
+            yield pa.RecordBatch.from_pydict({"piece": np.arange(PIECES, dtype=np.int32), "n": [x.tobytes() for x in total.reshape(PIECES, wide)]}, schema=schema)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("piece").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, dtype=np.int64)
+        if sums:
+            yield pa.RecordBatch.from_pydict({"piece": list(sums), "n": [x.tobytes() for x in sums.values()]}, schema=schema)
+
+    out = np.zeros((PIECES, wide), dtype=np.int64)
+    parts = rows.select("text").mapInArrow(counted, "piece int, n binary").repartition(PIECES, "piece").mapInArrow(summed, "piece int, n binary")
+    for r in parts.collect():
+        out[r.piece] = np.frombuffer(r.n, dtype=np.int64)
+    return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
+
+
+def rare_tokens(rows: DataFrame, similarity: float, words: int) -> DataFrame:
+    """token, gid (of the text's words), n, pos: those of each text's rarest shingles that another text has among its own.
+
+    By prefix filtering: in any order common to all, two sets with this similarity share one of their first
+    n - ceil(similarity n) + 1. Rare shingles come first, so that common passages bring few texts together.
+    """
+    counts, shift = slot_counts(rows, words), np.uint64(64 - LG_SLOTS)
+    schema = pa.schema([("token", pa.int64()), ("gid", pa.int64()), ("at", pa.int64())])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out: list[tuple] = []
+                for x in batch.column("text").slice(at, 256):
+                    w = _words(x.as_py())
+                    tokens = _tokens(w, words, hashes)
+                    n = len(tokens)
+                    if n:
+                        first = n - int(np.ceil(similarity * n - 1e-6)) + 1
+                        tokens = tokens[np.argsort(counts[(tokens >> shift).astype(np.int64)], kind="stable")[:first]]
+                        who = int.from_bytes(_key(w)[:8], "big", signed=True)
+                        out.append((tokens.view(np.int64), np.full(len(tokens), who), (n << 32) + np.arange(len(tokens), dtype=np.int64)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by token, then gid; a row is held back until the next is known."""
+        held = np.empty((3, 0), dtype=np.int64)
+        before = None  # the token of the row before the one held
+
+        def cut(x: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, before
+            new = np.ones(x.shape[1], dtype=bool)
+            new[1:] = (x[:2, 1:] != x[:2, :-1]).any(axis=0)
+            x = x[:, new]
+            same = x[0, 1:] == x[0, :-1]
+            keep = np.zeros(x.shape[1], dtype=bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            keep[0] |= x[0, 0] == before
+            end = x.shape[1] if last else x.shape[1] - 1
+            held = x[:, end:]
+            if end:
+                before = x[0, end - 1]
+            if keep[:end].any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[:end][keep[:end]]) for c in x], schema=schema)
+
+        for batch in batches:
+            if batch.num_rows:
+                yield from cut(np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in schema.names])], axis=1), False)
+        if held.shape[1]:
+            yield from cut(held, True)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = rows.select("text").mapInArrow(prefixes, "token long, gid long, at long").repartition(n, "token").sortWithinPartitions("token", "gid")
+    found = made.mapInArrow(shared, "token long, gid long, at long")
+    return materialize(found.select("token", "gid", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")), "rare-tokens")
+
+
+def bucket_links(tokens: DataFrame, similarity: float) -> DataFrame:
+    """a, b: buckets that hold texts which share a token and may have this similarity by their sizes and the token's places.
+
+    tokens has token, gid, n, pos and bucket. A spanning forest in each two blocks of a token's rows; never the pairs.
+    """
+    share = similarity / (1 + similarity)
+
+    def compare(table: pa.Table) -> dict | None:
+        bucket, side = table.column("bucket").to_numpy(), table.column("_side").to_numpy()
+        if (bucket == bucket[0]).all():
+            return None
+        n, pos = table.column("n").to_numpy(), table.column("pos").to_numpy()
+        rest, lefts, rights = n - pos, [], []
+        for at in range(0, len(n), 256):
+            a = slice(at, at + 256)
+            good = (bucket[a, None] != bucket[None]) & (np.minimum(rest[a, None], rest[None]) >= share * (n[a, None] + n[None]) - 1e-6)
+            good &= np.minimum(n[a, None], n[None]) >= similarity * np.maximum(n[a, None], n[None]) - 1e-6
+            if side[0] != 2:
+                good &= side[a, None] != side[None]
+            left, right = np.nonzero(good)
+            lefts.append(left + at)
+            rights.append(right)
+        left, right = np.concatenate(lefts), np.concatenate(rights)
+        if not len(left):
+            return None
+        root = forest(left, right, len(n))
+        keep = bucket != bucket[root]
+        return {"a": bucket[keep], "b": bucket[root[keep]]} if keep.any() else None
+
+    return meet(tokens, "token", compare, "a long, b long", block=BLOCK)
+
+
 def similar_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """a, b: a spanning forest, in each two blocks of a bucket, of the pairs of gid whose sets of hashes (sh, n of them) have this Jaccard similarity."""
 
@@ -254,12 +403,18 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         gid, side = table.column("gid").to_numpy(), table.column("_side").to_numpy()
         raw = table.column("sh").to_pylist()
         sizes = np.asarray([len(x) // 8 for x in raw])
-        row = np.repeat(np.arange(len(gid)), sizes)
-        _, inverse, seen = np.unique(np.frombuffer(b"".join(raw), dtype="<u8"), return_inverse=True, return_counts=True)
-        shared = seen[inverse] > 1
-        row, inverse = row[shared], np.unique(inverse[shared], return_inverse=True)[1]
-        order = np.argsort(inverse, kind="stable")
-        row, inverse = row[order], inverse[order]
+        hashes = np.frombuffer(b"".join(raw), dtype="<u8")
+        del raw
+        order = np.argsort(hashes)
+        hashes, row = hashes[order], np.repeat(np.arange(len(gid), dtype=np.int32), sizes)[order]
+        del order
+        new = np.ones(len(hashes), dtype=bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        del hashes
+        shared = ~new  # the first of several equal ones counts too
+        shared[:-1] |= ~new[1:]
+        row, inverse = row[shared], np.cumsum(new[shared], dtype=np.int32) - 1
+        del new, shared
         both = np.zeros((len(gid), len(gid)), dtype=np.float32)
         width, k, at = max(256, (4 << 20) // len(gid)), int(inverse[-1]) + 1 if len(inverse) else 0, 0
         for first in range(0, k, width):
@@ -268,11 +423,16 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             has[row[at:end], inverse[at:end] - first] = 1
             both += has @ has.T
             at = end
-        either = sizes[:, None] + sizes[None, :] - both
-        good = np.triu(both >= similarity * either - 1e-6, 1)
-        if side[0] != 2:
-            good &= side[:, None] != side[None, :]
-        left, right = np.nonzero(good)
+        lefts, rights = [], []
+        for at in range(0, len(gid), 256):
+            some = both[at : at + 256]
+            good = np.triu(some >= similarity * (sizes[at : at + 256, None] + sizes[None, :] - some) - 1e-6, at + 1)
+            if side[0] != 2:
+                good &= side[at : at + 256, None] != side[None, :]
+            left, right = np.nonzero(good)
+            lefts.append(left + at)
+            rights.append(right)
+        left, right = np.concatenate(lefts), np.concatenate(rights)
         if not len(left):
             return None
         root = forest(left, right, len(gid))
@@ -285,9 +445,11 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 def near_duplicate_texts(docs: DataFrame, tau: int = FIND_TAU, similarity: float = SIMILARITY, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, component_id (least doc_id reachable by links): a row for each row. Texts link whose `words`-word shingles have this similarity or more.
 
-    Fingerprints within tau find groups of documents; inside each, the whole texts' sets of shingles are compared,
-    so no link is false. Texts with the same lower-cased words are one text, empty, wordless and null ones
-    included. A null doc_id is never the least unless all of its component are null. Other columns are left out.
+    Fingerprints within tau group documents first. Groups are then joined wherever texts of two share one of their
+    rarest shingles and may be similar, as any two that are must (rare_tokens), so no link is missed, whatever the
+    edit. Inside each group the whole texts' sets of shingles are compared, so no link is false. Texts with the same
+    lower-cased words are one text, empty, wordless and null ones included. A null doc_id is never the least unless
+    all of its component are null. Other columns are left out.
     """
     rows = pick(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     found = materialize(copies_of(rows), "copies")
@@ -297,6 +459,11 @@ def near_duplicate_texts(docs: DataFrame, tau: int = FIND_TAU, similarity: float
     near = components(links(classes.select("fp").distinct(), tau))
     placed = classes.join(near, classes["fp"] == near["node"], "left").select("gid", "key", "least", "th", F.coalesce("component", "fp").alias("bucket"))
     placed = materialize(placed, "copy-buckets")
+    who = placed.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("_who"), "bucket")
+    tokens = rare_tokens(rows, similarity, words)
+    merged = components(bucket_links(materialize(tokens.join(who, tokens["gid"] == who["_who"]).drop("_who"), "bucket-tokens"), similarity))
+    placed = placed.join(merged, placed["bucket"] == merged["node"], "left").select("gid", "key", "least", "th", F.coalesce("component", "bucket").alias("bucket"))
+    placed = materialize(placed, "copy-buckets")
     several = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
     wanted = placed.join(several, "bucket", "left_semi").select("gid", F.col("key").alias("want"), F.col("least").alias("_doc"), F.col("th").alias("_th"), "bucket")
 

@@ -404,6 +404,35 @@ def test_near_duplicate_texts(spark, sf, odd_docs, monkeypatch, block, size):
     assert len(links) > 60
 
 
+def passages_changed(words, rng, share):
+    """The copies of a text with one passage appended, prepended, cut off either end, put in, or replaced."""
+    k = max(1, int(len(words) * share))
+    new, at = [f"fresh{rng.randrange(10**9)}" for _ in range(k)], rng.randrange(len(words) - k)
+    return [words + new, new + words, words[:-k], words[k:], words[:at] + new + words[at:], words[:at] + new[: max(1, k // 2)] + words[at + max(1, k // 2) :]]
+
+
+def test_near_duplicate_texts_with_one_passage_changed(spark):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.choice([40, 90, 300, 900]))] for _ in range(60)]
+    texts = [" ".join(x) for w in base for share in (0.05, 0.15, 0.19) for x in (w, *passages_changed(w, rng, share))]
+    rows = list(enumerate(dict.fromkeys(texts)))
+    names = {t.encode(): d for d, t in rows}
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = brute_similar(rows)
+    for a, b in links:
+        low, high = sorted((find(names[a]), find(names[b])))
+        root[high] = low
+    got = dict(rows_of(simhash.near_duplicate_texts(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id"))
+    assert len(links) > 600
+    assert got == {d: find(d) for d, _ in rows}
+
+
 def test_near_duplicate_texts_of_nothing(no_docs):
     assert simhash.near_duplicate_texts(no_docs).count() == 0
 
