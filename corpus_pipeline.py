@@ -24,9 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines that other documents keep; n_chars follows the text.
 
-    A document that is mostly such lines is a copy: it stays whole, for the next stage to tell by its fingerprint.
+    That holds for documents that are mostly such lines too; the first occurrence of each line stays.
     """
-    out = lines.line_dedup(docs, carry=("lang", "source"), most_lost=0.5)
+    out = lines.line_dedup(docs, carry=("lang", "source"))
     return out.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -81,6 +81,13 @@ def test_stages_in_turn(spark, sf):
     assert Counter(whole) == want
 
 
+def test_boilerplate_goes_from_documents_that_are_mostly_boilerplate(spark, sf):
+    shared = "a line that all of the pages have\nand one more that they share"
+    rows = [(i, f"{shared}\nown {i}", "en", f"s{i}", 0) for i in range(6)]
+    out = dict(corpus_pipeline.STAGES)["line dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf)
+    assert dict(rows_of(out, "doc_id", "text")) == {0: rows[0][1]} | {i: f"own {i}" for i in range(1, 6)}
+
+
 @pytest.mark.parametrize("rows", ["odd", "none"])
 @pytest.mark.parametrize("stage", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_take_odd_rows(spark, sf, odd_docs, no_docs, stage, rows):
