@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import content_words
+from quarry.functions.text import STOPWORDS, content_words
 
 HOPS = ("and then", "compare", "difference between", "how does", "relationship between", "step by step", "timeline of", "versus", " vs ", "why does")
 ASKS = ("best", "explain", "how", "list", "should i", "summarize", "what", "when", "where", "who", "why")
@@ -148,6 +151,23 @@ def overlap(claim: Column, passage: Column) -> Column:
     return F.transform(found, lambda x: verdict(x["c"], x["lacks"]))[0]
 
 
+def _content(text: str) -> list[str]:
+    """What content_words gives."""
+    return [w for w in re.findall("[a-z0-9]+", text.lower()) if w not in STOPWORDS]
+
+
+def all_overlaps(text: str, passages: Iterable[str]) -> list[tuple[int, int, bool, float]]:
+    """claim_id, the passage's place, entailed, score: overlap() of every claim of a text with every passage, each split once."""
+    said = [_content(c) for c, _, _ in claims(text)]
+    out = []
+    for k, passage in enumerate(passages):
+        has = set(_content(passage))
+        for i, words in enumerate(said):
+            score = sum(w in has for w in words) / len(words) if words else 0.0
+            out.append((i, k, bool(words) and score >= ENTAILED, score))
+    return out
+
+
 def best_verdicts(claims_: DataFrame, passages: DataFrame) -> DataFrame:
     """query_id, claim_id, entailed, score: the best over the passages cited (chunks); uncited claims and chunks out of range have none."""
     cited = claims_.select("query_id", "claim_id", "claim", F.explode_outer("chunks").alias("chunk"))

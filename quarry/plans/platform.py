@@ -159,7 +159,7 @@ def citations_parse(t: Tables) -> DataFrame:
     return parsed(cited(t), "citations")
 
 
-#: A claim is a document's first line, the passages the documents themselves and those of the next id.
+#: A claim is a document's first line, the passages the documents themselves and those of the next id. The queries ending in _claims check every claim.
 WORDS = f"list_filter({TERMS.format('{}')}, lambda x: x NOT IN ({', '.join(repr(w) for w in answer.content_words.__defaults__[0])}))"
 OVERLAP = f"""d AS (SELECT doc_id, split_part(text, chr(10), 1) AS claim, text FROM documents), pairs AS (SELECT a.doc_id, b.doc_id AS passage, {WORDS.format('a.claim')} AS w, {WORDS.format('b.text')} AS p FROM d a JOIN d b ON b.doc_id IN (a.doc_id, a.doc_id + 1)),
 v AS (SELECT doc_id, passage, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(p, x))) / len(w) ELSE 0 END AS score, len(w) > 0 AS has_words FROM pairs), verdicts AS (SELECT doc_id, passage, has_words AND score >= 0.5 AS entailed, score FROM v)"""
@@ -192,6 +192,43 @@ def verify_correct(t: Tables) -> DataFrame:
     return answer.corrected(best(t), t.documents.select(F.col("lang").alias("query_id")))
 
 
+def claim_verdicts(t: Tables) -> DataFrame:
+    """doc_id, lang, claim_id, passage, entailed, score: every claim of every document against the document and that of the next id."""
+    docs = t.documents.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")), "doc_id", "left")
+
+    def check(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                rows = []
+                for d, lang, text, after in batch[["doc_id", "lang", "text", "next"]].iloc[at : at + 64].itertuples(index=False):
+                    found = answer.all_overlaps(text, [text] if after is None else [text, after])
+                    rows += [(d, lang, i, d + k, entailed, score) for i, k, entailed, score in found]
+                yield pd.DataFrame(rows, columns=["doc_id", "lang", "claim_id", "passage", "entailed", "score"])
+
+    return pairs.mapInPandas(check, "doc_id long, lang string, claim_id long, passage long, entailed boolean, score double")
+
+
+def best_of_claims(t: Tables) -> DataFrame:
+    best = claim_verdicts(t).groupBy(F.col("lang").alias("query_id"), "doc_id", "claim_id").agg(F.max(F.struct("entailed", "score")).alias("v"))
+    return best.select("query_id", "doc_id", "claim_id", "v.entailed", "v.score")
+
+
+@query("verify_overlap_claims")
+def verify_overlap_claims(t: Tables) -> DataFrame:
+    return claim_verdicts(t).select("doc_id", "claim_id", "passage", "entailed", F.round("score", 6).alias("score"))
+
+
+@query("verify_best_passage_claims")
+def verify_best_passage_claims(t: Tables) -> DataFrame:
+    return best_of_claims(t).withColumn("score", F.round("score", 6))
+
+
+@query("verify_correct_claims")
+def verify_correct_claims(t: Tables) -> DataFrame:
+    return answer.corrected(best_of_claims(t), t.documents.select(F.col("lang").alias("query_id")))
+
+
 def grounded(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Answers are documents; each has two supports: its first ten bytes, and its last."""
     answers = t.documents.select(F.col("doc_id").alias("query_id"), F.regexp_replace("text", "[^ -~]", "?").alias("answer"), F.lit(3).alias("n_chunks"))

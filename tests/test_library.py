@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import hashing
 from quarry.operators import answer, control, crawl, crowd, dedup, evaluation, graph, index, ordered, rank, serving, storage, telemetry, vectors
+from quarry.plans import platform  # noqa: F401
+from quarry.plans.registry import QUERIES
 from quarry.sources import formats
 from quarry.streaming import live
 
@@ -407,3 +409,21 @@ def test_shared_loads():
     with pytest.raises(ZeroDivisionError):
         loads.get("bad", lambda: 1 / 0)
     assert loads.get("bad", lambda: 2) == 2 and loads.get("k", lambda: "new") == "new"
+
+
+def test_every_claim_is_verified(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").collect()
+    texts, langs = {r.doc_id: r.text for r in docs}, {r.doc_id: r.lang for r in docs}
+    claims = [(d, i, c, p) for d, t in texts.items() for i, (c, _, _) in enumerate(answer.claims(t)) for p in (d, d + 1) if p in texts and (len(t) < 2000 or i % 7 == 0)]
+    rows = spark.createDataFrame(claims, "doc_id long, claim_id long, claim string, passage long").join(spark.createDataFrame(list(texts.items()), "passage long, text string"), "passage")
+    want = {(r.doc_id, r.claim_id, r.passage): (r.v.entailed, round(r.v.score, 6)) for r in rows.withColumn("v", answer.overlap(F.col("claim"), F.col("text"))).collect()}
+    got = {(r.doc_id, r.claim_id, r.passage): (r.entailed, r.score) for r in QUERIES["verify_overlap_claims"](spark, sf).collect()}
+    assert len(got) == sum(len(answer.claims(t)) * (1 + (d + 1 in texts)) for d, t in texts.items())
+    assert {k: got[k] for k in want} == want
+    best = {}
+    for (d, i, _), v in got.items():
+        best[d, i] = max(best.get((d, i), (False, 0.0)), v)
+    assert {(r.doc_id, r.claim_id): (r.entailed, r.score) for r in QUERIES["verify_best_passage_claims"](spark, sf).collect()} == best
+    for r in QUERIES["verify_correct_claims"](spark, sf).collect():
+        keep = [e for (d, _), (e, _) in best.items() if langs[d] == r.query_id]
+        assert (r.kept, r.dropped, r.verified) == (sum(keep), len(keep) - sum(keep), all(keep))
