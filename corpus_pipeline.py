@@ -7,18 +7,33 @@ from pyspark.sql import functions as F
 
 from quarry.llm import line_dedup as lines
 from quarry.llm import mixing, packing, quality, simhash
-from quarry.llm.common import materialize
+from quarry.llm.common import materialize, pick
 from quarry.llm.queries import vocabulary
 
+VOCABULARY = "word_bpe_49k.json"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Shares of the mix. The budget asks for just as many clean tokens as there are, and nothing is repeated, so what goes is junk and toxic.
 SHARES = {"clean": 0.96, "junk": 0.03, "toxic": 0.01}
 
 
+def _of_rows(docs: DataFrame, chosen: DataFrame, *names: str) -> DataFrame:
+    """The rows of docs that chosen names by these columns (and text_hash for the text), nulls being equal.
+
+    A decision of a stage hangs on a row's text and source only, so rows that repeat a doc_id, or have none, are
+    each decided by their own.
+    """
+    keyed = pick(docs, **{c: c for c in COLUMNS}).withColumn("text_hash", F.xxhash64("text"))
+    named = chosen.select(*[F.col(n).alias(f"_{n}") for n in names]).distinct()
+    same = F.lit(True)
+    for n in names:
+        same = same & keyed[n].eqNullSafe(named[f"_{n}"])
+    return keyed.join(named, same, "left_semi")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and whose host does. Rows that repeat a doc_id stay only if each of them passes."""
-    verdicts = quality.quality_rules(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.min("kept").alias("_kept")).where("_kept")
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col("_doc")), "left_semi").select(*COLUMNS)
+    """The rows that pass the rules and whose host does."""
+    kept = quality.quality_rules(docs).where("kept").withColumnRenamed("host", "source")
+    return _of_rows(docs, kept, "doc_id", "text_hash", "source").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,25 +46,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id; one row of those that repeat it.
+    """One row of each group of near-duplicates: that with the least doc_id, then text hash, then other columns; null ids come last.
 
-    Documents link when their five-word shingles have a similarity of 0.8 or more; SimHash finds the candidates.
+    Rows link when their five-word shingles have a similarity of 0.8 or more; SimHash finds the candidates.
     """
-    found = simhash.near_duplicate_texts(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_doc")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    kept = _of_rows(docs, simhash.near_duplicate_texts(docs).where("kept"), "doc_id", "text_hash")
+    one = kept.groupBy("doc_id", "text_hash").agg(F.min(F.struct("source", "lang", "n_chars", "text")).alias("x"))
+    return one.select("doc_id", "x.text", "x.lang", "x.source", "x.n_chars")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rates keep. No rate is above 1, so each stays once or goes."""
-    rates = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), SHARES, budget="clean", most=1.0)
-    kept = materialize(rates.where("copies >= 1").select(F.col("doc_id").alias("_doc")), "mix-kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_doc")), "left_semi").select(*COLUMNS)
+    """The rows that the rates keep. No rate is above 1, so each stays once or goes."""
+    rates = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), SHARES, vocabulary(VOCABULARY), budget="clean", most=1.0)
+    return _of_rows(docs, materialize(rates.where("copies >= 1").select("doc_id", "text_hash"), "mix-kept"), "doc_id", "text_hash").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in the sequences."""
-    return packing.packed_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1)
+    return packing.packed_documents(docs, vocabulary(VOCABULARY), end_id=1)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("simhash near-dedup", simhash_dedup), ("mixing", mix), ("best-fit packing", pack)]

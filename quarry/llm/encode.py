@@ -4,11 +4,13 @@ A unit is a run without white space, with its preceding blank where the vocabula
 with the usual pattern always begins a new pre-token at a single blank or line feed between other characters, and
 every merge stays inside a pre-token, so the ids of the units in turn are the ids of the text. Texts with any
 other white space (runs, tabs, leading or trailing blanks, Unicode blanks) or unprintable characters are encoded
-whole by the library. Units that the memo lacks are encoded by the library too.
+whole by the library. Units that the memo lacks are encoded by the library too. Which rule holds is read from the
+vocabulary's file; with any other normaliser, pre-tokenizer or model, every text goes whole to its library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from array import array
@@ -23,8 +25,25 @@ _kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LETTERS = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _kept)}
 
 
+#: What a file of each kind says of its normaliser and pre-tokenizer.
+BYTES = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, None)
+WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "</w>",
+)
+
+
 @lru_cache(maxsize=4)
 def load(path: str):
+    """The tokenizers library's object for a .json, sentencepiece's for a .model."""
+    if path.endswith(".model"):
+        from sentencepiece import SentencePieceProcessor
+
+        return SentencePieceProcessor(model_file=path)
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
     from tokenizers import Tokenizer
@@ -35,6 +54,20 @@ def load(path: str):
     return made
 
 
+@lru_cache(maxsize=4)
+def rule(path: str) -> str | None:
+    """"bytes" if pre-tokens carry the blank before them, "words" if blanks are dropped, None if units can't be told by white space."""
+    if path.endswith(".model"):
+        return None
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    model = said["model"]
+    plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    tokens = all(x["content"].startswith("<|") and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in said.get("added_tokens", []))
+    found = (said.get("normalizer"), said.get("pre_tokenizer"), model.get("end_of_word_suffix") or None)
+    return {True: "bytes" if found == BYTES else "words" if found == WORDS else None, False: None}[plain and tokens]
+
+
 class Units(dict):
     """unit -> value, made when it is first asked for."""
 
@@ -50,21 +83,22 @@ class Units(dict):
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit bytes, or their numbers.
 
-    keeps_blanks: whether the vocabulary's pre-tokens carry the blank before them (byte-level) or drop it (word ends).
     Units are cheap to make again from their pre-tokens, so their memo is emptied when full; the pre-tokens, which
     cost the merges, are kept for another generation.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool, counts: bool = False):
-        self.tokenizer = load(path)
-        self.keeps_blanks, self.counts = keeps_blanks, counts
-        self.model, self.units, self.heads, self.old = self.tokenizer.model, Units(self._unit), {}, {}
-        self.feed = self._whole(["\n"])[0] if keeps_blanks else None
+    def __init__(self, path: str, counts: bool = False):
+        self.tokenizer, self.rule, self.counts = load(path), rule(path), counts
+        self.keeps_blanks = self.rule == "bytes"
+        self.model, self.units, self.heads, self.old = getattr(self.tokenizer, "model", None), Units(self._unit), {}, {}
+        self.feed = self._whole(["\n"])[0] if self.keeps_blanks else None
 
     def _value(self, ids):
         return len(ids) if self.counts else array("I", ids).tobytes()
 
     def _whole(self, texts: list[str]) -> list:
+        if not hasattr(self.tokenizer, "encode_batch"):
+            return [self._value(x) for x in self.tokenizer.encode(texts, num_threads=1)]
         return [self._value(x.ids) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _pretoken(self, text: str) -> bytes | int:
@@ -117,6 +151,8 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list:
         """One value for each text: bytes of its ids, or with counts=True how many there are."""
         out, join = [], sum if self.counts else b"".join
+        if self.rule is None:
+            return [self._whole([text])[0] for text in texts]
         for text in texts:
             flat = text.replace("\n", "")
             if not text or text[0] in " \n" or text[-1] in " \n" or not flat.isprintable() or any(x in text for x in ("  ", "\n\n", " \n", "\n ")):
@@ -140,6 +176,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, keeps_blanks: bool, counts: bool = False) -> Encoder:
+def encoder(path: str, counts: bool = False) -> Encoder:
     """One for each vocabulary and use in a worker, so that its memo serves all of the worker's tasks."""
-    return Encoder(path, keeps_blanks, counts)
+    return Encoder(path, counts)

@@ -2,7 +2,7 @@
 
 A classifier learned from the labels gives each document's posteriors over domains. With t tokens and posteriors p,
 a document at rate r adds r * t * p to the domains' expected tokens. Projected gradient least squares finds rates
-in [0, most], starting from 1, that bring those totals to the targets. Residuals are weighted by the inverse of
+of 0 or more (and at most `most`, if that is given), starting from 1, that bring those totals to the targets. Residuals are weighted by the inverse of
 sum t p p', which makes the problem well conditioned, and steps are measured by tokens, so each step is
 r - p . w (clipped) with one short vector w for all documents. A document's rate is therefore a replay of those
 vectors, and the only state is the list of them: an iteration is one pass over (t, p) that returns a sum for each task.
@@ -10,6 +10,7 @@ vectors, and the only state is the list of them: an iteration is one pass over (
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, pick
+from quarry.llm.encode import encoder
 
 DOMAINS = ("clean", "junk", "toxic")
 #: Labelled documents to learn from at most, words in the vocabulary, and passes of the learner.
@@ -123,32 +125,41 @@ def train(sample: DataFrame, words: int = WORDS, epochs: int = EPOCHS) -> Classi
     return Classifier(vocabulary, np.vstack([w, v]), mean, spread)
 
 
-def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, n_tokens (words), p (posteriors), from whole texts: a row for each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
+def memberships(docs: DataFrame, model: Classifier, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, text_hash, n_tokens, p (posteriors), from whole texts: a row for each row. Tokens are the vocabulary's ids, or words without one."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary's size
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = encoder(tokenizer, counts=True) if tokenizer else None
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n, p = shared.value.posteriors(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(p.tolist(), schema.field("p").type)], schema=schema)
+                texts = part.column("text").to_pylist()
+                n, p = shared.value.posteriors(texts)
+                tokens = count([x or "" for x in texts]) if count else n.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(tokens, pa.int64()), pa.array(p.tolist(), schema.field("p").type)], schema=schema)
 
-    rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(scored, "doc_id long, n_tokens long, p array<double>")
+    rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(scored, "doc_id long, text_hash long, n_tokens long, p array<double>")
 
 
 @dataclass
 class Fit:
     history: list[tuple[list[float], float]]  # step vectors and momenta
-    most: float
+    most: float | None
     totals: np.ndarray  # expected tokens at the rates found
     targets: np.ndarray
     natural: np.ndarray  # at rate 1
 
+    @property
+    def met(self) -> bool:
+        """Whether every domain's total is within a thousandth of all target tokens. With a bound on rates, or a domain that
+        hardly any document has, targets may be out of reach; the totals are then the nearest that were found."""
+        return bool(np.abs(self.totals - self.targets).max() <= 1e-3 * max(self.targets.sum(), 1.0))
 
-def replay(p: np.ndarray, history: list, most: float) -> np.ndarray:
+
+def replay(p: np.ndarray, history: list, most: float | None) -> np.ndarray:
     """Rates of documents with posteriors p after these steps."""
     r = before = np.ones(len(p))
     for w, momentum in history:
@@ -161,11 +172,12 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("p").flatten().to_numpy().reshape(-1, len(DOMAINS))
 
 
-def fit_rates(members: DataFrame, shares: dict[str, float], budget: float | str | None = None, most: float = 8.0, steps: int = 60, tolerance: float = 1e-6) -> Fit:
+def fit_rates(members: DataFrame, shares: dict[str, float], budget: float | str | None = None, most: float | None = None, steps: int = 60, tolerance: float = 1e-6) -> Fit:
     """Rates for targets shares * budget. budget: tokens in all, by default as many as there are; 0: as many as leave no target
     above what there is; a domain's name: as many as make that domain's target just what there is of it.
 
-    Stops when the residuals are within tolerance of the budget, or when they and the step have settled, or after `steps` passes.
+    Stops when the residuals are within tolerance of the budget, or when they and the step have settled, or after `steps` passes;
+    the result tells what was reached, and a warning is given if that isn't the targets.
     Sums are added in the order of tasks, so a run repeats exactly on the same splits.
     """
     k = len(DOMAINS)
@@ -208,34 +220,39 @@ def fit_rates(members: DataFrame, shares: dict[str, float], budget: float | str
         loss = lambda s: (s - targets) @ weigh @ (s - targets)
         if loss(now) > loss(before):  # restart the momentum
             momentum, theta = 0.0, 1.0
-    return Fit(history, most, now, targets, natural)
+    fit = Fit(history, most, now, targets, natural)
+    if not fit.met:
+        warnings.warn(f"mixing: targets {targets.round().tolist()} aren't met; reached {now.round().tolist()}", stacklevel=2)
+    return fit
 
 
 def rated(members: DataFrame, fit: Fit) -> DataFrame:
-    """doc_id, n_tokens, p_<domain>, rate, and copies: the rate's whole part, and one more by a hash of doc_id with its fraction's chance.
+    """doc_id, text_hash, n_tokens, p_<domain>, rate, and copies: the rate's whole part, and one more by a hash of doc_id with its
+    fraction's chance; and, alike in all rows, wanted_<domain> and reached_<domain>, the expected tokens asked for and found.
 
     The hash is of doc_id alone, so what a document gets doesn't hang on the others. Null doc_id is one key.
     """
     history, most = fit.history, fit.most
-    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), *[(f"p_{d}", pa.float64()) for d in DOMAINS], ("rate", pa.float64())]
+    fields = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_tokens", pa.int64()), *[(f"p_{d}", pa.float64()) for d in DOMAINS], ("rate", pa.float64())]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = _matrix(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(p.shape[1])], pa.array(replay(p, history, most))], schema=pa.schema(fields))
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ("doc_id", "text_hash", "n_tokens")], *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(p.shape[1])], pa.array(replay(p, history, most))], schema=pa.schema(fields))
 
-    out = members.mapInArrow(rate, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")
+    out = members.mapInArrow(rate, "doc_id long, text_hash long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id"), 11) / F.lit(float(1 << 53))
     whole = F.floor("rate")
-    return out.withColumn("copies", (whole + (chance < F.col("rate") - whole).cast("long")).cast("long"))
+    told = {f"{name}_{d}": F.lit(float(x)) for name, each in (("wanted", fit.targets), ("reached", fit.totals)) for d, x in zip(DOMAINS, each, strict=True)}
+    return out.withColumn("copies", (whole + (chance < F.col("rate") - whole).cast("long")).cast("long")).withColumns(told)
 
 
-def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], budget: float | str | None = None, most: float = 8.0, max_train: int = MAX_TRAIN) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], tokenizer: str | None = None, budget: float | str | None = None, most: float | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
     """Rates for all documents: rated() of memberships() under the fit for these shares.
 
     Null text has no tokens; it gets a rate but weighs nothing. Rows that repeat a document count each and get the
     same rate. Empty tables give an empty result. Other columns are left out.
     """
     model = train(labelled(docs, labels, max_train))
-    members = materialize(memberships(docs, model), "mix-members")
+    members = materialize(memberships(docs, model, tokenizer), "mix-members")
     return rated(members, fit_rates(members, shares, budget, most))

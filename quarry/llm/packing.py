@@ -221,7 +221,7 @@ def dealt(patterns: list[Pattern]) -> dict[int, tuple[list[int], list[int], list
     return out
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keeps_blanks: bool = False, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and with_ids the ids (little-endian unsigned 32-bit) of each piece.
 
     A document is its whole text's ids, then end_id; only one longer than capacity is cut. Null text is empty.
@@ -231,7 +231,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPA
     schema = pa.schema(fields + [("ids", pa.binary())] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, keeps_blanks)
+        encode = encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -274,9 +274,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
     return placed.mapInArrow(assign, spec)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keeps_blanks: bool = False, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset of every piece of every document."""
-    return pack(pieces_of(docs, tokenizer, end_id, capacity, keeps_blanks, key, text, with_ids), capacity)
+    return pack(pieces_of(docs, tokenizer, end_id, capacity, key, text, with_ids), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

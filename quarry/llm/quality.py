@@ -48,7 +48,7 @@ def _repeats(words: Column) -> Column:
 
 
 def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """doc_id, host and the counts of the base rules over whole texts.
+    """doc_id, text_hash, host and the counts of the base rules over whole texts.
 
     Null text: no words. Null host: null is one host. Other columns are left out; repeated rows give a row each.
     """
@@ -64,12 +64,13 @@ def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", hos
 
     found = pick(docs, doc_id=key, text=text, host=host).select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("text_hash"),
         "host",
         let(words_of(body), counted).alias("w"),
         (F.char_length(body) - F.char_length(F.regexp_replace(body, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("copies"), F.size(x).alias("lines"))).alias("l"),
     )
-    return found.select("doc_id", "host", "w.n_words", "w.word_chars", "n_symbols", F.col("l.copies").alias("n_dup_lines"), "w.n_repeat_words", F.col("l.lines").alias("n_lines"))
+    return found.select("doc_id", "text_hash", "host", "w.n_words", "w.word_chars", "n_symbols", F.col("l.copies").alias("n_dup_lines"), "w.n_repeat_words", F.col("l.lines").alias("n_lines"))
 
 
 def _failures() -> dict[str, Column]:
@@ -117,5 +118,5 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
     failed = rules["short"] | rules["repetitive"]
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & F.coalesce("host_kept", F.lit(True))).alias("kept"), "host",
+        failed.alias("base_failed"), (~failed & F.coalesce("host_kept", F.lit(True))).alias("kept"), "host", "text_hash",
     )

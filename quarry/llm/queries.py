@@ -40,7 +40,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), SHARES)
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), SHARES, vocabulary("word_bpe_49k.json")).drop("text_hash")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(_table(spark, sf_dir, "documents")).drop("host")
+    return quality.quality_rules(_table(spark, sf_dir, "documents")).drop("host", "text_hash")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,8 @@ MOST_FLIPS = 3
 #: Near-duplicate texts: words of a shingle, least similarity, and the fingerprints' shingles and distance that group
 #: them first. Texts at 0.8 differ in some 2 % of words if those are scattered, in up to a fifth if they are one passage.
 WORDS, SIMILARITY, FIND_SHINGLE, FIND_TAU = 5, 0.8, 2, 10
+#: Hashes of a text's sketch, and the Jaccard similarity of sketches (12 of 32 shared) that makes a candidate of a pair that met.
+SKETCH, SKETCHED = 32, 12 / 52
 #: Texts of a block that are compared, and the bytes of their shingles.
 TEXTS, TEXT_BYTES = 1024, 16 << 20
 #: Shingles are ordered by how many texts have them, counted in 2 ** LG_SLOTS slots of hashes, in PIECES pieces.
@@ -165,47 +167,100 @@ def _flips(bits: tuple[int, ...], threshold: int) -> tuple[int, ...]:
     return tuple(sum(1 << b for b in c) for t in range(threshold + 1) for c in combinations(bits, t))
 
 
-def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
-    """a, b: a spanning forest in each bucket of the pairs of distinct fingerprints (fp) within tau."""
-    n, both = bit_statistics(fps)
-    if n == 0:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    parts = plan(n, both, tau)
+def _probes(rows: DataFrame, parts: list[tuple[list[int], int]], with_fp: bool = False) -> DataFrame:
+    """bucket, gid, part, own (and fp): each row of (fp, gid) in its own bucket of every part, and in those that few flips lead to."""
+    fields = [("bucket", pa.int64()), ("gid", pa.int64()), ("part", pa.int32()), ("own", pa.bool_())] + [("fp", pa.int64())] * with_fp
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("gid", pa.int64()), ("part", pa.int32()), ("own", pa.bool_())])
         for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
+            fp, gid = batch.column("fp").to_numpy().view(np.uint64), batch.column("gid")
             for k, (bits, threshold) in enumerate(parts):
                 mask = np.uint64(sum(1 << b for b in bits))
                 for flip in _flips(tuple(bits), threshold):
                     key = ((fp & mask) ^ np.uint64(flip)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
-                    yield pa.RecordBatch.from_pydict({"bucket": key.view(np.int64), "gid": fp.view(np.int64), "part": np.full(len(fp), k, np.int32), "own": np.full(len(fp), flip == 0)}, schema=schema)
+                    made = [pa.array(key.view(np.int64)), gid, pa.array(np.full(len(fp), k, np.int32)), pa.array(np.full(len(fp), flip == 0))] + [batch.column("fp")] * with_fp
+                    yield pa.RecordBatch.from_arrays(made, schema=pa.schema(fields))
+
+    return rows.select("fp", "gid").mapInArrow(probed, "bucket long, gid long, part int, own boolean" + ", fp long" * with_fp)
+
+
+def _within(table: pa.Table, column: str, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of a bucket that are within tau, of one part, and of which one at least is at home there."""
+    x = table.column(column).to_numpy().view(np.uint64)
+    own, side, part = table.column("own").to_numpy(), table.column("_side").to_numpy(), table.column("part").to_numpy()
+    for at in range(0, len(x), 256):
+        a, b = np.nonzero(np.bitwise_count(x[at : at + 256, None] ^ x[None, at:]) <= tau)
+        a, b = a + at, b + at
+        good = (a < b) & (own[a] | own[b]) & (part[a] == part[b])
+        if side[0] != 2:
+            good &= side[a] != side[b]
+        yield a[good], b[good]
+
+
+def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
+    """a, b: a spanning forest in each bucket of the pairs of distinct fingerprints (fp) within tau."""
+    n, both = bit_statistics(fps)
+    if n == 0:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    parts = plan(n, both, tau)
 
     def compare(table: pa.Table) -> dict | None:
         fp = table.column("gid").to_numpy()
-        own, side, part = table.column("own").to_numpy(), table.column("_side").to_numpy(), table.column("part").to_numpy()
-        x = fp.view(np.uint64)
-        lefts, rights = [], []
-        for at in range(0, len(x), 256):
-            a, b = np.nonzero(np.bitwise_count(x[at : at + 256, None] ^ x[None, at:]) <= tau)
-            a, b = a + at, b + at
-            good = (a < b) & (own[a] | own[b]) & (part[a] == part[b])
-            if side[0] != 2:
-                good &= side[a] != side[b]
-            lefts.append(a[good])
-            rights.append(b[good])
-        left, right = np.concatenate(lefts), np.concatenate(rights)
+        left, right = (np.concatenate(x) for x in zip(*_within(table, "gid", tau), strict=True))
         if not len(left):
             return None
-        root = forest(left, right, len(x))
-        keep = (root != np.arange(len(x))) & (fp[root] != fp)
+        root = forest(left, right, len(fp))
+        keep = (root != np.arange(len(fp))) & (fp[root] != fp)
         return {"a": fp[keep], "b": fp[root[keep]]} if keep.any() else None
 
-    rows = fps.select("fp").mapInArrow(probed, "bucket long, gid long, part int, own boolean")
+    rows = _probes(fps.select("fp", F.col("fp").alias("gid")), parts)
     return meet(materialize(rows, "simhash-probes"), "bucket", compare, "a long, b long", block=BLOCK)
 
 
+def loosest(n: int, both: np.ndarray, most: int = FIND_TAU, least: int = TAU) -> int:
+    """The largest distance from least to most at which a fingerprint has less than one of n others by chance."""
+    p = np.diag(both) / max(n, 1)
+    chance = np.zeros(most + 2)
+    chance[0] = 1.0
+    for d in 2 * p * (1 - p):
+        chance[1:] = chance[1:] * (1 - d) + chance[:-1] * d
+        chance[0] *= 1 - d
+    met = n * np.cumsum(chance)[: most + 1]
+    return max([t for t in range(least, most + 1) if met[t] < 1], default=least)
+
+
+def partners(texts: DataFrame, most: int = FIND_TAU) -> DataFrame:
+    """bucket, gid: the rows of texts (gid, fp) that have another within the distance in a bucket. Each pair is told by one bucket,
+    that of the first part that brings it together, where the lesser fingerprint is at home."""
+    n, both = bit_statistics(texts)
+    if n == 0:
+        return texts.select(F.col("gid").alias("bucket"), "gid")
+    tau = loosest(n, both, most)
+    parts = plan(n, both, tau)
+    masks = [(np.uint64(sum(1 << b for b in bits)), t) for bits, t in parts]
+
+    def compare(table: pa.Table) -> dict | None:
+        x, gid = table.column("fp").to_numpy().view(np.uint64), table.column("gid").to_numpy()
+        own, part = table.column("own").to_numpy(), table.column("part").to_numpy()
+        some = np.zeros(len(x), dtype=bool)
+        for a, b in _within(table, "fp", tau):
+            if not len(a):
+                continue
+            d = x[a] ^ x[b]
+            first, away = np.full(len(a), -1), np.zeros(len(a), dtype=bool)
+            for k, (mask, t) in reversed(list(enumerate(masks))):
+                differ = np.bitwise_count(d & mask)
+                first[differ <= t] = k
+                away[(part[a] == k) & (differ > 0)] = True
+            told = (first == part[a]) & (~away | np.where(x[a] < x[b], own[a], own[b]))
+            some[a[told]] = some[b[told]] = True
+        return {"a": table.column("_k").to_numpy()[some], "b": gid[some]} if some.any() else None
+
+    rows = materialize(_probes(texts, parts, with_fp=True), "simhash-probes")
+    found = meet(rows, "bucket", compare, "a long, b long", block=BLOCK)
+    return found.select(F.col("a").alias("bucket"), F.col("b").alias("gid")).distinct()
+
+
 def near_duplicates(docs: DataFrame, tau: int = TAU, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (least doc_id reachable by links): a row for each row.
 
@@ -219,20 +274,24 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, key: str = "doc_id", text:
     low = parts.join(nodes, parts["node"] == nodes["fp"]).groupBy("component").agg(F.min("least").alias("low"))
     named = parts.join(low, "component").select(F.col("node").alias("_node"), "low")
     full = nodes.join(named, nodes["fp"] == named["_node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("low", "least").alias("component_id"))
+    full = materialize(full, "fingerprint-names")  # both sides of the last join are then plain tables, so a hot fingerprint's rows can be split
     joined = found.join(full, found["fp"] == full["_fp"])
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def copies_of(rows: DataFrame) -> DataFrame:
-    """doc_id, th, fp (of FIND_SHINGLE-word shingles, each once) and key, equal where the lower-cased words are."""
+def copies_of(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, text_hash, fp (of FIND_SHINGLE-word shingles, each once), sketch (the SKETCH least hashes of shingles) and key, equal where the lower-cased words are."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
             each = [_words(x.as_py()) for x in batch.column("text")]
             fps = np.asarray([_fingerprint(w, FIND_SHINGLE, True) for w in each], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "th": batch.column("th"), "fp": fps, "key": [_key(w) for w in each]}, schema=pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64()), ("key", pa.binary())]))
+            sketches = [_tokens(w, words, hashes)[:SKETCH].tobytes() for w in each]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(x, type=f.type) for x, f in zip((fps, [_key(w) for w in each], sketches), list(schema)[2:], strict=True)]], schema=schema)
 
-    return rows.mapInArrow(made, "doc_id long, th long, fp long, key binary")
+    return rows.mapInArrow(made, "doc_id long, text_hash long, fp long, key binary, sketch binary")
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -364,10 +423,10 @@ def rare_tokens(rows: DataFrame, similarity: float, words: int) -> DataFrame:
     return materialize(found.select("token", "gid", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")), "rare-tokens")
 
 
-def bucket_links(tokens: DataFrame, similarity: float) -> DataFrame:
-    """a, b: buckets that hold texts which share a token and may have this similarity by their sizes and the token's places.
+def token_partners(tokens: DataFrame, similarity: float) -> DataFrame:
+    """bucket (the token), gid: texts that share a token with one of another group and may have this similarity by their sizes and the token's places.
 
-    tokens has token, gid, n, pos and bucket. A spanning forest in each two blocks of a token's rows; never the pairs.
+    tokens has token, gid, n, pos and bucket (the text's group).
     """
     share = similarity / (1 + similarity)
 
@@ -376,27 +435,33 @@ def bucket_links(tokens: DataFrame, similarity: float) -> DataFrame:
         if (bucket == bucket[0]).all():
             return None
         n, pos = table.column("n").to_numpy(), table.column("pos").to_numpy()
-        rest, lefts, rights = n - pos, [], []
+        rest, some = n - pos, np.zeros(len(n), dtype=bool)
         for at in range(0, len(n), 256):
             a = slice(at, at + 256)
             good = (bucket[a, None] != bucket[None]) & (np.minimum(rest[a, None], rest[None]) >= share * (n[a, None] + n[None]) - 1e-6)
             good &= np.minimum(n[a, None], n[None]) >= similarity * np.maximum(n[a, None], n[None]) - 1e-6
             if side[0] != 2:
                 good &= side[a, None] != side[None]
-            left, right = np.nonzero(good)
-            lefts.append(left + at)
-            rights.append(right)
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        if not len(left):
-            return None
-        root = forest(left, right, len(n))
-        keep = bucket != bucket[root]
-        return {"a": bucket[keep], "b": bucket[root[keep]]} if keep.any() else None
+            some[a] |= good.any(axis=1)
+            some |= good.any(axis=0)
+        return {"a": table.column("_k").to_numpy()[some], "b": table.column("gid").to_numpy()[some]} if some.any() else None
 
-    return meet(tokens, "token", compare, "a long, b long", block=BLOCK)
+    found = meet(tokens, "token", compare, "a long, b long", block=BLOCK)
+    return found.select(F.col("a").alias("bucket"), F.col("b").alias("gid")).distinct()
 
 
-def similar_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def sketch_links(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: of the texts (gid) that met in a bucket, those that SKETCHED of their sketches' hashes tell to be near copies, perhaps.
+
+    A sketch is the SKETCH least hashes of a text's shingles, so two at similarity 0.8 share 25.6 of 32 on average,
+    and fewer than 12 with a chance of 1.5e-7; those that met by accident share none or few.
+    """
+    rows = found.join(classes.select(F.col("gid").alias("_gid"), F.col("sketch").alias("sh")), F.col("gid") == F.col("_gid"))
+    rows = rows.select("bucket", "gid", "sh", F.floor(F.length("sh") / F.lit(8)).cast("long").alias("n")).where("n > 0")
+    return similar_links(rows, SKETCHED, block=BLOCK // 4)
+
+
+def similar_links(texts: DataFrame, similarity: float = SIMILARITY, block: int | None = None) -> DataFrame:
     """a, b: a spanning forest, in each two blocks of a bucket, of the pairs of gid whose sets of hashes (sh, n of them) have this Jaccard similarity."""
 
     def compare(table: pa.Table) -> dict | None:
@@ -439,33 +504,37 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         keep = root != np.arange(len(gid))
         return {"a": gid[keep], "b": gid[root[keep]]}
 
-    return meet(texts.select("bucket", "gid", "sh", "n"), "bucket", compare, "a long, b long", block=TEXTS, weight="n", most=TEXT_BYTES // 8)
+    return meet(texts.select("bucket", "gid", "sh", "n"), "bucket", compare, "a long, b long", block=block or TEXTS, weight="n", most=TEXT_BYTES // 8)
 
 
 def near_duplicate_texts(docs: DataFrame, tau: int = FIND_TAU, similarity: float = SIMILARITY, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id (least doc_id reachable by links): a row for each row. Texts link whose `words`-word shingles have this similarity or more.
+    """doc_id, text_hash, component_id, kept: a row for each row. Texts link whose `words`-word shingles have this similarity or more.
+
+    Fingerprints within a distance bring texts together first: at most tau, less where so many texts would meet
+    others by chance. Then texts of two groups meet wherever they share one of their rarest shingles and may be
+    similar, as any two that are must (rare_tokens), so that no edit hides a copy from the fingerprints. Those that
+    met are verified twice: by sketches, before any grouping, so that chance meetings don't chain unrelated texts
+    together, and inside the groups that are left by whole sets of shingles, so that no link is false.
 
-    Fingerprints within tau group documents first. Groups are then joined wherever texts of two share one of their
-    rarest shingles and may be similar, as any two that are must (rare_tokens), so no link is missed, whatever the
-    edit. Inside each group the whole texts' sets of shingles are compared, so no link is false. Texts with the same
-    lower-cased words are one text, empty, wordless and null ones included. A null doc_id is never the least unless
-    all of its component are null. Other columns are left out.
+    Texts with the same lower-cased words are one text, empty, wordless and null ones included. component_id is the
+    least doc_id reachable by links, never null unless all of a component are. kept marks one text of each component:
+    the least by doc_id (null last), then by text_hash; rows that repeat both are marked alike. Other columns are left out.
     """
-    rows = pick(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    found = materialize(copies_of(rows), "copies")
-    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th"))
-    classes = found.groupBy("fp", "key").agg(one.alias("one")).select("fp", "key", F.col("one.doc_id").alias("least"), F.col("one.th").alias("th"))
+    rows = pick(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    found = materialize(copies_of(rows, words), "copies")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    classes = found.groupBy("fp", "key").agg(F.min(first).alias("first"), F.min("sketch").alias("sketch"))
     classes = materialize(classes.withColumn("gid", F.monotonically_increasing_id()), "copy-classes")
-    near = components(links(classes.select("fp").distinct(), tau))
-    placed = classes.join(near, classes["fp"] == near["node"], "left").select("gid", "key", "least", "th", F.coalesce("component", "fp").alias("bucket"))
-    placed = materialize(placed, "copy-buckets")
-    who = placed.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("_who"), "bucket")
+    near = materialize(sketch_links(partners(classes, tau), classes), "near-links")
+    groups = components(near)
+    placed = classes.join(groups, classes["gid"] == groups["node"], "left").select("gid", "key", F.coalesce("component", "gid").alias("bucket"))
+    who = placed.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("_who"), F.col("gid").alias("_gid"), "bucket")
     tokens = rare_tokens(rows, similarity, words)
-    merged = components(bucket_links(materialize(tokens.join(who, tokens["gid"] == who["_who"]).drop("_who"), "bucket-tokens"), similarity))
-    placed = placed.join(merged, placed["bucket"] == merged["node"], "left").select("gid", "key", "least", "th", F.coalesce("component", "bucket").alias("bucket"))
-    placed = materialize(placed, "copy-buckets")
-    several = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-    wanted = placed.join(several, "bucket", "left_semi").select("gid", F.col("key").alias("want"), F.col("least").alias("_doc"), F.col("th").alias("_th"), "bucket")
+    tokens = materialize(tokens.join(who, tokens["gid"] == who["_who"]).select("token", F.col("_gid").alias("gid"), "n", "pos", "bucket"), "copy-tokens")
+    near = near.unionByName(materialize(sketch_links(token_partners(tokens, similarity), classes), "near-links"))
+    groups = components(near)
+    placed = classes.join(groups, classes["gid"] == groups["node"])
+    wanted = placed.select("gid", F.col("key").alias("want"), F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_th"), F.col("component").alias("bucket"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int64()), ("gid", pa.int64()), ("sh", pa.binary()), ("n", pa.int64())])
@@ -482,10 +551,13 @@ def near_duplicate_texts(docs: DataFrame, tau: int = FIND_TAU, similarity: float
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     # one row's text stands for its class; rows that repeat it bring it again
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_doc"]) & (rows["th"] == wanted["_th"])).select("text", "want", "bucket", "gid")
+    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["_doc"]) & (rows["text_hash"] == wanted["_th"])).select("text", "want", "bucket", "gid")
     texts = materialize(texts.mapInArrow(cut, "bucket long, gid long, sh binary, n long").dropDuplicates(["gid"]), "copy-texts")
     parts = components(similar_links(texts, similarity))
-    low = parts.join(classes, parts["node"] == classes["gid"]).groupBy("component").agg(F.min("least").alias("low"))
+    low = parts.join(classes, parts["node"] == classes["gid"]).groupBy("component").agg(F.min("first").alias("low"))
     named = parts.join(low, "component").select(F.col("node").alias("_node"), "low")
-    full = classes.join(named, classes["gid"] == named["_node"], "left").select(F.col("fp").alias("_fp"), F.col("key").alias("_key"), F.coalesce("low", "least").alias("component_id"))
-    return found.join(full, (found["fp"] == full["_fp"]) & (found["key"] == full["_key"])).select("doc_id", "component_id")
+    full = classes.join(named, classes["gid"] == named["_node"], "left").select(F.col("fp").alias("_fp"), F.col("key").alias("_key"), F.coalesce("low", "first").alias("low"))
+    full = materialize(full, "copy-names")
+    joined = found.join(full, (found["fp"] == full["_fp"]) & (found["key"] == full["_key"]))
+    kept = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("text_hash") == F.col("low.text_hash"))
+    return joined.select("doc_id", "text_hash", F.col("low.doc_id").alias("component_id"), kept.alias("kept"))

@@ -11,7 +11,9 @@ say), the document's chunks are cut again with an overlap four times as wide, un
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from quarry.llm.encode import encoder, load
 STEP, OVERLAP = 32_768, 512
 #: Characters before a chunk's end in which its pre-tokens aren't trusted: more than any special token has.
 MARGIN = 32
+#: How sentencepiece writes a blank.
+BLANK = "\u2581"
 
 CHUNK = "doc_id long, n_bytes long, th long, chunk int, chunks int, n_tokens long, head array<struct<at:int,n:long>>, tail array<struct<at:int,n:long>>"
 
@@ -36,23 +40,45 @@ def _chunks(rows: DataFrame, step: int, overlap: int) -> DataFrame:
     return each.withColumn("piece", piece).drop("text")
 
 
-def _encoder(tokenizer: str, keeps_blanks: bool, step: int, overlap: int):
+def _starts(tokenizer: str, text: str) -> tuple[int, list[tuple[int, int]]]:
+    """Tokens of a text, and the places where pre-tokens begin with the tokens before each.
+
+    With sentencepiece a pre-token is a word with the blank before it; that holds where the vocabulary has no piece
+    with a blank after another character, which is checked. Without that, no place is proven and overlaps widen.
+    """
+    found = load(tokenizer)
+    if not tokenizer.endswith(".model"):
+        made = found.encode(text, add_special_tokens=False)
+        words, offsets = made.word_ids, made.offsets
+        return len(words), [(offsets[i][0], i) for i in range(len(words)) if i == 0 or words[i] != words[i - 1]]
+    pieces = found.encode(text, return_type="proto").pieces
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    place = np.cumsum((raw & 0xC0) != 0x80) - 1  # its offsets are in bytes
+    starts = [(int(place[x.begin]), i) for i, x in enumerate(pieces) if i > 0 and x.piece[0] == BLANK and x.piece != BLANK * len(x.piece) and pieces[i - 1].piece[-1] != BLANK]
+    return len(pieces), starts if _parts_at_blanks(tokenizer) else []
+
+
+@lru_cache(maxsize=4)
+def _parts_at_blanks(tokenizer: str) -> bool:
+    found = load(tokenizer)
+    return not any(BLANK in found.id_to_piece(i).lstrip(BLANK) for i in range(found.vocab_size()))
+
+
+def _encoder(tokenizer: str, step: int, overlap: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("th", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("n_tokens", pa.int64())] + [(x, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int64())]))) for x in ("head", "tail")])
 
     def edges(text: str, first: bool, last: bool) -> tuple[int, list, list]:
         """Tokens of a chunk; places where pre-tokens begin in its two overlaps, counted from where each begins, and the tokens before."""
-        found = load(tokenizer).encode(text, add_special_tokens=False)
-        words, offsets = found.word_ids, found.offsets
-        starts = [(offsets[i][0], i) for i in range(len(words)) if i == 0 or words[i] != words[i - 1]]
+        words, starts = _starts(tokenizer, text)
         head = [] if first else [{"at": a, "n": n} for a, n in starts if a < overlap]
         tail = []
         if not last:
             safe = [(a, n) for (a, n), (b, _) in zip(starts, starts[1:], strict=False) if b <= len(text) - MARGIN]
             tail = [{"at": a - step, "n": n} for a, n in safe if a >= step]
-        return len(words), head, tail
+        return words, head, tail
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(tokenizer, keeps_blanks, True)
+        count = encoder(tokenizer, counts=True)
         for batch in batches:
             text, chunk, chunks = (batch.column(x).to_pylist() for x in ("piece", "chunk", "chunks"))
             single = [i for i, n in enumerate(chunks) if n == 1]
@@ -91,7 +117,7 @@ def _spliced(chunks: DataFrame) -> DataFrame:
     return joined.select(*doc, "times", F.when(~F.col("failed"), (F.col("n") / F.col("times")).cast("long") - F.col("twice")).alias("n_tokens"))
 
 
-def token_counts(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, key: str = "doc_id", text: str = "text", step: int = STEP, overlap: int = OVERLAP) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", step: int = STEP, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens as the library gives them for the whole text, special strings as is its default.
 
     Null text is empty: no bytes, no tokens. A row for each row, repeats included; other columns are left out.
@@ -102,7 +128,7 @@ def token_counts(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, key
         raise ValueError(f"an overlap must be wider than {MARGIN} characters")
     rows = pick(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("th"))
-    chunks = _chunks(rows, step, overlap).mapInArrow(_encoder(tokenizer, keeps_blanks, step, overlap), CHUNK)
+    chunks = _chunks(rows, step, overlap).mapInArrow(_encoder(tokenizer, step, overlap), CHUNK)
     chunks = materialize(chunks, "token-chunks")
     out = chunks.where("chunks = 1").select("doc_id", "n_bytes", "n_tokens")
     long = materialize(_spliced(chunks.where("chunks > 1")), "token-spliced")
@@ -116,7 +142,7 @@ def token_counts(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, key
         step = max(step, overlap)
         on = rows["doc_id"].eqNullSafe(failed["doc_id"]) & (rows["th"] == failed["th"]) & (rows["n_bytes"] == failed["n_bytes"])
         again = rows.join(failed, on, "left_semi")
-        chunks = materialize(_chunks(again, step, overlap).mapInArrow(_encoder(tokenizer, keeps_blanks, step, overlap), CHUNK), "token-chunks")
+        chunks = materialize(_chunks(again, step, overlap).mapInArrow(_encoder(tokenizer, step, overlap), CHUNK), "token-chunks")
         whole = chunks.where("chunks = 1").select("doc_id", "n_bytes", "n_tokens")
         out = out.unionByName(whole)
         long = materialize(_spliced(chunks.where("chunks > 1")), "token-spliced")

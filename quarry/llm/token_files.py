@@ -144,7 +144,7 @@ class Reader:
             yield np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int, bits: bool = False, keeps_blanks: bool = True, key: str = "doc_id", text: str = "text") -> list[dict]:
+def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int, bits: bool = False, key: str = "doc_id", text: str = "text") -> list[dict]:
     """Encode whole texts in ascending doc_id order into files under path; a manifest row for each file, in order.
 
     Documents are dealt by range over doc_id and sorted there, so files follow one another; rows that repeat a
@@ -159,7 +159,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int, b
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out, ids, part, total, name = encoder(tokenizer, keeps_blanks), None, [], None, 0, ""
+        encode, out, ids, part, total, name = encoder(tokenizer), None, [], None, 0, ""
         store, folder = fs.FileSystem.from_uri(path)
         for batch in batches:
             if not batch.num_rows:

@@ -39,8 +39,9 @@ def test_encoder_equals_library(name, blanks):
     bits = ["a", "the", " ", "\n", "  ", "'s", "don't", ".", "!!", "é", "é", "İ", "ß", "12", "\t", " ", "<|endoftext|>", "ﬁ", "\U0001d518", "Σ", "word", "\r", "­"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     want = [np.asarray(x.ids, dtype="<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
-    assert encode.Encoder(queries.vocabulary(name), blanks)(texts) == want
-    assert encode.Encoder(queries.vocabulary(name), blanks, counts=True)(texts) == [len(x) // 4 for x in want]
+    assert encode.rule(queries.vocabulary(name)) == ("bytes" if blanks else "words")
+    assert encode.Encoder(queries.vocabulary(name))(texts) == want
+    assert encode.Encoder(queries.vocabulary(name), counts=True)(texts) == [len(x) // 4 for x in want]
 
 
 def test_encoder_memo_generations(monkeypatch):
@@ -48,7 +49,7 @@ def test_encoder_memo_generations(monkeypatch):
     path = queries.vocabulary("byte_bpe_50k.json")
     texts = [f"w{i} shared x{i % 7} y{i}z.\nline{i} again" for i in range(50)]
     want = [len(x.ids) for x in encode.load(path).encode_batch(texts, add_special_tokens=False)]
-    assert encode.Encoder(path, True, counts=True)(texts) == want
+    assert encode.Encoder(path, counts=True)(texts) == want
 
 
 # --- 2: shards
@@ -175,6 +176,28 @@ def test_token_counts(docs):
         assert Counter(rows_of(got, "doc_id", "n_bytes", "n_tokens")) == want
 
 
+def test_token_counts_with_sentencepiece(docs):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    library = encode.load(path)
+    want = Counter((d, len((t or "").encode()), len(library.encode(t or ""))) for d, t in rows_of(docs, "doc_id", "text"))
+    got = token_counts.token_counts(docs, path, step=700, overlap=40)
+    assert Counter(rows_of(got, "doc_id", "n_bytes", "n_tokens")) == want
+
+
+def test_a_file_of_another_kind_goes_whole_to_the_library(tmp_path):
+    import json
+
+    with open(queries.vocabulary("byte_bpe_50k.json"), encoding="utf-8") as file:
+        said = json.load(file)
+    said["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(said, file)
+    assert encode.rule(path) is None
+    texts = ["Hello there world", "a\nb", ""]
+    assert encode.Encoder(path, counts=True)(texts) == [len(x.ids) for x in encode.load(path).encode_batch(texts, add_special_tokens=False)]
+
+
 # --- 8: embeddings
 
 
@@ -437,6 +460,23 @@ def test_near_duplicate_texts_of_nothing(no_docs):
     assert simhash.near_duplicate_texts(no_docs).count() == 0
 
 
+def test_kept_texts_are_one_of_each_group(spark, odd_docs):
+    rows = [(None, "one text of its own"), (None, "another text, as it is"), (None, "the third of them all here"), (5, "a fourth one with more words"), (5, "fifth text that is not like them"), (6, "and a sixth")]
+    got = simhash.near_duplicate_texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.kept for r in got.collect()] == [True] * 6
+    groups = defaultdict(set)
+    for t, h, kept in rows_of(simhash.near_duplicate_texts(odd_docs).join(odd_docs.select("doc_id", "text", F.xxhash64("text").alias("h")), "doc_id").where("h = text_hash"), "text", "text_hash", "kept"):
+        groups[b" ".join((t or "").encode().lower().split())].add((h, kept))
+    assert all(len({h for h, kept in x if kept}) <= 1 for x in groups.values())
+
+
+def test_loosest_distance_shrinks_with_the_corpus():
+    both = np.full((64, 64), 0.25)
+    np.fill_diagonal(both, 0.5)
+    found = [simhash.loosest(n, both * n) for n in (10, 10**5, 10**8, 10**11, 10**20)]
+    assert found[0] == simhash.FIND_TAU and found == sorted(found, reverse=True) and found[-1] == simhash.TAU
+
+
 def test_thresholds_meet_the_pigeonhole():
     rng = np.random.default_rng(2)
     bits = (rng.random((500, 64)) < rng.random(64)).astype(float)
@@ -495,15 +535,6 @@ def test_lines(docs, min_sites):
     assert Counter(rows_of(got, "doc_id", "text", "n_lines", "n_removed")) == brute_lines(rows, min_sites, line_dedup.MIN_CHARS)
 
 
-def test_copies_can_stay_whole(spark):
-    rows = [(i, "a line that all of the pages have\nand one more that they share", f"s{i}") for i in range(6)]
-    rows += [(10 + i, f"a line that all of the pages have\n{'own words of page ' * 4}{i}", f"s{i}") for i in range(6)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: r for r in line_dedup.line_dedup(df, min_sites=5, most_lost=0.5).collect()}
-    assert all(got[i].text == rows[i][1] and got[i].n_removed == 0 for i in range(6))
-    assert all(got[10 + i].text == f"{'own words of page ' * 4}{i}" and got[10 + i].n_removed == 1 for i in range(6))
-
-
 def test_lines_near_the_threshold(spark):
     rows = [(1000 * k + i, f"this is the shared line number {k}\nand own {k} {i}", f"site{i}") for k in range(70, 131, 5) for i in range(k)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -578,15 +609,33 @@ def test_mixing_meets_targets(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     docs = docs_at(spark, sf)
-    out = mixing.mix(docs, labels, queries.SHARES).collect()
+    out = queries.op4_mixing(spark, sf).collect()
     assert len(out) == docs.count()
     t = np.asarray([r.n_tokens for r in out], dtype=float)
     p = np.asarray([[r.p_clean, r.p_junk, r.p_toxic] for r in out])
     rate = np.asarray([r.rate for r in out])
     assert (rate >= 0).all() and np.allclose(p.sum(axis=1), 1)
-    assert [r.n_tokens for r in out] == [len(x) for x in ((dict(rows_of(docs, "doc_id", "text"))[r.doc_id]).split() for r in out)]
+    sizes = {d: len(ids) - 1 for d, ids in brute_tokens(docs, "word_bpe_49k.json", 1)}
+    assert all(r.n_tokens == sizes[r.doc_id] for r in out)
     totals = (t * rate) @ p
     assert np.allclose(totals, np.asarray([0.85, 0.10, 0.05]) * t.sum(), rtol=1e-3)
+    assert np.allclose(totals, [out[0].reached_clean, out[0].reached_junk, out[0].reached_toxic])
+    assert np.allclose([0.85 * t.sum(), 0.10 * t.sum(), 0.05 * t.sum()], [out[0].wanted_clean, out[0].wanted_junk, out[0].wanted_toxic])
+    model = mixing.train(mixing.labelled(docs, labels))
+    texts = dict(rows_of(docs, "doc_id", "text"))
+    for r in out[:50]:  # posteriors by hand: weights of the words a text has, then softmax
+        words = {x.strip(".,;:!?\"'#*$%&|<>()").lower() for x in texts[r.doc_id].split()}
+        z = model.weights[-1] + ((mixing.features([texts[r.doc_id]], {})[2][0] - model.mean) / model.spread) @ model.weights[len(model.words) : -1]
+        z = z + sum((model.weights[model.words[w]] for w in sorted(words) if w in model.words), np.zeros(3))
+        e = np.exp(z - z.max())
+        assert np.allclose(e / e.sum(), [r.p_clean, r.p_junk, r.p_toxic])
+
+
+def test_targets_out_of_reach_are_told(spark):
+    members = spark.createDataFrame([(i, 10, [0.9, 0.1, 0.0]) for i in range(20)], "doc_id long, n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="aren't met"):
+        fit = mixing.fit_rates(members, {"clean": 0.5, "toxic": 0.5})
+    assert not fit.met and fit.totals[2] == 0
 
 
 def test_rates_equal_projected_least_squares(spark):
