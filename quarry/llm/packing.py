@@ -3,14 +3,18 @@
 Which document has a length doesn't matter to the packing, only how many have it. So the lengths' counts (at
 most CAPACITY of them, from all pieces) are packed on the driver, and the plan is dealt back to the pieces by their
 place among those of their length. The plan's size is bounded by the capacity, whatever the corpus holds.
+
+The search is exact if it ends: its fillings are all the undominated ones, and each is tried as often as the counts
+allow and every number of times below that. As bin packing has no known fast exact way, the search takes a budget of
+nodes (None: none); the plan says how many sequences there are, a proven lower bound, and whether it is proven least.
 """
 
 from __future__ import annotations
 
-import sys
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +24,22 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialize, pick, slots_in_order
 from quarry.llm.encode import encoder
 
-CAPACITY, NODES = 4096, 2_000
+CAPACITY, NODES = 4096, 1_000
 Pattern = tuple[tuple[int, ...], int]  # lengths in descending order; how many sequences are so
 
 
+#: States that the search remembers at most.
+SEEN = 200_000
+
+
+@dataclass
+class Plan:
+    patterns: list[Pattern]
+    bins: int
+    bound: int  # no packing has fewer
+    proven: bool  # whether no packing has fewer than bins
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     """Best-fit decreasing, many equal items at a time: bins are kept as (contents, how many) by the room left."""
     rooms: dict[int, list[list]] = {}
@@ -83,47 +99,49 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def completions(counts: dict[int, int], lengths: list[int], first: int, capacity: int, slack: int, limit: int = 64, effort: int = 2000) -> list[tuple[int, ...]]:
-    """Undominated fillings around an item of length `first`, least waste first, with a waste of at most slack.
+class Spent(Exception):
+    """The search's budget is used up."""
+
 
-    A filling is dominated if one of its items could be swapped for a longer unused one that still fits, or if an
-    unused item fits beside it; swaps of one item for one are the ones tested. Only the least wasteful `limit`
-    of those found within `effort` steps are returned, so the search that uses them is a bounded one.
+def completions(counts: dict[int, int], lengths: list[int], first: int, capacity: int, slack: int, step: Callable[[], None] = lambda: None) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings around an item of length `first` with a waste of at most slack, those with longer items first.
+
+    A filling is dominated if an unused item fits beside it, or if one of its items could be swapped for a longer
+    unused one that still fits; another filling is then at least as good. They are made one by one, as they are asked
+    for; step() is called for each place tried and may raise Spent.
     """
-    out: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-    smallest = lengths[-1] if lengths else capacity + 1
+    have = {x: n - (x == first) for x, n in counts.items()}
+    chosen: list[int] = []
+    room, tried = capacity - first, [0]  # the next length to try at each depth
 
-    def dominated(chosen: list[int], room: int) -> bool:
-        used = {x: chosen.count(x) for x in set(chosen)}
+    def dominated() -> bool:
         for x in set(chosen):
-            for y in lengths:
-                if y <= x:
-                    break
-                if y - x <= room and counts[y] - (y == first) - used.get(y, 0) > 0:
+            k = bisect_left_desc(lengths, x + room, 0)
+            while lengths[k] > x:
+                if have[lengths[k]] > 0:
                     return True
-        return False
-
-    def extend(at: int, room: int, chosen: list[int]) -> bool:
-        nonlocal steps
-        steps += 1
-        placed = False
-        for k in range(bisect_left_desc(lengths, room, at), len(lengths)):
-            if steps > effort or (out and out[0][0] == 0 and len(out) >= limit):
-                return True
+                k += 1
+        return any(have[y] > 0 for y in lengths[bisect_left_desc(lengths, room, 0) :])
+
+    while tried:
+        step()
+        k = bisect_left_desc(lengths, room, tried[-1])
+        while k < len(lengths) and not have[lengths[k]]:
+            k += 1
+        if k < len(lengths):
             x = lengths[k]
-            if counts[x] - (x == first) - chosen.count(x) <= 0:
-                continue
-            placed = True
-            extend(k, room - x, [*chosen, x])
-        if room <= slack and (not placed or room < smallest) and not dominated(chosen, room):
-            out.append((room, tuple(chosen)))
-            out.sort(key=lambda x: x[0])
-            del out[limit:]
-        return placed
-
-    extend(0, capacity - first, [])
-    return [(first, *x) for _, x in out]
+            tried[-1] = k + 1
+            tried.append(k)
+            chosen.append(x)
+            have[x] -= 1
+            room -= x
+            continue
+        if room <= slack and not dominated():
+            yield (first, *chosen)
+        tried.pop()
+        if chosen:
+            have[chosen[-1]] += 1
+            room += chosen.pop()
 
 
 def bisect_left_desc(lengths: list[int], most: int, at: int) -> int:
@@ -138,66 +156,72 @@ def bisect_left_desc(lengths: list[int], most: int, at: int) -> int:
     return low
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
-    """As few sequences as found. Best-fit decreasing is the first incumbent; if it is above the bound, depth-first
-    branch and bound fills the bin of the largest item left with each undominated filling in turn, as many times
-    as the counts allow, and leaves a branch when the waste so far can't beat the incumbent. `nodes` bounds the search.
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> Plan:
+    """Best-fit decreasing is the first incumbent; if it is above the bound, depth-first branch and bound fills the bin
+    of the largest item left with each undominated filling in turn, and leaves a branch when the waste so far can't
+    beat the incumbent. At each node best-fit of what is left may better the incumbent. A filling is repeated as often
+    as the counts allow, then fewer times. `nodes` bounds the nodes, and a hundred times as many steps of their fillings;
+    with None the search runs to its end and the plan is proven least.
     """
     counts = {x: n for x, n in counts.items() if n > 0}
     if not counts:
-        return []
+        return Plan([], 0, 0, True)
     if max(counts) > capacity or min(counts) < 1:
         raise ValueError("an item is longer than a sequence, or empty")
-    incumbent = best_fit(counts, capacity)
-    most = sum(n for _, n in incumbent)
+    best = best_fit(counts, capacity)
+    most = sum(n for _, n in best)
     bound, total = lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
-    budget = nodes
-
-    def search(left: dict[int, int], made: list[Pattern], bins: int, waste: int) -> bool:
-        """True when the incumbent meets the bound or the budget is spent."""
-        nonlocal incumbent, most, budget
-        while True:
-            budget -= 1
-            if budget <= 0:
-                return True
-            if not left:
-                if bins < most:
-                    incumbent, most = made, bins
-                return most <= bound
-            allowed = (most - 1) * capacity - total - waste
-            if allowed < 0:
-                return False
-            rest = best_fit(left, capacity)
-            if bins + sum(n for _, n in rest) < most:
-                incumbent, most = [*made, *rest], bins + sum(n for _, n in rest)
-                if most <= bound:
-                    return True
-                continue
-            lengths = sorted(left, reverse=True)
-            found = completions(left, lengths, lengths[0], capacity, allowed)
-            budget -= len(found)
-            for filling in found:
-                used = {x: filling.count(x) for x in set(filling)}
-                times = min(left[x] // k for x, k in used.items())
-                spill = (capacity - sum(filling)) * times
-                if spill > allowed:
-                    times = max(1, allowed // max(capacity - sum(filling), 1))
-                    spill = (capacity - sum(filling)) * times
-                    if spill > allowed:
-                        continue
-                after = {x: n - used.get(x, 0) * times for x, n in left.items()}
-                if search({x: n for x, n in after.items() if n}, [*made, (filling, times)], bins + times, waste + spill):
-                    return True
-            return False
+    opened = steps = 0
 
-    if most > bound:
-        depth = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(depth, 20_000))
+    def step() -> None:
+        nonlocal steps
+        steps += 1
+        if nodes is not None and steps > 100 * nodes:
+            raise Spent
+
+    def fillings(left: dict[int, int], bins: int, waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """(filling, times) to try at a node."""
+        lengths = sorted(left, reverse=True)
+        for filling in completions(left, lengths, lengths[0], capacity, (most - 1) * capacity - total - waste, step):
+            each = min(left[x] // filling.count(x) for x in set(filling))
+            for times in range(each, 0, -1):
+                step()
+                yield filling, times
+
+    # a frame: what is left, the patterns made, their bins and waste, and the fillings not tried yet
+    stack = [(counts, [], 0, 0, fillings(counts, 0, 0))] if most > bound else []
+    seen: set[tuple] = set()
+    while stack and most > bound:
+        left, made, bins, waste, untried = stack[-1]
         try:
-            search(counts, [], 0, 0)
-        finally:
-            sys.setrecursionlimit(depth)
-    return incumbent
+            found = next(untried, None)
+        except Spent:
+            return Plan(best, most, bound, False)
+        if nodes is not None and opened >= nodes:
+            return Plan(best, most, bound, False)
+        if found is None:
+            stack.pop()
+            continue
+        filling, times = found
+        spill = waste + (capacity - sum(filling)) * times
+        if spill > (most - 1) * capacity - total:
+            continue
+        after = {x: n - filling.count(x) * times for x, n in left.items()}
+        after = {x: n for x, n in after.items() if n}
+        state = (bins + times, tuple(sorted(after.items())))
+        if state in seen:  # the same items are left after as many sequences
+            continue
+        if len(seen) < SEEN:
+            seen.add(state)
+        opened += 1
+        now = [*made, (filling, times)]
+        rest = best_fit(after, capacity)
+        bins_now = bins + times + sum(n for _, n in rest)
+        if bins_now < most:
+            best, most = [*now, *rest], bins_now
+        if after:
+            stack.append((after, now, bins + times, spill, fillings(after, bins + times, spill)))
+    return Plan(best, most, bound, True)
 
 
 def dealt(patterns: list[Pattern]) -> dict[int, tuple[list[int], list[int], list[int]]]:
@@ -247,8 +271,10 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPA
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
-    """pieces with sequence_id and offset. pieces has doc_id, piece, start, length (1 to capacity), ids_crc32 and maybe more.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int | None = NODES) -> DataFrame:
+    """pieces with sequence_id and offset, and n_sequences, least_sequences (the bound) and proven, alike in all rows.
+
+    pieces has doc_id, piece, start, length (1 to capacity), ids_crc32 and maybe more.
 
     Places within a length are dealt over many tasks, so a length that a third of the pieces share is no bottleneck.
     An empty table gives an empty one. Rows that repeat a document are packed each.
@@ -256,7 +282,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
     placed = slots_in_order(pieces, "length", ["doc_id", "piece", "ids_crc32"], "_place", "pieces")
     placed = materialize(placed, "pieces-placed")
     counts = {r.length: r.n for r in placed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    runs = {x: tuple(np.asarray(y, dtype=np.int64) for y in v) for x, v in dealt(bin_completion(counts, capacity, nodes)).items()}
+    plan = bin_completion(counts, capacity, nodes)
+    runs = {x: tuple(np.asarray(y, dtype=np.int64) for y in v) for x, v in dealt(plan.patterns).items()}
     names = pieces.columns
     spec = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
 
@@ -271,12 +298,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
                 sequence[at], offset[at] = firsts[k] + place[at] - starts[k], offsets[k]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return placed.mapInArrow(assign, spec)
+    told = {"n_sequences": F.lit(plan.bins).cast("long"), "least_sequences": F.lit(plan.bound).cast("long"), "proven": F.lit(plan.proven)}
+    return placed.mapInArrow(assign, spec).withColumns(told)
 
 
-def packed_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset of every piece of every document."""
-    return pack(pieces_of(docs, tokenizer, end_id, capacity, key, text, with_ids), capacity)
+def packed_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False, nodes: int | None = NODES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset of every piece of every document, and what pack() tells of the plan."""
+    return pack(pieces_of(docs, tokenizer, end_id, capacity, key, text, with_ids), capacity, nodes)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

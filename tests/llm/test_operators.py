@@ -298,24 +298,38 @@ def exact_bins(items, capacity):
 
 def test_bin_completion_is_optimal_where_brute_force_can_tell():
     rng = random.Random(4)
-    worse = better = 0
-    for _ in range(60):
-        items = [rng.randint(8, 60) for _ in range(rng.randint(1, 13))]
+    better = 0
+    for k in range(150):
+        if k % 2:
+            items = [rng.randint(8, 60) for _ in range(rng.randint(1, 13))]
+        else:  # few lengths, many of each
+            kinds = [rng.randint(15, 60) for _ in range(rng.randint(2, 4))]
+            items = [rng.choice(kinds) for _ in range(rng.randint(4, 13))]
         counts = Counter(items)
-        found = packing.bin_completion(dict(counts), 100)
+        found = packing.bin_completion(dict(counts), 100, None)
         used = Counter()
-        for filling, n in found:
+        for filling, n in found.patterns:
             assert sum(filling) <= 100
             for x in filling:
                 used[x] += n
-        assert used == counts
-        n, first = sum(n for _, n in found), sum(n for _, n in packing.best_fit(dict(counts), 100))
-        assert packing.lower_bound(dict(counts), 100) <= exact_bins(items, 100)
-        worse += n > exact_bins(items, 100)
-        better += n < first
-    assert worse == 0
-    hard = Counter([55, 54, 33, 33, 33, 23, 23, 12, 12, 12, 10])
-    assert sum(n for _, n in packing.bin_completion(dict(hard), 100)) == exact_bins(list(hard.elements()), 100)
+        assert used == counts and found.bins == sum(n for _, n in found.patterns)
+        assert found.proven and found.bound <= found.bins == exact_bins(items, 100)
+        better += found.bins < sum(n for _, n in packing.best_fit(dict(counts), 100))
+    assert better
+    mixed = {53: 2, 35: 2, 34: 3, 23: 4}  # two fillings around one length: fewer repeats than the counts allow
+    assert packing.bin_completion(mixed, 100, None).bins == 4
+
+
+def test_a_spent_budget_is_told():
+    rng = random.Random(9)
+    counts = Counter(rng.randint(200, 700) for _ in range(400))
+    plan = packing.bin_completion(dict(counts), 1000, 3)
+    assert plan.proven == (plan.bins == plan.bound) and plan.bound <= plan.bins == sum(n for _, n in plan.patterns)
+    used = Counter()
+    for filling, n in plan.patterns:
+        for x in filling:
+            used[x] += n
+    assert used == counts
 
 
 # --- 10: simhash
