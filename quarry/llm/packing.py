@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialize, pick, slots_in_order
 from quarry.llm.encode import encoder
 
-CAPACITY, NODES = 4096, 1_000
+CAPACITY, NODES = 4096, 4_000
 Pattern = tuple[tuple[int, ...], int]  # lengths in descending order; how many sequences are so
 
 
