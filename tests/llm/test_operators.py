@@ -237,11 +237,38 @@ def test_embeddings(spark, sf, monkeypatch, block):
     assert Counter(rows_of(got, "vec_id", "n_links", "component_id")) == brute_links(rows, 0.93)
     assert embed_dedup.embedding_links(df.limit(0)).count() == 0
     if block == 1024:
-        table = spark.read.parquet(f"{sf}/embeddings.parquet")
+        table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
         some = [(r.vec_id, list(r.embedding), r.label) for r in table.collect()]
         assert Counter(rows_of(embed_dedup.embedding_links(table), "vec_id", "n_links", "component_id")) == brute_links(some, 0.93)
 
 
+def test_hashes_follow_the_rows():
+    near = embed_dedup.agreement(np.sqrt(2 - 2 * 0.93))
+    found = [embed_dedup.choose(n, 0.93) for n in (10, 10**3, 10**5, 10**8)]
+    assert found == sorted(found, key=lambda x: x[1])
+    assert all((1 - near**h) ** t <= embed_dedup.MISS for t, h in found)
+    rng = np.random.default_rng(2)
+    a, b = embed_dedup.projections(48, 400, 5)
+    x = rng.normal(size=(200, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x + (z := rng.normal(size=x.shape)) / np.linalg.norm(z, axis=1, keepdims=True) * 0.374
+    same = np.floor((x @ a + b) / 2.0) == np.floor((y @ a + b) / 2.0)
+    assert abs(same.mean() - embed_dedup.agreement(0.374)) < 0.01
+
+
+def test_codes_never_hide_a_link():
+    rng = np.random.default_rng(3)
+    for dim in (2, 24, 64, 300):
+        x = rng.normal(size=(500, dim))
+        y = x + rng.normal(size=x.shape) * rng.choice([0.01, 0.2, 0.4], size=(500, 1))
+        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+        a, b = (embed_dedup.codes(v).astype(float) for v in (x, y))
+        linked = (x * y).sum(axis=1) >= 0.93
+        close = ((a - b) ** 2).sum(axis=1) <= embed_dedup.code_limit(0.93, a.shape[1])
+        assert linked.any() and close[linked].all()
+        assert dim < 64 or not ((a - a[::-1]) ** 2).sum(axis=1)[:200].min() <= embed_dedup.code_limit(0.93, a.shape[1])
+
+
 # --- 9: packing
 
 
