@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 #: Rows of a block. A bucket of more rows is cut into blocks, and every two blocks meet in a group of their own.
 BLOCK = 2048
+#: Groups of so many rows at most are compared many at a time.
+SMALL = 16
 
 
-def meet(rows: DataFrame, key: str, compare: Callable[[pa.Table], dict | None], schema: str, block: int = BLOCK, weight: str | None = None, most: int = 0) -> DataFrame:
+def meet(rows: DataFrame, key: str, compare: Callable[[pa.Table, np.ndarray | None], dict | None], schema: str, block: int = BLOCK, weight: str | None = None, most: int = 0, small: int = SMALL) -> DataFrame:
     """Run compare on the rows of each bucket, or on each two blocks of a large one, and collect what it returns.
 
-    rows has `key` (long) and `gid` (long), beside what compare wants. compare gets an Arrow table, with
+    rows has `key` (long) and `gid` (long), beside what compare wants. compare gets an Arrow table and either None, if the
+    table is one group, or the group of each of its rows, if it holds several of `small` rows at most. The table has
     "_side": rows of side 0 are to be compared with all, of side 1 with side 0 only (two different blocks: one
     side each; one block or a whole bucket: all rows are of both, and _side is 2). It never sees more than two
     blocks, so a bucket that holds a third of all rows is a set of small tasks; pairs themselves aren't emitted.
@@ -36,22 +39,30 @@ def meet(rows: DataFrame, key: str, compare: Callable[[pa.Table], dict | None],
     dealt = dealt.withColumn("_k", F.col(key)).drop("_other", "_own", key)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "_group").sortWithinPartitions("_group", "_k")
-    return dealt.mapInArrow(lambda batches: _groups(batches, compare, schema), schema)
+    return dealt.mapInArrow(lambda batches: _groups(batches, compare, schema, small), schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], compare: Callable, schema: str) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], compare: Callable, schema: str, small: int) -> Iterator[pa.RecordBatch]:
     held: pa.Table | None = None
     target = SCHEMAS[schema]
 
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
         keys = np.stack([table.column("_group").to_numpy(), table.column("_k").to_numpy()])
         cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [table.num_rows]])
-        for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-            if b - a > 1:
-                got = compare(table.slice(a, b - a))
-                if got:
-                    yield pa.RecordBatch.from_pydict(got, schema=target)
+        sizes = ends - begins
+        few = (sizes > 1) & (sizes <= small)
+        if few.any():
+            rows = np.repeat(few, sizes)
+            got = compare(table.filter(pa.array(rows)), np.repeat(np.flatnonzero(few), sizes[few]))
+            if got:
+                yield pa.RecordBatch.from_pydict(got, schema=target)
+        for k in np.flatnonzero((sizes > 1) & ~few).tolist():
+            got = compare(table.slice(begins[k], sizes[k]), None)
+            if got:
+                yield pa.RecordBatch.from_pydict(got, schema=target)
 
     for batch in batches:
         if not batch.num_rows:
@@ -67,6 +78,15 @@ def _groups(batches: Iterator[pa.RecordBatch], compare: Callable, schema: str) -
         yield from run(held)
 
 
+def pairs_of(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs of rows of one group, i before j; rows of a group are neighbours."""
+    for lag in range(1, len(group)):
+        i = np.flatnonzero(group[lag:] == group[:-lag])
+        if not len(i):
+            return
+        yield i, i + lag
+
+
 SCHEMAS: dict[str, pa.Schema] = {
     "a long, b long": pa.schema([("a", pa.int64()), ("b", pa.int64())]),
     "a long, b long, n long": pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]),

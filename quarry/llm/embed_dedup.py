@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from quarry.llm.buckets import forest, meet
+from quarry.llm.buckets import forest, meet, pairs_of
 from quarry.llm.common import materialize, pick
 from quarry.llm.components import components
 
@@ -50,6 +50,7 @@ def choose(n: float, threshold: float, miss: float = MISS) -> tuple[int, int]:
     return min(found)[1:]
 
 
+@lru_cache(maxsize=4)
 def projections(dim: int, tables: int, hashes: int, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64([SEED, dim]))
     return rng.standard_normal((dim, tables * hashes)), rng.uniform(0, width, tables * hashes)
@@ -133,17 +134,18 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
                     short = pa.array([x.tobytes() for x in codes(unit)], pa.binary()).take(pa.array(np.repeat(np.arange(len(some)), tables)))
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(gid[some], tables)), short], schema=schema)
 
-    def near(table: pa.Table) -> dict | None:
+    def near(table: pa.Table, group: np.ndarray | None) -> dict | None:
         """The rows of a bucket whose codes have one near enough."""
         raw, gid, side = table.column("code").to_pylist(), table.column("gid").to_numpy(), table.column("_side").to_numpy()
-        if len({len(x) for x in raw}) > 1:  # two lengths under one key, by a collision
-            parts = [near(table.filter(pa.array([len(x) == n for x in raw]))) for n in {len(x) for x in raw}]
-            parts = [x for x in parts if x]
-            return {k: np.concatenate([x[k] for x in parts]) for k in parts[0]} if parts else None
+        if len({len(x) for x in raw}) > 1:
+            return _by_length(near, table, group, "code")
         x = np.frombuffer(b"".join(raw), dtype=np.int8).reshape(len(raw), -1).astype(np.float32)
         square, limit = (x * x).sum(axis=1), code_limit(threshold, x.shape[1])
         some = np.zeros(len(x), dtype=bool)
-        for at in range(0, len(x), 512):
+        for i, j in pairs_of(group) if group is not None else ():
+            good = (((x[i] - x[j]) ** 2).sum(axis=1) <= limit) & ((side[i] == 2) | (side[i] != side[j]))
+            some[i[good]] = some[j[good]] = True
+        for at in range(0, len(x) if group is None else 0, 512):
             good = square[at : at + 512, None] + square[None] - 2 * (x[at : at + 512] @ x.T) <= limit
             if side[0] != 2:
                 good &= side[at : at + 512, None] != side[None]
@@ -151,24 +153,21 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
             some |= good.any(axis=0)
         return {"a": table.column("_k").to_numpy()[some], "b": gid[some]} if some.any() else None
 
-    def compare(table: pa.Table) -> dict | None:
+    def compare(table: pa.Table, group: np.ndarray | None) -> dict | None:
         gid, copies, cls = (table.column(x).to_numpy() for x in ("gid", "copies", "cls"))
         bucket, side = table.column("_k").to_numpy(), table.column("_side").to_numpy()
-        lengths = np.asarray([len(x) for x in table.column("raw").to_pylist()])
-        if len(np.unique(lengths)) > 1:
-            parts = [compare(table.filter(pa.array(lengths == n))) for n in np.unique(lengths) if (lengths == n).sum() > 1]
-            parts = [x for x in parts if x]
-            return {k: np.concatenate([x[k] for x in parts]) for k in parts[0]} if parts else None
+        if len({len(x) for x in table.column("raw").to_pylist()}) > 1:
+            return _by_length(compare, table, group, "raw")
         unit = _units(table.column("raw"), code)
-        cosine = unit @ unit.T
-        good = (cosine >= threshold - 1e-9) & (cls[:, None] == cls[None, :])
-        if side[0] != 2:
-            good &= side[:, None] != side[None, :]
-        left, right = np.nonzero(np.triu(good, 1))
-        if not len(left):
-            return None
-        parts = range(0, len(left), 20_000)
-        sure = np.concatenate([(unit[left[k : k + 20_000]] * unit[right[k : k + 20_000]]).sum(axis=1) >= threshold for k in parts])
+        if group is not None:
+            left, right = (np.concatenate(x) for x in zip(*pairs_of(group), strict=True))
+        else:
+            left, right = np.nonzero(np.triu(unit @ unit.T >= threshold - 1e-9, 1))
+        good = (cls[left] == cls[right]) & ((side[left] == 2) | (side[left] != side[right]))
+        left, right = left[good], right[good]
+        sure = np.zeros(len(left), dtype=bool)
+        for k in range(0, len(left), 20_000):
+            sure[k : k + 20_000] = (unit[left[k : k + 20_000]] * unit[right[k : k + 20_000]]).sum(axis=1) >= threshold
         left, right = left[sure], right[sure]
         if not len(left):
             return None
@@ -208,6 +207,18 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def _by_length(compare, table: pa.Table, group: np.ndarray | None, column: str) -> dict | None:
+    """compare on the rows of each length by themselves: groups of vectors of several lengths, or two lengths under one key by a collision."""
+    lengths = np.asarray([len(x) for x in table.column(column).to_pylist()])
+    parts = []
+    for n in np.unique(lengths):
+        some = lengths == n
+        if some.sum() > 1 and (group is None or (np.diff(group[some]) == 0).any()):
+            parts.append(compare(table.filter(pa.array(some)), None if group is None else group[some]))
+    parts = [x for x in parts if x]
+    return {k: np.concatenate([x[k] for x in parts]) for k in parts[0]} if parts else None
+
+
 def _packed(code: str):
     """Vectors as packed numbers."""
     schema = pa.schema([("_gid", pa.int64()), ("copies", pa.int64()), ("cls", pa.int64()), ("raw", pa.binary())])

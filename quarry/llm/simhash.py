@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.buckets import forest, meet
+from quarry.llm.buckets import forest, meet, pairs_of
 from quarry.llm.common import materialize, pick
 from quarry.llm.components import components
 
@@ -184,16 +184,24 @@ def _probes(rows: DataFrame, parts: list[tuple[list[int], int]], with_fp: bool =
     return rows.select("fp", "gid").mapInArrow(probed, "bucket long, gid long, part int, own boolean" + ", fp long" * with_fp)
 
 
-def _within(table: pa.Table, column: str, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _within(table: pa.Table, group: np.ndarray | None, column: str, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the pairs of a bucket that are within tau, of one part, and of which one at least is at home there."""
     x = table.column(column).to_numpy().view(np.uint64)
     own, side, part = table.column("own").to_numpy(), table.column("_side").to_numpy(), table.column("part").to_numpy()
-    for at in range(0, len(x), 256):
-        a, b = np.nonzero(np.bitwise_count(x[at : at + 256, None] ^ x[None, at:]) <= tau)
-        a, b = a + at, b + at
-        good = (a < b) & (own[a] | own[b]) & (part[a] == part[b])
-        if side[0] != 2:
-            good &= side[a] != side[b]
+
+    def near() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if group is not None:
+            for a, b in pairs_of(group):
+                good = np.bitwise_count(x[a] ^ x[b]) <= tau
+                yield a[good], b[good]
+            return
+        for at in range(0, len(x), 256):
+            a, b = np.nonzero(np.bitwise_count(x[at : at + 256, None] ^ x[None, at:]) <= tau)
+            good = a < b
+            yield a[good] + at, b[good] + at
+
+    for a, b in near():
+        good = (own[a] | own[b]) & (part[a] == part[b]) & ((side[a] == 2) | (side[a] != side[b]))
         yield a[good], b[good]
 
 
@@ -204,9 +212,9 @@ def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     parts = plan(n, both, tau)
 
-    def compare(table: pa.Table) -> dict | None:
+    def compare(table: pa.Table, group: np.ndarray | None) -> dict | None:
         fp = table.column("gid").to_numpy()
-        left, right = (np.concatenate(x) for x in zip(*_within(table, "gid", tau), strict=True))
+        left, right = (np.concatenate(x) for x in zip(*_within(table, group, "gid", tau), strict=True))
         if not len(left):
             return None
         root = forest(left, right, len(fp))
@@ -239,11 +247,11 @@ def partners(texts: DataFrame, most: int = FIND_TAU) -> DataFrame:
     parts = plan(n, both, tau)
     masks = [(np.uint64(sum(1 << b for b in bits)), t) for bits, t in parts]
 
-    def compare(table: pa.Table) -> dict | None:
+    def compare(table: pa.Table, group: np.ndarray | None) -> dict | None:
         x, gid = table.column("fp").to_numpy().view(np.uint64), table.column("gid").to_numpy()
         own, part = table.column("own").to_numpy(), table.column("part").to_numpy()
         some = np.zeros(len(x), dtype=bool)
-        for a, b in _within(table, "fp", tau):
+        for a, b in _within(table, group, "fp", tau):
             if not len(a):
                 continue
             d = x[a] ^ x[b]
@@ -430,13 +438,17 @@ def token_partners(tokens: DataFrame, similarity: float) -> DataFrame:
     """
     share = similarity / (1 + similarity)
 
-    def compare(table: pa.Table) -> dict | None:
+    def compare(table: pa.Table, group: np.ndarray | None) -> dict | None:
         bucket, side = table.column("bucket").to_numpy(), table.column("_side").to_numpy()
         if (bucket == bucket[0]).all():
             return None
         n, pos = table.column("n").to_numpy(), table.column("pos").to_numpy()
         rest, some = n - pos, np.zeros(len(n), dtype=bool)
-        for at in range(0, len(n), 256):
+        for a, b in pairs_of(group) if group is not None else ():
+            good = (bucket[a] != bucket[b]) & ((side[a] == 2) | (side[a] != side[b])) & (np.minimum(rest[a], rest[b]) >= share * (n[a] + n[b]) - 1e-6)
+            good &= np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6
+            some[a[good]] = some[b[good]] = True
+        for at in range(0, len(n) if group is None else 0, 256):
             a = slice(at, at + 256)
             good = (bucket[a, None] != bucket[None]) & (np.minimum(rest[a, None], rest[None]) >= share * (n[a, None] + n[None]) - 1e-6)
             good &= np.minimum(n[a, None], n[None]) >= similarity * np.maximum(n[a, None], n[None]) - 1e-6
@@ -464,7 +476,7 @@ def sketch_links(found: DataFrame, classes: DataFrame) -> DataFrame:
 def similar_links(texts: DataFrame, similarity: float = SIMILARITY, block: int | None = None) -> DataFrame:
     """a, b: a spanning forest, in each two blocks of a bucket, of the pairs of gid whose sets of hashes (sh, n of them) have this Jaccard similarity."""
 
-    def compare(table: pa.Table) -> dict | None:
+    def compare(table: pa.Table, group: np.ndarray | None) -> dict | None:
         gid, side = table.column("gid").to_numpy(), table.column("_side").to_numpy()
         raw = table.column("sh").to_pylist()
         sizes = np.asarray([len(x) // 8 for x in raw])
@@ -504,7 +516,7 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY, block: int |
         keep = root != np.arange(len(gid))
         return {"a": gid[keep], "b": gid[root[keep]]}
 
-    return meet(texts.select("bucket", "gid", "sh", "n"), "bucket", compare, "a long, b long", block=block or TEXTS, weight="n", most=TEXT_BYTES // 8)
+    return meet(texts.select("bucket", "gid", "sh", "n"), "bucket", compare, "a long, b long", block=block or TEXTS, weight="n", most=TEXT_BYTES // 8, small=0)
 
 
 def near_duplicate_texts(docs: DataFrame, tau: int = FIND_TAU, similarity: float = SIMILARITY, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
