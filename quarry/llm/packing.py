@@ -12,12 +12,14 @@ nodes (None: none); the plan says how many sequences there are, a proven lower b
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,17 +105,21 @@ class Spent(Exception):
     """The search's budget is used up."""
 
 
-def completions(counts: dict[int, int], lengths: list[int], first: int, capacity: int, slack: int, step: Callable[[], None] = lambda: None) -> Iterator[tuple[int, ...]]:
+def completions(have: list[int], lengths: list[int], first: int, capacity: int, slack: int, step: Callable[[], None] = lambda: None) -> Iterator[tuple[int, ...]]:
     """Undominated fillings around an item of length `first` with a waste of at most slack, those with longer items first.
 
-    A filling is dominated if an unused item fits beside it, or if one of its items could be swapped for a longer
-    unused one that still fits; another filling is then at least as good. They are made one by one, as they are asked
-    for; step() is called for each place tried and may raise Spent.
+    have[x] says how many items of length x there are; lengths has all lengths in descending order. A filling is
+    dominated if an unused item fits beside it, or if one of its items could be swapped for a longer unused one that
+    still fits; another filling is then at least as good. Fillings are made one by one, as they are asked for, and have
+    is as it was whenever one is given; step() is called for each place tried and may raise Spent.
     """
-    have = {x: n - (x == first) for x, n in counts.items()}
     chosen: list[int] = []
     room, tried = capacity - first, [0]  # the next length to try at each depth
 
+    def take(n: int) -> None:
+        for x in (first, *chosen):
+            have[x] -= n
+
     def dominated() -> bool:
         for x in set(chosen):
             k = bisect_left_desc(lengths, x + room, 0)
@@ -123,6 +129,7 @@ def completions(counts: dict[int, int], lengths: list[int], first: int, capacity
                 k += 1
         return any(have[y] > 0 for y in lengths[bisect_left_desc(lengths, room, 0) :])
 
+    take(1)
     while tried:
         step()
         k = bisect_left_desc(lengths, room, tried[-1])
@@ -137,11 +144,14 @@ def completions(counts: dict[int, int], lengths: list[int], first: int, capacity
             room -= x
             continue
         if room <= slack and not dominated():
+            take(-1)
             yield (first, *chosen)
+            take(1)
         tried.pop()
         if chosen:
             have[chosen[-1]] += 1
             room += chosen.pop()
+    take(-1)
 
 
 def bisect_left_desc(lengths: list[int], most: int, at: int) -> int:
@@ -179,48 +189,64 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         if nodes is not None and steps > 100 * nodes:
             raise Spent
 
-    def fillings(left: dict[int, int], bins: int, waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    lengths = sorted(counts, reverse=True)
+    left = [0] * (capacity + 1)  # one table for all nodes, changed on the way down and put back on the way up
+    for x, n in counts.items():
+        left[x] = n
+    made: list[Pattern] = []
+    bins = waste = 0
+
+    def fillings() -> Iterator[tuple[tuple[int, ...], int]]:
         """(filling, times) to try at a node."""
-        lengths = sorted(left, reverse=True)
-        for filling in completions(left, lengths, lengths[0], capacity, (most - 1) * capacity - total - waste, step):
+        first = next(x for x in lengths if left[x])
+        for filling in completions(left, lengths, first, capacity, (most - 1) * capacity - total - waste, step):
             each = min(left[x] // filling.count(x) for x in set(filling))
             for times in range(each, 0, -1):
                 step()
                 yield filling, times
 
-    # a frame: what is left, the patterns made, their bins and waste, and the fillings not tried yet
-    stack = [(counts, [], 0, 0, fillings(counts, 0, 0))] if most > bound else []
-    seen: set[tuple] = set()
+    def use(filling: tuple[int, ...], times: int) -> None:
+        nonlocal bins, waste
+        for x in filling:
+            left[x] -= times
+        bins, waste = bins + times, waste + (capacity - sum(filling)) * times
+
+    stack = [fillings()] if most > bound else []
+    seen: set[tuple[int, bytes]] = set()
     while stack and most > bound:
-        left, made, bins, waste, untried = stack[-1]
         try:
-            found = next(untried, None)
+            found = next(stack[-1], None)
         except Spent:
             return Plan(best, most, bound, False)
         if nodes is not None and opened >= nodes:
             return Plan(best, most, bound, False)
         if found is None:
             stack.pop()
+            if made:
+                filling, times = made.pop()
+                use(filling, -times)
             continue
         filling, times = found
-        spill = waste + (capacity - sum(filling)) * times
-        if spill > (most - 1) * capacity - total:
+        if waste + (capacity - sum(filling)) * times > (most - 1) * capacity - total:
             continue
-        after = {x: n - filling.count(x) * times for x, n in left.items()}
-        after = {x: n for x, n in after.items() if n}
-        state = (bins + times, tuple(sorted(after.items())))
+        use(filling, times)
+        state = (bins, xxhash.xxh3_128_digest(array("q", left).tobytes()))
         if state in seen:  # the same items are left after as many sequences
+            use(filling, -times)
             continue
         if len(seen) < SEEN:
             seen.add(state)
         opened += 1
-        now = [*made, (filling, times)]
-        rest = best_fit(after, capacity)
-        bins_now = bins + times + sum(n for _, n in rest)
-        if bins_now < most:
-            best, most = [*now, *rest], bins_now
-        if after:
-            stack.append((after, now, bins + times, spill, fillings(after, bins + times, spill)))
+        made.append(found)
+        rest = best_fit({x: left[x] for x in lengths if left[x]}, capacity)
+        n = bins + sum(k for _, k in rest)
+        if n < most:
+            best, most = [*made, *rest], n
+        if rest:
+            stack.append(fillings())
+        else:
+            made.pop()
+            use(filling, -times)
     return Plan(best, most, bound, True)
 
 
