@@ -40,22 +40,14 @@ TEXTS, TEXT_BYTES = 1024, 16 << 20
 LG_SLOTS, PIECES = 18, 64
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, once: bool = False) -> int:
-    """64 bits, each set if over half of the shingles' hashes have it. A-Z are lower-cased; words are split at ASCII blanks.
-
-    once: a shingle that repeats counts once.
-    """
-    return _fingerprint((text or "").encode("utf-8", "surrogatepass").lower().split(), shingle, once)
-
-
-def _fingerprint(words: list[bytes], shingle: int, once: bool = False) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64 bits, each set if over half of the shingles' hashes have it. A-Z are lower-cased; words are split at ASCII blanks."""
+    words = _words(text)
     if not words:
         return 0
     if len(words) < shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     grams = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
-    if once:
-        grams = iter(set(grams))
     digest, n = xxhash.xxh64_digest, 0
     totals = np.zeros(64, dtype=np.int64)
     while raw := b"".join([digest(g, SEED) for _, g in zip(range(8192), grams, strict=False)]):
@@ -295,7 +287,7 @@ def copies_of(rows: DataFrame, words: int = WORDS) -> DataFrame:
         hashes = _Hashes()
         for batch in batches:
             each = [_words(x.as_py()) for x in batch.column("text")]
-            fps = np.asarray([_fingerprint(w, FIND_SHINGLE, True) for w in each], dtype=np.uint64).view(np.int64)
+            fps = np.asarray([_majority(_tokens(w, min(FIND_SHINGLE, len(w)), hashes)) for w in each], dtype=np.uint64).view(np.int64)
             sketches = [_tokens(w, words, hashes)[:SKETCH].tobytes() for w in each]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(x, type=f.type) for x, f in zip((fps, [_key(w) for w in each], sketches), list(schema)[2:], strict=True)]], schema=schema)
 
@@ -310,10 +302,9 @@ def _key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _shingles(words: list[bytes], n: int) -> bytes:
-    """The distinct shingles' 64-bit hashes; fewer words than n are one shingle."""
-    grams = set(map(b" ".join, zip(*[words[i:] for i in range(n)], strict=False))) or {b" ".join(words)}
-    return b"".join([xxhash.xxh64_digest(g) for g in grams])
+def _majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if over half of the hashes have it; 0 of none."""
+    return int(np.packbits(2 * bits_of(hashes).sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view(np.uint64)[0]) if len(hashes) else 0
 
 
 class _Hashes(dict):
@@ -327,8 +318,8 @@ class _Hashes(dict):
 
 
 def _tokens(words: list[bytes], n: int, hashes: _Hashes) -> np.ndarray:
-    """The distinct shingles of n words as 64-bit hashes made from the words' own; none if there are fewer words."""
-    if len(words) < n:
+    """The distinct shingles of n words as 64-bit hashes made from the words' own, ascending; none if there are fewer words."""
+    if len(words) < max(n, 1):
         return np.empty(0, dtype=np.uint64)
     each = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
     last = len(words) - n + 1
@@ -550,6 +541,7 @@ def near_duplicate_texts(docs: DataFrame, tau: int = FIND_TAU, similarity: float
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int64()), ("gid", pa.int64()), ("sh", pa.binary()), ("n", pa.int64())])
+        hashes = _Hashes()
         for batch in batches:
             bucket, gid, want = (batch.column(x).to_pylist() for x in ("bucket", "gid", "want"))
             for at in range(0, batch.num_rows, 512):
@@ -557,8 +549,8 @@ def near_duplicate_texts(docs: DataFrame, tau: int = FIND_TAU, similarity: float
                 for i, x in enumerate(batch.column("text").slice(at, 512), at):
                     w = _words(x.as_py())
                     if _key(w) == want[i]:
-                        sh = _shingles(w, words)
-                        out.append((bucket[i], gid[i], sh, len(sh) // 8))
+                        sh = _tokens(w, words, hashes)
+                        out.append((bucket[i], gid[i], sh.tobytes(), len(sh)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
