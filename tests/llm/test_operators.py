@@ -1,5 +1,7 @@
 """Each operator against a brute-force version, on the supplied tables and on a table of odd rows."""
 
+import datetime
+import hashlib
 import random
 import re
 import zlib
@@ -7,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -602,7 +605,7 @@ def test_private_values(spark):
     got = pii.pseudonymize(df, "k1").collect()
     assert len(got) == len(rows)
     out = {r.doc_id: r for r in got}
-    assert [out[i].n_found for i in range(1, 13)] == [2, 3, 2, 1, 2, 1, 2, 0, 0, 0, 2, 0]
+    assert [out[i].n_found for i in range(1, 13)] == [2, 3, 2, 1, 2, 1, 2, 0, 0, 0, 2, 0]  # 234-567-8901 has valid codes, +1 (017) its marks
     assert out[8].text is None and out[9].text == "" and out[10].text == rows[9][1] and out[12].text == rows[11][1]
     cards = re.findall(r"\d[\d -]{14,}\d", out[2].text.split(" 4111111111111112")[0])
     digits = {re.sub(r"\D", "", x) for x in re.findall(r"(?:\d{16}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})", out[2].text)} - {"4111111111111112"}
@@ -620,6 +623,132 @@ def test_private_values(spark):
     assert other[11] != out[11].text
 
 
+def brute_feistel(value, a, b, key, kind):
+    left, right = value % a, value // a
+    for r in range(8):
+        half = right if r % 2 == 0 else left
+        f = int(hashlib.sha256("|".join(map(str, (key, kind, a, b, r, half))).encode()).hexdigest()[:13], 16)
+        if r % 2 == 0:
+            left = (left + f) % a
+        else:
+            right = (right + f) % b
+    return left + a * right
+
+
+def brute_digits(digits, key, kind):
+    low = len(digits) // 2
+    return str(brute_feistel(int(digits), 10**low, 10 ** (len(digits) - low), key, kind)).zfill(len(digits))
+
+
+CODES = {True: [c for c in range(200, 1000) if c % 100 != 11], False: [*range(200), *range(211, 1000, 100)]}
+
+
+def refilled(shape, digits):
+    it = iter(digits)
+    return re.sub(r"\d", lambda _: next(it), shape)
+
+
+def brute_pseudonym(m, key):
+    """(kind, replacement) of one match, by tables and loops."""
+    d = re.sub(r"\D", "", m)
+    mac = lambda kind, x: hashlib.sha256("|".join((key, kind, x)).encode()).hexdigest()
+    if "@" in m:
+        return "email", f"user.{mac('email', m.lower())[:16]}@mail.invalid"
+    if re.fullmatch(r"[0-9a-fA-F]{32,64}", m):
+        new = mac("secret", m.lower())[: len(m)]
+        return "secret", new.upper() if m == m.upper() else new
+    if regex.fullmatch(pii.DATE, m):
+        us = "/" in m and m[3:5] > "12"
+        form = "%Y-%m-%d" if "/" not in m else "%m/%d/%Y" if us else "%d/%m/%Y"
+        first = datetime.date(1800, 1, 1)
+        try:
+            at = (datetime.datetime.strptime(m, form).date() - first).days
+        except ValueError:
+            return None, m
+        if not 0 <= at < 382 * 382:
+            return None, m
+        while True:
+            at = brute_feistel(at, 382, 382, key, "date")
+            day = first + datetime.timedelta(days=at)
+            if not us or day.day > 12:
+                return "date", day.strftime(form)
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", m):
+        area, group, serial = map(int, m.split("-"))
+        areas = [x for x in range(1, 900) if x != 666]
+        if area not in areas or not group or not serial:
+            return None, m
+        x = brute_feistel(areas.index(area) * 99 + group - 1 + 898 * 99 * (serial - 1), 898 * 99, 9999, key, "ssn")
+        return "ssn", f"{areas[x % (898 * 99) // 99]:03}-{x % (898 * 99) % 99 + 1:02}-{x // (898 * 99) + 1:04}"
+    if re.fullmatch(r"(?:\d{1,3}\.){3}\d{1,3}", m):
+        parts = m.split(".")
+        if max(map(int, parts)) > 255:
+            return None, m
+        x = brute_feistel(int.from_bytes(bytes(map(int, parts)), "big"), 65536, 65536, key, "ip").to_bytes(4, "big")
+        return "ip", ".".join(f"{o:03}" if any(p[0] == "0" < p[1:] for p in parts) else str(o) for o in x)
+    if regex.fullmatch(pii.CARD, m):
+        if not luhn(d):
+            return None, m
+        body = brute_digits(d[:-1], key, "card")
+        return "card", refilled(m, body + next(c for c in "0123456789" if luhn(body + c)))
+    n = re.sub(pii.COUNTRY, "", d) if m[0] == "+" else d
+    lead = d[: len(d) - len(n)]
+    if m[0] == "+" and not 8 <= len(d) <= 15 or m[0] != "+" and "(" not in m and not (int(d[:3]) in CODES[True] and int(d[3:6]) in CODES[True]):
+        return None, m
+    if len(n) == 10 and lead in ("", "1"):
+        good = int(n[:3]) in CODES[True]
+        areas, exchanges = CODES[good], CODES[int(n[3:6]) in CODES[True]] if good else list(range(1000))
+        a = len(areas) * len(exchanges)
+        x = brute_feistel(areas.index(int(n[:3])) * len(exchanges) + exchanges.index(int(n[3:6])) + a * int(n[6:]), a, 10_000, key, "phone")
+        return "phone", refilled(m, f"{lead}{areas[x % a // len(exchanges)]:03}{exchanges[x % a % len(exchanges)]:03}{x // a:04}")
+    return "phone", refilled(m, lead + brute_digits(n, key, "phone"))
+
+
+def brute_private(text, key):
+    found = Counter()
+
+    def swap(m):
+        kind, new = brute_pseudonym(m[0], key)
+        found[kind] += kind is not None
+        return new
+
+    return (None if text is None else regex.sub(pii.ANY, swap, text)), found
+
+
+def test_private_values_equal_brute_force(spark, sf, odd_docs, no_docs):
+    rng = random.Random(11)
+    say = lambda form: re.sub("9", lambda _: str(rng.randrange(10)), form)
+    forms = ["+1 (999) 999-9999", "(999) 999-9999", "999-999-9999", "999.999.9999", "+19999999999", "+44 99 9999 9999", "+4499999999", "+99999999999999", "9999999999", "9999 9999 9999 9999", "9999 999999 99999", "9999-999999-99999",
+             "999-99-9999", "999.99.9.999", "1.02.3.4", "9999-09-29", "0999-09-09", "09/19/1999", "12/29/2009", "29/02/2000", "01/02/2003", "99/99/9999", "a.99@x9.org"]
+    texts = [" ".join(say(rng.choice(forms)) + rng.choice(["", ",", "!", " x"]) for _ in range(60)) for _ in range(60)]
+    cards = ["378282246310005", "3782 822463 10005", "3782-822463-10005", "4111 1111 1111 1111", "6011000990139424"]
+    texts += ["12/25/2024 1899-12-31 2150-03-04 1799-12-31 2199-07-11 2199-07-12 " + " ".join(cards), "000-111-2222 123.456.7890 234.567.8901 +14155550123 4155550123", "1.2.3.4 001.002.003.004 ff" * 3, "say 4111111111111111 now " * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for docs in (df, docs_at(spark, sf), odd_docs, no_docs):
+        want = Counter()
+        for d, t in rows_of(docs, "doc_id", "text"):
+            text, found = brute_private(t, "k")
+            want[d, text, sum(found.values()), *[found[k] for k in pii.KINDS]] += 1
+        got = Counter(rows_of(pii.pseudonymize(docs, "k"), "doc_id", "text", "n_found", *[f"n_{k}" for k in pii.KINDS]))
+        assert got == want
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymize(df, "")
+    with pytest.raises(ValueError, match="key"):
+        pii.key_of(spark)
+
+
+def test_phones_and_month_first_dates_are_permuted_among_their_own():
+    phones = [f"({a:03}) {e:03}-0000" for a in (*range(195, 215), 311, 999) for e in (0, 11, 199, 200, 211, 911, 999)]
+    dates = [f"{d:%m/%d/%Y}" for k in range(3000) if (d := datetime.date(2000, 1, 1) + datetime.timedelta(days=k)).day > 12]
+    for kind, values in (("phone", phones), ("date", dates)):
+        new = [brute_pseudonym(x, "k") for x in values]
+        assert all(k == kind for k, _ in new) and len({x for _, x in new}) == len(values)
+    assert all(x[3:5] > "12" for _, x in (brute_pseudonym(x, "k") for x in dates))
+    for x in phones:
+        same = lambda p: [int(c) in CODES[True] for c in (p[1:4], p[6:9])]
+        was, now = same(x), same(brute_pseudonym(x, "k")[1])
+        assert was[0] == now[0] and (not was[0] or was[1] == now[1])
+
+
 @pytest.mark.parametrize(("a", "b"), [(10, 10), (100, 10), (27, 27), (1, 7)])
 def test_feistel_is_a_permutation(spark, a, b):
     n = a * b
