@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import STOPWORDS, content_words
 
-HOPS = ("and then", "compare", "difference between", "how does", "relationship between", "step by step", "timeline of", "versus", " vs ", "why does")
-ASKS = ("best", "explain", "how", "list", "should i", "summarize", "what", "when", "where", "who", "why")
+#: The same words must route queries alike. What asks for several hops, then what asks a question.
+HOPS = ("compare", "versus", " vs ", "difference between", "how does", "why does", "relationship between", "timeline of", "step by step", "and then")
+ASKS = ("what", "who", "when", "where", "why", "how", "explain", "summarize", "list", "best", "should i")
 ENTAILED, CONFIDENT = 0.5, 0.5
 
 

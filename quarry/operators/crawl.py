@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.index import summed_before
+from quarry.operators.ordered import places
+
 ROBOTS_LIMIT = 500 * 1024
 
 
@@ -21,11 +24,11 @@ def admitted(urls: DataFrame) -> DataFrame:
 
 def host_queues(urls: DataFrame) -> DataFrame:
     """place of each URL in its host's queue: arrival alone decides; host_priority is the highest unclamped one seen."""
-    by_host = Window.partitionBy("host")
-    return urls.withColumn("place", F.row_number().over(by_host.orderBy("seq"))).withColumn("host_priority", F.max("raw_priority").over(by_host))
+    most = urls.groupBy("host").agg(F.max("raw_priority").alias("host_priority"))
+    return places(urls, "host", ["seq"], "place").withColumn("place", F.col("place") + 1).join(most, "host")
 
 
-#: Fixed values for whoever fetches the pages; the engine itself opens no connection. Times are in seconds.
+#: The limits of connections and waits that the fetcher of pages is to have, as another engine must find them here. Times are in seconds.
 FETCH_SETTINGS = {
     "dial_timeout": 10, "keep_alive": 30, "idle_connections": 10_000, "idle_per_host": 2, "connections_per_host": 4,
     "idle_timeout": 90, "handshake_timeout": 10, "continue_timeout": 1, "header_timeout": 15, "decompress": False,
@@ -39,8 +42,7 @@ def gap(fetch: Column, delay: Column) -> Column:
 
 def schedule(queue: DataFrame) -> DataFrame:
     """start of each fetch when every host is worked off alone: what fetches and gaps before it in its queue took."""
-    before = Window.partitionBy("host").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return queue.withColumn("start", F.coalesce(F.sum(F.col("fetch") + gap(F.col("fetch"), F.col("delay"))).over(before), F.lit(0.0)))
+    return summed_before(queue, ["host"], "place", F.col("fetch") + gap(F.col("fetch"), F.col("delay")), "start").withColumn("start", F.col("start").cast("double"))
 
 
 def parse_robots(body: str) -> tuple[list[dict], list[str]]:

@@ -57,8 +57,12 @@ def near_pairs(found: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS)
     keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("value")) for i, m in enumerate(masks)])
     each = found.select("fp", "first", F.explode(keys).alias("x")).select("fp", "first", "x.choice", "x.value")
     met = each.alias("l").join(each.alias("r"), (F.col("l.choice") == F.col("r.choice")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.first") < F.col("r.first")))
-    distance = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp")))
-    return met.where(distance <= threshold).select(F.col("l.first").alias("a"), F.col("r.first").alias("b"), F.col("l.fp").alias("f"), F.col("r.fp").alias("g"), distance.cast("long").alias("distance")).distinct()
+    differ = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
+    distance, first = F.bit_count(differ), F.lit(None).cast("int")
+    for i, m in reversed(list(enumerate(masks))):  # a pair is told by the first choice that both agree on, and so once
+        first = F.when(differ.bitwiseAND(F.lit(signed(m))) == 0, F.lit(i)).otherwise(first)
+    met = met.where((distance <= threshold) & (first == F.col("l.choice")))
+    return met.select(F.col("l.first").alias("a"), F.col("r.first").alias("b"), F.col("l.fp").alias("f"), F.col("r.fp").alias("g"), distance.cast("long").alias("distance"))
 
 
 def leaders(fps: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id") -> DataFrame:

@@ -1,12 +1,15 @@
 """Inverted index: postings, dictionary, blocks, segments and retrieval, as relational plans.
 
-Postings are (doc_id, term, tf) rows. Sorted by (term, doc_id) in Parquet, row-group statistics do what skip
-lists do; a lookup or a prefix is a pushed filter. Retrieval joins the few query terms to the postings.
+Postings are (doc_id, term, tf) rows. seal() writes them once, sorted by (term, doc_id), with the dictionary, the
+blocks and the stored fields beside them. In Parquet so sorted, row-group and page statistics do what skip lists do:
+a lookup, a prefix or a query's terms are pushed filters, and nothing else of the lists is read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import index_terms
@@ -42,16 +45,81 @@ def numbered(df: DataFrame, group: list[str], key: str, out: str, span: int = SP
     return spans.withColumn("_at", F.row_number().over(inside) - 1).join(starts, [*group, "_span"]).withColumn(out, (F.col("_before") + F.col("_at")).cast("long")).drop("_span", "_at", "_before")
 
 
+def summed_before(df: DataFrame, group: list[str], key: str, value: Column, out: str, span: int = SPAN) -> DataFrame:
+    """The sum of value over the rows of a group before each by key, in spans of keys as numbered() does."""
+    spans = df.withColumns({"_span": F.floor(F.col(key) / F.lit(span)), "_value": value})
+    order = Window.partitionBy(*group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    totals = spans.groupBy(*group, "_span").agg(F.sum("_value").alias("_total"))
+    starts = totals.select(*group, "_span", F.coalesce(F.sum("_total").over(order), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*group, "_span").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    found = spans.withColumn("_sum", F.coalesce(F.sum("_value").over(inside), F.lit(0))).join(starts, [*group, "_span"])
+    return found.withColumn(out, F.col("_start") + F.col("_sum")).drop("_span", "_value", "_sum", "_start")
+
+
 def blocks(posts: DataFrame, size: int = BLOCK) -> DataFrame:
     """term, block, first_doc, last_doc, max_tf, n: the lists cut into blocks of `size` postings in document order."""
     placed = numbered(posts, ["term"], "doc_id", "_place").withColumn("block", F.floor(F.col("_place") / F.lit(size)).cast("long"))
     return placed.groupBy("term", "block").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("tf").alias("max_tf"), F.count(F.lit(1)).alias("n"))
 
 
-def next_at_or_after(posts: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each (term, target) the first document at or after it, null past the end."""
-    met = targets.join(posts.select("term", "doc_id"), "term", "left")
-    return met.groupBy("term", "target").agg(F.min(F.when(F.col("doc_id") >= F.col("target"), F.col("doc_id"))).alias("doc_id"))
+@dataclass(frozen=True)
+class Sealed:
+    """An index in a folder. postings (term, doc_id, tf, block), dictionary and blocks are sorted by term, stored by doc_id."""
+
+    spark: SparkSession
+    path: str
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._table("postings")
+
+    @property
+    def dictionary(self) -> DataFrame:
+        return self._table("dictionary")
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self._table("blocks")
+
+    @property
+    def stored(self) -> DataFrame:
+        """doc_id, local (dense from 0 in the order of doc_id), length (terms), norm (length up to 65,535), and the fields kept."""
+        return self._table("stored")
+
+
+def seal(docs: DataFrame, path: str, fields: tuple[str, ...] = (), key: str = "doc_id", text: str = "text", size: int = BLOCK) -> Sealed:
+    """Write the index of docs into a folder of the shared store. A term in most documents is dealt over many tasks.
+
+    Null text has no terms; its document is stored. Documents with a null key are left out.
+    """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.where(F.col(key).isNotNull())
+    placed = numbered(postings(docs, key, text), ["term"], "doc_id", "_place").withColumn("block", F.floor(F.col("_place") / F.lit(size)).cast("long"))
+    whole = placed.select("term", "doc_id", "tf", "block").repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+    whole.write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    found = Sealed(spark, path)
+    # blocks and the dictionary follow from the sealed lists, and are small beside them
+    blocked = found.postings.groupBy("term", "block").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("tf").alias("max_tf"), F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("n"))
+    blocked.repartitionByRange(n, "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
+    terms = found.blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"))
+    terms.withColumn("singleton", F.col("df") == 1).repartitionByRange(n, "term").sortWithinPartitions("term").write.parquet(f"{path}/dictionary")
+    length = F.coalesce(F.size(index_terms(F.col(text))), F.lit(0))
+    stored = docs.select(F.col(key).alias("doc_id"), F.greatest(length, F.lit(0)).cast("long").alias("length"), *fields)
+    stored = numbered(stored.withColumn("_all", F.lit(0)), ["_all"], "doc_id", "local").drop("_all")
+    stored.withColumn("norm", F.least("length", F.lit(65_535)).cast("int")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/stored")
+    return found
+
+
+def next_at_or_after(posts: DataFrame, found: DataFrame, targets: DataFrame) -> DataFrame:
+    """For each (term, target) the first document at or after it, null past the end: the block first, then its postings only."""
+    ends = found.select("term", "block", "last_doc").join(targets, "term").where(F.col("last_doc") >= F.col("target"))
+    ends = ends.groupBy("term", "target").agg(F.min("block").alias("block"))
+    met = posts.select("term", "block", "doc_id").join(ends, ["term", "block"]).where(F.col("doc_id") >= F.col("target"))
+    return targets.join(met.groupBy("term", "target").agg(F.min("doc_id").alias("doc_id")), ["term", "target"], "left")
 
 
 def block_bounds(found: DataFrame, targets: DataFrame) -> DataFrame:
@@ -109,17 +177,67 @@ def disjunction(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return posts.join(terms, "term").groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("weight")).alias("score"))
 
 
-def block_max_disjunction(posts: DataFrame, found: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """The same best k in two passes: a floor from seed scores, then only documents in blocks whose bounds can reach it.
+@dataclass(frozen=True)
+class Bounds:
+    """What a search knows before it reads lists: each term's weight and peak, and a floor that no k-th best total is below."""
+
+    weights: dict[str, float]
+    peaks: dict[str, float]
+    floor: float
+
+    def essential(self) -> list[str]:
+        """All terms but the weakest whose peaks together stay below the floor: a document with only those can't be among the best."""
+        total, out = 0.0, []
+        for term in sorted(self.peaks, key=lambda x: (self.peaks[x], x)):
+            total += self.peaks[term]
+            if total >= self.floor:
+                out.append(term)
+        return out
+
+
+def _by_term(values: dict[str, float]) -> Column:
+    return F.element_at(F.create_map(*[x for t, v in values.items() for x in (F.lit(t), F.lit(v))]), F.col("term"))
+
+
+def bounds(found: Sealed, terms: DataFrame, k: int) -> Bounds:
+    """Peaks from the dictionary; the floor from the postings of the blocks with the highest bounds, a few hundred for a small k.
 
-    The floor is the k-th largest single posting's score, which no k-th best total is below.
+    A query's terms come to the driver, with one row of each; weights must not be negative.
     """
-    met = posts.join(terms, "term").withColumn("part", F.col("tf") * F.col("weight"))
-    seed = met.groupBy("doc_id").agg(F.max("part").alias("part")).orderBy(F.desc("part")).limit(k).agg(F.min("part").alias("floor"), F.count(F.lit(1)).alias("n")).first()
-    floor = seed.floor if seed.n == k else float("-inf")
-    bounds = found.join(terms, "term").withColumn("bound", F.col("max_tf") * F.col("weight"))
-    peaks = bounds.groupBy("term").agg(F.max("bound").alias("peak"))
-    total = peaks.agg(F.coalesce(F.sum("peak"), F.lit(0.0)).alias("x")).first().x
-    useful = bounds.join(peaks, "term").where(F.col("bound") + F.lit(total) - F.col("peak") >= F.lit(floor)).select("term", "first_doc", "last_doc")
-    hits = met.join(useful, "term").where((F.col("doc_id") >= F.col("first_doc")) & (F.col("doc_id") <= F.col("last_doc"))).select("doc_id").distinct()
-    return top_documents(met.join(hits, "doc_id", "left_semi").groupBy("doc_id").agg(F.sum("part").alias("score")), k)
+    weights = {r.term: r.weight for r in terms.groupBy("term").agg(F.sum("weight").alias("weight")).collect()}
+    if min(weights.values(), default=0.0) < 0:
+        raise ValueError("pruning needs weights of 0 or more")
+    known = {r.term: r.max_tf for r in lookup(found.dictionary, *weights).select("term", "max_tf").collect()}
+    peaks = {t: weights[t] * m for t, m in known.items()}
+    if not peaks or k <= 0:
+        return Bounds(weights, peaks, float("inf") if k <= 0 else float("-inf"))
+    weight = _by_term(weights)
+    best = lookup(found.blocks, *peaks).withColumn("bound", F.col("max_tf") * weight).orderBy(F.desc("bound"), "term", "block").limit(-(-4 * k // BLOCK) + len(peaks))
+    seeds = lookup(found.postings, *peaks).join(F.broadcast(best.select("term", "block")), ["term", "block"])  # as many blocks as the limit says
+    sums = seeds.groupBy("doc_id").agg(F.sum(F.col("tf") * weight).alias("part")).orderBy(F.desc("part")).limit(k).agg(F.min("part").alias("floor"), F.count(F.lit(1)).alias("n")).first()
+    return Bounds(weights, peaks, sums.floor * (1 - 1e-9) if sums.n == k else float("-inf"))  # sums in another order may differ in the last digits
+
+
+def _scored(found: Sealed, b: Bounds, docs: DataFrame, k: int) -> DataFrame:
+    met = lookup(found.postings, *b.peaks).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    return top_documents(met.groupBy("doc_id").agg(F.sum(F.col("tf") * _by_term(b.weights)).alias("score")), k)
+
+
+def wand(found: Sealed, terms: DataFrame, k: int) -> DataFrame:
+    """The same best k as the exhaustive sum. Only lists of essential terms bring candidates; the others are read for those alone."""
+    b = bounds(found, terms, k)
+    if not b.peaks or k <= 0:
+        return disjunction(found.postings.where(F.lit(False)), terms)
+    return _scored(found, b, lookup(found.postings, *b.essential()), k)
+
+
+def block_max(found: Sealed, terms: DataFrame, k: int) -> DataFrame:
+    """The same best k again, with candidates only from blocks whose bound, with the other terms' peaks, can reach the floor."""
+    b = bounds(found, terms, k)
+    if not b.peaks or k <= 0:
+        return disjunction(found.postings.where(F.lit(False)), terms)
+    lists = b.essential()
+    total = sum(b.peaks.values())
+    can = F.col("max_tf") * _by_term(b.weights) + F.lit(total) - _by_term(b.peaks) >= F.lit(b.floor)
+    useful = lookup(found.blocks, *lists).where(can).select("term", "block")
+    return _scored(found, b, lookup(found.postings, *lists).join(useful, ["term", "block"], "left_semi"), k)

@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_fallback: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, in the session or the application. A temporary one only where all runs on one machine, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _fallback:
+            _fallback.append("file://" + tempfile.mkdtemp(prefix="quarry-"))
+        found = _fallback[0]
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
 def shared_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table to the folder the cluster shares (spark.checkpoint.dir; a local one only where it is unset) and read it back."""
+    """Write a table to the folder the cluster shares and read it back: lineage ends there, and a lost executor costs one step."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/quarry-checkpoints"
-    path = f"{base}/{tag}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder. Results that weren't written elsewhere can't be read after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def total_before(df: DataFrame, order: list[str], value: str | None, out: str) -> DataFrame:
     """The sum of `value` (of ones if None) over all rows before each in the order.
 

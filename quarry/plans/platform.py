@@ -178,8 +178,8 @@ def verify_overlap(t: Tables) -> DataFrame:
 
 def best(t: Tables) -> DataFrame:
     claims = t.documents.select(F.col("lang").alias("query_id"), F.col("doc_id").alias("claim_id"), F.element_at(F.split("text", "\n"), 1).alias("claim"), F.array(F.col("doc_id"), F.col("doc_id") + 1).alias("chunks"))
-    every = t.documents.select("lang").distinct().select(F.col("lang").alias("query_id"))
-    return answer.best_verdicts(claims, t.documents.select(F.col("doc_id").alias("pos"), "text").join(F.broadcast(every)))  # four languages
+    wanted = claims.select("query_id", F.explode("chunks").alias("pos")).distinct()
+    return answer.best_verdicts(claims, wanted.join(t.documents.select(F.col("doc_id").alias("pos"), "text"), "pos"))
 
 
 @query("verify_best_passage", f"WITH {OVERLAP} SELECT lang AS query_id, doc_id AS claim_id, bool_or(entailed) AS entailed, round(max(score), 6) AS score FROM verdicts JOIN documents USING (doc_id) GROUP BY ALL")
@@ -287,12 +287,14 @@ def crowd_squash(t: Tables) -> DataFrame:
 
 
 P = crowd.keep_chance(1.0)
-FLIPPED = f"SELECT report, query, doc, {', '.join(f'''CASE WHEN ('0x' || substr(md5(report || '|{b}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < {P!r}::DOUBLE THEN {b} ELSE NOT {b} END AS {b}''' for b in crowd.BITS)} FROM ({REPORTS})"
+#: The events are invented; reports of real people take crowd.secret_of(spark).
+SECRET = "public"
+FLIPPED = f"SELECT report, query, doc, {', '.join(f'''CASE WHEN ('0x' || substr(sha256('{SECRET}|' || sha256('{SECRET}|' || report || '|{b}')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < {P!r}::DOUBLE THEN {b} ELSE NOT {b} END AS {b}''' for b in crowd.BITS)} FROM ({REPORTS})"
 
 
 @query("crowd_privatize", FLIPPED)
 def crowd_privatize(t: Tables) -> DataFrame:
-    return crowd.privatized(reports(t), 1.0).select("report", "query", "doc", *crowd.BITS)
+    return crowd.privatized(reports(t), 1.0, SECRET).select("report", "query", "doc", *crowd.BITS)
 
 
 TALLIES = f"SELECT query, doc, count(*) AS n, {', '.join(f'sum({b}::INT)::BIGINT AS {b}' for b in crowd.BITS)} FROM ({FLIPPED}) GROUP BY ALL"
@@ -300,12 +302,12 @@ TALLIES = f"SELECT query, doc, count(*) AS n, {', '.join(f'sum({b}::INT)::BIGINT
 
 @query("crowd_tally", TALLIES)
 def crowd_tally(t: Tables) -> DataFrame:
-    return crowd.tallied(crowd.privatized(reports(t), 1.0))
+    return crowd.tallied(crowd.privatized(reports(t), 1.0, SECRET))
 
 
 @query("crowd_debias", f"SELECT query, doc, n, {', '.join(f'round(greatest(0, ({b} - {1 - P!r}::DOUBLE * n) / {2 * P - 1!r}::DOUBLE), 6) AS {b}' for b in crowd.BITS)} FROM ({TALLIES})")
 def crowd_debias(t: Tables) -> DataFrame:
-    tallies = crowd.tallied(crowd.privatized(reports(t), 1.0))
+    tallies = crowd.tallied(crowd.privatized(reports(t), 1.0, SECRET))
     return crowd.debiased(tallies, 1.0).select("query", "doc", "n", *[F.round(b, 6).alias(b) for b in crowd.BITS])
 
 

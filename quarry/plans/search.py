@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import index, rank
-from quarry.operators.ordered import places, shared_table
+from quarry.operators.ordered import new_path, places
 from quarry.plans.registry import Tables, query
 
 TERMS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -16,22 +16,31 @@ BLOCKS = "blocks AS (SELECT term, (p // 128)::BIGINT AS block, min(doc_id) AS fi
 QUERY_TERMS = ("eren", "thing", "retion")
 VALUES = ", ".join(f"('{t}')" for t in QUERY_TERMS)
 TARGETS = ", ".join(f"('{t}', {d})" for t in ("eren", "the", "thing") for d in (0, 37, 150, 5000))
+TARGET_TERMS = ("eren", "the", "thing")
 DELETES = "deletes AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)"
 WEIGHTS = "('eren', 1.5), ('thing', 1.0), ('retion', 2.0), ('the', 0.25)"
 
 
+_sealed: dict[tuple, index.Sealed] = {}
+
+
+def sealed(t: Tables) -> index.Sealed:
+    """The documents' index, sealed in the shared folder once for an application and these files."""
+    docs = t.documents
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, tuple(sorted(docs.inputFiles())))
+    if key not in _sealed:
+        _sealed[key] = index.seal(docs, new_path(t.spark, "index"), ("source", "n_chars", "text"))
+    return _sealed[key]
+
+
 def posts(t: Tables) -> DataFrame:
-    return index.postings(t.documents)
+    return sealed(t).postings.select("doc_id", "term", "tf")
 
 
 def deletes(t: Tables) -> DataFrame:
     return t.labels.where("toxic = 1").select("doc_id").distinct()
 
 
-def terms(t: Tables) -> DataFrame:
-    return t.rows("term", VALUES)
-
-
 @query("index_postings", f"WITH {POSTINGS} SELECT doc_id % 4 AS segment, doc_id, term, tf FROM postings")
 def index_postings(t: Tables) -> DataFrame:
     return posts(t).select(F.pmod("doc_id", F.lit(4)).cast("long").alias("segment"), "doc_id", "term", "tf")
@@ -39,24 +48,23 @@ def index_postings(t: Tables) -> DataFrame:
 
 @query("term_dictionary", f"WITH {POSTINGS}, {DICTIONARY} SELECT * FROM terms")
 def term_dictionary(t: Tables) -> DataFrame:
-    return index.dictionary(posts(t))
+    return sealed(t).dictionary
 
 
 @query("term_lookup", f"WITH {POSTINGS}, {DICTIONARY} SELECT * FROM terms WHERE term IN ('eren', 'thing', 'absent')")
 def term_lookup(t: Tables) -> DataFrame:
-    return index.lookup(index.dictionary(posts(t)), "eren", "thing", "absent")
+    return index.lookup(sealed(t).dictionary, "eren", "thing", "absent")
 
 
 @query("term_prefix_scan", f"WITH {POSTINGS}, {DICTIONARY} SELECT term, df FROM terms WHERE term LIKE 'ere%' ORDER BY term")
 def term_prefix_scan(t: Tables) -> DataFrame:
-    return index.prefix_scan(index.dictionary(posts(t)), "ere").select("term", "df")
+    return index.prefix_scan(sealed(t).dictionary, "ere").select("term", "df")
 
 
 @query("term_postings", f"WITH {POSTINGS} SELECT term, doc_id, tf, count(*) OVER (PARTITION BY term) AS df FROM postings WHERE term IN ('eren', 'thing', 'retion')")
 def term_postings(t: Tables) -> DataFrame:
     wanted = index.lookup(posts(t), *QUERY_TERMS)
-    sealed = index.lookup(index.dictionary(posts(t)), *QUERY_TERMS).select("term", "df")
-    return wanted.join(sealed, "term").select("term", "doc_id", "tf", "df")
+    return wanted.join(index.lookup(sealed(t).dictionary, *QUERY_TERMS).select("term", "df"), "term").select("term", "doc_id", "tf", "df")
 
 
 @query("posting_iterate", f"WITH {POSTINGS} SELECT doc_id, tf FROM postings WHERE term = 'thing' ORDER BY doc_id")
@@ -93,24 +101,24 @@ def merge_policy_select(t: Tables) -> DataFrame:
 
 @query("posting_blocks", f"WITH {POSTINGS}, {BLOCKS} SELECT * FROM blocks")
 def posting_blocks(t: Tables) -> DataFrame:
-    return index.blocks(posts(t))
+    return sealed(t).blocks.drop("cf")
 
 
 @query("posting_list_stats", f"WITH {POSTINGS} SELECT term, count(*) AS n_docs, max(tf) AS max_freq FROM postings GROUP BY term")
 def posting_list_stats(t: Tables) -> DataFrame:
-    return posts(t).groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.max("tf").alias("max_freq"))
+    return sealed(t).dictionary.select("term", F.col("df").alias("n_docs"), F.col("max_tf").alias("max_freq"))
 
 
 @query("posting_next_geq", f"WITH {POSTINGS}, targets AS (SELECT * FROM (VALUES {TARGETS}) v(term, target)) SELECT t.term, t.target, min(p.doc_id) FILTER (WHERE p.doc_id >= t.target) AS doc_id FROM targets t LEFT JOIN postings p USING (term) GROUP BY ALL")
 def posting_next_geq(t: Tables) -> DataFrame:
-    return index.next_at_or_after(posts(t), t.rows("term, target", TARGETS))
+    return index.next_at_or_after(index.lookup(sealed(t).postings, *TARGET_TERMS), index.lookup(sealed(t).blocks, *TARGET_TERMS), t.rows("term, target", TARGETS))
 
 
 @query("block_max_lookup", f"""WITH {POSTINGS}, {BLOCKS}, targets AS (SELECT * FROM (VALUES {TARGETS}) v(term, target)), last AS (SELECT term, max(block) AS block FROM blocks GROUP BY term),
 hit AS (SELECT t.term, t.target, coalesce(min(b.block) FILTER (WHERE b.last_doc >= t.target), max(b.block)) AS block FROM targets t JOIN blocks b USING (term) GROUP BY ALL)
 SELECT h.term, h.target, h.block, b.last_doc, b.max_tf FROM hit h JOIN blocks b USING (term, block)""")
 def block_max_lookup(t: Tables) -> DataFrame:
-    return index.block_bounds(index.blocks(posts(t)), t.rows("term, target", TARGETS))
+    return index.block_bounds(index.lookup(sealed(t).blocks, *TARGET_TERMS), t.rows("term, target", TARGETS))
 
 
 WAND = f"WITH {POSTINGS}, q AS (SELECT * FROM (VALUES {WEIGHTS}) v(term, weight)) SELECT doc_id, sum(tf * weight::DOUBLE) AS score FROM postings JOIN q USING (term) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"
@@ -122,13 +130,12 @@ def weighted(t: Tables) -> DataFrame:
 
 @query("wand_topk", WAND)
 def wand_topk(t: Tables) -> DataFrame:
-    return index.top_documents(index.disjunction(posts(t), weighted(t)), 20)
+    return index.wand(sealed(t), weighted(t), 20)
 
 
 @query("block_max_topk", WAND)
 def block_max_topk(t: Tables) -> DataFrame:
-    mine = shared_table(posts(t).join(weighted(t).select("term").distinct(), "term", "left_semi"), "postings")  # the lists asked for, read several times
-    return index.block_max_disjunction(mine, index.blocks(mine), weighted(t), 20)
+    return index.block_max(sealed(t), weighted(t), 20)
 
 
 # --- BM25
@@ -140,11 +147,12 @@ eff AS (SELECT p.doc_id, p.term, p.tf / (0.25 + 0.75 * l.len / s.mean) AS eff FR
 
 
 def bm25_parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    docs = t.documents.select("doc_id", F.col("text").alias("body"))
-    pseudo = rank.pseudo_frequencies(rank.field_postings(docs, ["body"]), rank.field_lengths(docs, ["body"]))
+    found = sealed(t)
+    lists = index.lookup(found.postings, *QUERY_TERMS).select("doc_id", F.lit("body").alias("field"), "term", "tf")
+    pseudo = rank.pseudo_frequencies(lists, found.stored.select("doc_id", F.lit("body").alias("field"), F.col("length").alias("len")))
     wanted = t.rows("term", VALUES + ", ('thing')")
-    df = index.lookup(index.dictionary(posts(t)), *QUERY_TERMS).select("term", "df")
-    return pseudo.where(F.col("term").isin(*QUERY_TERMS)), wanted, df, docs.count()
+    df = index.lookup(sealed(t).dictionary, *QUERY_TERMS).select("term", "df")
+    return pseudo, wanted, df, found.stored.count()
 
 
 @query("bm25f_topk", BM25 + f", scored AS (SELECT doc_id, round(sum({IDF} * eff * 2.2 / (1.2 + eff)), 6) AS score FROM eff JOIN q USING (term) JOIN dfs USING (term), stats GROUP BY doc_id) SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 10")
@@ -162,27 +170,27 @@ def bm25f_term_score(t: Tables) -> DataFrame:
 
 @query("bm25_idf", f"WITH {POSTINGS}, dfs AS (SELECT term, count(*)::DOUBLE AS df FROM postings GROUP BY term), stats AS (SELECT count(*)::DOUBLE AS n FROM documents) SELECT term, round({IDF}, 6) AS idf FROM dfs, stats")
 def bm25_idf(t: Tables) -> DataFrame:
-    return index.dictionary(posts(t)).select("term", F.round(index.idf(t.documents.count(), F.col("df")), 6).alias("idf"))
+    return sealed(t).dictionary.select("term", F.round(index.idf(sealed(t).stored.count(), F.col("df")), 6).alias("idf"))
 
 
 @query("bm25_first_stage", f"WITH {POSTINGS}, dfs AS (SELECT term, count(*)::DOUBLE AS df FROM postings GROUP BY term), stats AS (SELECT count(*)::DOUBLE AS n FROM documents) SELECT doc_id, round(sum({IDF} * tf * 2.2 / (1.2 + tf)), 6) AS score FROM postings JOIN dfs USING (term), stats WHERE term IN ('eren', 'thing', 'retion') GROUP BY doc_id")
 def bm25_first_stage(t: Tables) -> DataFrame:
-    n = t.documents.count()
-    wanted = index.lookup(posts(t), *QUERY_TERMS).join(index.lookup(index.dictionary(posts(t)), *QUERY_TERMS).select("term", "df"), "term")
+    n = sealed(t).stored.count()
+    wanted = index.lookup(posts(t), *QUERY_TERMS).join(index.lookup(sealed(t).dictionary, *QUERY_TERMS).select("term", "df"), "term")
     part = index.saturated(index.idf(n, F.col("df")), F.col("tf").cast("double"))
     return wanted.groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def page_fields(t: Tables) -> DataFrame:
-    """Title, address and visible text of pages, and the words of the links that point to them (by host and path)."""
+def page_fields(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Title, address and visible text of pages; and a row for each link that points to one (by host and path), with its words."""
     html = F.col("html")
     body = F.regexp_replace(F.regexp_replace(html, "(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), "(?s)<[^>]*>", " ")
     pages = t.pages.select(F.col("page_id").alias("doc_id"), F.col("url"), F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1).alias("title"), body.alias("body"), "html")
     host, path = F.regexp_extract("url", "^https?://([^/?#]+)", 1), F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1)
     links = pages.select(host.alias("host"), F.explode(F.regexp_extract_all("html", F.lit('(?s)<a href="([^"]*)">([^<]*)</a>'), F.lit(0))).alias("a"))
     links = links.select("host", F.regexp_extract("a", 'href="([^"]*)"', 1).alias("path"), F.regexp_extract("a", ">([^<]*)<", 1).alias("anchor"))
-    links = links.groupBy("host", "path").agg(F.array_join(F.array_sort(F.collect_list("anchor")), " ").alias("anchor"))
-    return pages.withColumns({"host": host, "path": path}).join(links, ["host", "path"], "left").select("doc_id", "url", "title", "body", "anchor")
+    anchors = links.join(pages.select("doc_id", host.alias("host"), path.alias("path")), ["host", "path"]).select("doc_id", "anchor")
+    return pages.select("doc_id", "url", "title", "body"), anchors
 
 
 FIELD_SQL = f"""WITH raw AS (SELECT page_id AS doc_id, url, html, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path,
@@ -193,12 +201,14 @@ fields AS (SELECT doc_id, unnest([{{'field': 'url', 'text': url}}, {{'field': 't
 lengths AS (SELECT doc_id, field, len({TERMS.format("text")}) AS len FROM fields), means AS (SELECT field, avg(len) AS mean FROM lengths GROUP BY field),
 fp AS (SELECT doc_id, field, term, count(*) AS tf FROM (SELECT doc_id, field, unnest({TERMS.format("text")}) AS term FROM fields) GROUP BY ALL),
 eff AS (SELECT doc_id, term, sum(CASE field WHEN 'body' THEN 1.0 WHEN 'title' THEN 3.0 WHEN 'anchor' THEN 2.0 ELSE 1.5 END * tf / (0.25 + 0.75 * len / CASE WHEN mean > 0 THEN mean ELSE 1 END)) AS eff FROM fp JOIN lengths USING (doc_id, field) JOIN means USING (field) GROUP BY ALL)"""
-FIELDS = ["url", "title", "body", "anchor"]
+FIELDS = ["url", "title", "body"]
 
 
 def page_pseudo(t: Tables) -> DataFrame:
-    docs = page_fields(t)
-    return rank.pseudo_frequencies(rank.field_postings(docs, FIELDS), rank.field_lengths(docs, FIELDS))
+    docs, anchors = page_fields(t)
+    lists = rank.field_postings(docs, FIELDS).unionByName(rank.field_postings(anchors, ["anchor"]))
+    own = rank.field_lengths(anchors, ["anchor"]).unionByName(docs.select("doc_id", F.lit("anchor").alias("field"), F.lit(0).alias("len")))  # links' words add up
+    return rank.pseudo_frequencies(lists, rank.field_lengths(docs, FIELDS).unionByName(own.groupBy("doc_id", "field").agg(F.sum("len").cast("int").alias("len"))))
 
 
 @query("bm25f_pseudo_freq", FIELD_SQL + " SELECT doc_id, term, round(eff, 5) AS eff FROM eff")
@@ -296,11 +306,11 @@ def cascade_rerank(t: Tables) -> DataFrame:
 
 @query("search_total_matched", f"WITH {POSTINGS}, hits AS (SELECT doc_id, sum(tf) AS score FROM postings WHERE term IN ('eren', 'thing', 'retion') GROUP BY doc_id) SELECT doc_id, score::BIGINT AS score, count(*) OVER () AS total_matched FROM hits ORDER BY score DESC, doc_id LIMIT 10")
 def search_total_matched(t: Tables) -> DataFrame:
-    hits = posts(t).join(terms(t), "term").groupBy("doc_id").agg(F.sum("tf").alias("score"))
+    hits = index.lookup(posts(t), *QUERY_TERMS).groupBy("doc_id").agg(F.sum("tf").alias("score"))
     return index.top_documents(hits, 10).withColumn("total_matched", F.lit(hits.count()))
 
 
 @query("snippet_hydrate", f"WITH {POSTINGS}, hits AS (SELECT doc_id, sum(tf) AS score FROM postings WHERE term IN ('eren', 'thing', 'retion') GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10) SELECT doc_id, source AS title, substr(text, 1, 160) AS snippet FROM hits JOIN documents USING (doc_id)")
 def snippet_hydrate(t: Tables) -> DataFrame:
-    hits = index.top_documents(posts(t).join(terms(t), "term").groupBy("doc_id").agg(F.sum("tf").alias("score")), 10)
-    return t.documents.join(F.broadcast(hits), "doc_id").select("doc_id", F.col("source").alias("title"), F.substring("text", 1, 160).alias("snippet"))  # ten rows
+    hits = index.top_documents(index.lookup(posts(t), *QUERY_TERMS).groupBy("doc_id").agg(F.sum("tf").alias("score")), 10)
+    return sealed(t).stored.join(F.broadcast(hits), "doc_id").select("doc_id", F.col("source").alias("title"), F.substring("text", 1, 160).alias("snippet"))  # ten rows

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import hashing
 from quarry.functions.text import shingles
 from quarry.operators import crawl, dedup, index, storage
-from quarry.operators.ordered import shared_table, total_before
+from quarry.operators.ordered import places, shared_table, total_before
 from quarry.plans.registry import Tables, query
-from quarry.plans.search import POSTINGS, posts
+from quarry.plans.search import POSTINGS, posts, sealed
 from quarry.sources import formats
 
 # --- key-value: pages by address
@@ -140,9 +140,12 @@ def link_outlinks(t: Tables) -> DataFrame:
     return edges(t).where(F.col("src") == first).orderBy("dst").select("dst", "anchor")
 
 
-@query("link_inversion_anchors", f"WITH {LINKS} SELECT dst, string_agg(anchor, '|' ORDER BY src, anchor) AS anchors, count(*) AS n FROM edges GROUP BY dst")
+@query("link_inversion_anchors", f"WITH {LINKS} SELECT dst, p // 256 AS piece, string_agg(anchor, '|' ORDER BY src, anchor) AS anchors, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src, anchor) - 1 AS p FROM edges) GROUP BY dst, p // 256")
 def link_inversion_anchors(t: Tables) -> DataFrame:
-    return edges(t).groupBy("dst").agg(F.sort_array(F.collect_list(F.struct("src", "anchor"))).alias("x"), F.count(F.lit(1)).alias("n")).select("dst", F.array_join(F.transform("x", lambda e: e["anchor"]), "|").alias("anchors"), "n")
+    """Anchors by target, in pieces of 256 links, so that a target that everyone links to is no single row."""
+    placed = places(edges(t), "dst", ["src", "anchor"], "place").withColumn("piece", F.floor(F.col("place") / 256).cast("long"))
+    pieces = placed.groupBy("dst", "piece").agg(F.sort_array(F.collect_list(F.struct("src", "anchor"))).alias("x"), F.count(F.lit(1)).alias("n"))
+    return pieces.select("dst", "piece", F.array_join(F.transform("x", lambda e: e["anchor"]), "|").alias("anchors"), "n")
 
 
 @query("link_outdegree", f"WITH {LINKS}, nodes AS (SELECT src AS v FROM edges UNION SELECT dst FROM edges) SELECT v, count(src) AS degree FROM nodes LEFT JOIN edges ON v = src GROUP BY v")
@@ -194,8 +197,7 @@ def ciff_export_bytes(t: Tables) -> DataFrame:
 def ciff_gap_decode(t: Tables) -> DataFrame:
     """Gaps, and the documents that summing them gives back."""
     kept = formats.gaps(posts(t)).withColumnRenamed("doc_id", "place")
-    order = Window.partitionBy("term").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return kept.select("term", F.sum("gap").over(order).alias("doc_id"), "gap")
+    return index.summed_before(kept, ["term"], "place", F.col("gap"), "before").select("term", (F.col("before") + F.col("gap")).alias("doc_id"), "gap")
 
 
 @query("ciff_header_stats", f"WITH {POSTINGS} SELECT (SELECT count(DISTINCT term) FROM postings) AS lists, (SELECT count(*) FROM documents) AS docs, (SELECT sum(tf)::BIGINT FROM postings) AS total, (SELECT sum(tf) FROM postings)::DOUBLE / (SELECT count(*) FROM documents) AS mean")
@@ -204,10 +206,11 @@ def ciff_header_stats(t: Tables) -> DataFrame:
     return posts(t).select("term").distinct().agg(F.count(F.lit(1)).alias("lists")).join(docs)  # one row each
 
 
-@query("ciff_postings", f"WITH {POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, md5(string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id)) AS postings FROM postings GROUP BY term")
+@query("ciff_postings", f"WITH {POSTINGS} SELECT term, p // 128 AS block, count(*) AS n, sum(tf)::BIGINT AS cf, md5(string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id)) AS postings FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1 AS p FROM postings) GROUP BY term, p // 128")
 def ciff_postings(t: Tables) -> DataFrame:
-    rows = posts(t).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("x"))
-    return rows.select("term", "df", "cf", F.md5(F.array_join(F.transform("x", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",")).alias("postings"))
+    """Digests of the lists by blocks of 128, so that no row holds a whole list."""
+    rows = sealed(t).postings.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("cf"), F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("x"))
+    return rows.select("term", "block", "n", "cf", F.md5(F.array_join(F.transform("x", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",")).alias("postings"))
 
 
 @query("forward_dense_check", "SELECT doc_id % 4 AS segment, min(doc_id // 4) AS low, max(doc_id // 4) AS high, max(doc_id // 4) - min(doc_id // 4) + 1 = count(*) AS dense FROM documents GROUP BY 1")

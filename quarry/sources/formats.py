@@ -9,9 +9,10 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.index import SPAN
 from quarry.operators.ordered import shared_table
 
 MAGIC, VERSION = b"CIFF", 1
@@ -148,10 +149,13 @@ def export_parts(posts: DataFrame, docs: DataFrame, about: str) -> DataFrame:
 
 
 def gaps(posts: DataFrame) -> DataFrame:
-    """term, doc_id, gap: what the export stores for each posting."""
-    from pyspark.sql import Window
-
-    return posts.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(Window.partitionBy("term").orderBy("doc_id")), F.lit(0))).alias("gap"))
+    """term, doc_id, gap: what the export stores for each posting. Lists are worked off in spans of documents; the last of the span before is looked up."""
+    spans = posts.select("term", "doc_id", F.floor(F.col("doc_id") / F.lit(SPAN)).alias("_span"))
+    last = spans.groupBy("term", "_span").agg(F.max("doc_id").alias("_last"))
+    last = last.select("term", "_span", F.lag("_last").over(Window.partitionBy("term").orderBy("_span")).alias("_before"))
+    inside = F.lag("doc_id").over(Window.partitionBy("term", "_span").orderBy("doc_id"))
+    found = spans.withColumn("_inside", inside).join(last, ["term", "_span"])
+    return found.select("term", "doc_id", (F.col("doc_id") - F.coalesce("_inside", "_before", F.lit(0))).alias("gap"))
 
 
 # --- web archives

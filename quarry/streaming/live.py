@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import control, index
+from quarry.operators.ordered import new_path
 
 
 def folder(spark: SparkSession, tag: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/quarry-checkpoints"
-    return f"{base}/{tag}-{uuid.uuid4().hex}"
+    return new_path(spark, tag)
 
 
 def stream_of(spark: SparkSession, folder_: str, name: str) -> DataFrame:

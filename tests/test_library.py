@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import hashing
+
 from quarry.operators import answer, control, crawl, crowd, dedup, evaluation, graph, index, ordered, rank, serving, storage, telemetry, vectors
 from quarry.plans import platform  # noqa: F401
 from quarry.plans.registry import QUERIES
@@ -263,21 +264,41 @@ def test_bm25_invariants(spark):
 def test_next_posting_and_empty_query(spark):
     posts = spark.createDataFrame([("t", d, 1) for d in (1, 5, 9)], "term string, doc_id long, tf long")
     targets = spark.createDataFrame([("t", 5), ("t", 6), ("t", 10), ("u", 0)], "term string, target int")
-    assert {(r.term, r.target): r.doc_id for r in index.next_at_or_after(posts, targets).collect()} == {("t", 5): 5, ("t", 6): 9, ("t", 10): None, ("u", 0): None}
+    assert {(r.term, r.target): r.doc_id for r in index.next_at_or_after(posts.withColumn("block", F.floor(F.col("doc_id") / 6).cast("long")), index.blocks(posts, 2), targets).collect()} == {("t", 5): 5, ("t", 6): 9, ("t", 10): None, ("u", 0): None}
     none = spark.createDataFrame([], "term string, weight double")
     assert index.top_documents(index.disjunction(posts, none), 5).count() == 0
     assert index.top_documents(index.disjunction(posts, spark.createDataFrame([("t", 1.0)], "term string, weight double")), 0).count() == 0
 
 
-def test_block_max_equals_plain(spark):
+def test_sealed_index(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame([(10_000, None), (None, "lost")], "doc_id long, text string"), allowMissingColumns=True)
+    found = index.seal(docs, ordered.new_path(spark, "test-index"), ("source",))
+    posts = index.postings(docs.where("doc_id IS NOT NULL"))
+    assert found.postings.select("term", "doc_id", "tf").exceptAll(posts.select("term", "doc_id", "tf")).count() == 0 == posts.count() - found.postings.count()
+    assert {tuple(r) for r in found.dictionary.select("term", "df", "cf", "max_tf", "singleton").collect()} == {tuple(r) for r in index.dictionary(posts).collect()}
+    assert {tuple(r) for r in found.blocks.drop("cf").collect()} == {tuple(r) for r in index.blocks(posts).collect()}
+    stored = found.stored.orderBy("local").collect()
+    assert [r.local for r in stored] == list(range(docs.count() - 1)) and [r.doc_id for r in stored] == sorted(r.doc_id for r in stored)
+    assert stored[-1].length == stored[-1].norm == 0
+    plan = index.lookup(found.postings, "thing")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,thing)]" in plan
+
+
+def test_pruned_searches_equal_the_plain_one(spark):
     rng = random.Random(3)
-    for _ in range(4):
-        rows = [(t, d, rng.randint(1, 20)) for t in "abc" for d in sorted(rng.sample(range(2000), rng.randint(5, 400)))]
-        posts = spark.createDataFrame(rows, "term string, doc_id long, tf long")
-        terms = spark.createDataFrame([(t, rng.random()) for t in "abc"], "term string, weight double")
-        plain = [(r.doc_id, round(r.score, 9)) for r in index.top_documents(index.disjunction(posts, terms), 10).collect()]
-        pruned = [(r.doc_id, round(r.score, 9)) for r in index.block_max_disjunction(posts, index.blocks(posts), terms, 10).collect()]
-        assert plain == pruned
+    for k in range(4):
+        words = {d: [t for t, p in (("a", 0.9), ("b", 0.3), ("c", 0.02)) for _ in range(rng.randint(1, 9)) if rng.random() < p] for d in range(3000)}
+        docs = spark.createDataFrame([(d, " ".join(w)) for d, w in words.items()], "doc_id long, text string")
+        found = index.seal(docs, ordered.new_path(spark, "test-index"))
+        terms = spark.createDataFrame([("a", 0.1), ("b", rng.random()), ("c", 3.0), ("c", 0.5), ("absent", 1.0)][: 5 if k else 2], "term string, weight double")
+        plain = [(r.doc_id, round(r.score, 9)) for r in index.top_documents(index.disjunction(found.postings, terms), 10).collect()]
+        assert plain == [(r.doc_id, round(r.score, 9)) for r in index.wand(found, terms, 10).collect()]
+        assert plain == [(r.doc_id, round(r.score, 9)) for r in index.block_max(found, terms, 10).collect()]
+        if k:
+            assert "a" not in index.bounds(found, terms, 10).essential()
+    assert index.wand(found, terms, 0).count() == index.block_max(found, terms.where("term = 'absent'"), 5).count() == 0
+    with pytest.raises(ValueError):
+        index.bounds(found, spark.createDataFrame([("a", -1.0)], "term string, weight double"), 5)
 
 
 def test_vector_recall(spark, sf):
@@ -335,10 +356,16 @@ def test_grounding(spark):
 
 def test_crowd_bias_is_removed(spark):
     rows = spark.range(20_000).select(F.col("id").alias("report"), F.lit("q").alias("query"), F.lit(1).alias("doc"), (F.col("id") % 10 < 7).alias("good"), F.lit(False).alias("last_longest"), F.lit(True).alias("pogo"))
-    got = crowd.debiased(crowd.tallied(crowd.privatized(rows, 1.0)), 1.0).first()
+    got = crowd.debiased(crowd.tallied(crowd.privatized(rows, 1.0, "s")), 1.0).first()
     assert abs(got.good / 20_000 - 0.7) < 0.035 and abs(got.pogo / 20_000 - 1) < 0.05
     with pytest.raises(ValueError):
         crowd.debiased(crowd.tallied(rows), 0.0)
+    with pytest.raises(ValueError, match="secret"):
+        crowd.privatized(rows, 1.0, "")
+    with pytest.raises(ValueError, match="secret"):
+        crowd.secret_of(spark)
+    one, two = (crowd.privatized(rows, 1.0, s).where("good").select("report") for s in ("s", "t"))
+    assert one.exceptAll(two).count() > 1000
 
 
 def test_telemetry_edges(spark):
