@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_fallback: list[str] = []
-
+from quarry.operators.ordered import new_path, shared_table
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """Columns by exact name, renamed; whatever else the table holds, clashing names included, is left out.
@@ -23,26 +19,9 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*[F.col(f"_{places[source]}").alias(name) for name, source in wanted.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _fallback:
-            _fallback.append("file://" + tempfile.mkdtemp(prefix="quarry-"))
-        found = _fallback[0]
-    return f"{found.rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return shared_table(df, tag)
 
 
 def let(value: Column, body) -> Column:

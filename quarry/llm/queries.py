@@ -121,4 +121,18 @@ FROM rules r JOIN verdicts v ON r.source IS NOT DISTINCT FROM v.source
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op6_quality_rules": quality_sql()}
+#: All pairs under a label, and components as what is reachable. Right for any size, and quick for small tables.
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (SELECT vec_id AS n, vec_id AS c FROM embeddings UNION SELECT r.n, l.b FROM reach r JOIN links l ON r.c = l.a),
+least AS (SELECT n, min(c) AS component_id FROM reach GROUP BY n), counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT n AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, n = component_id AS kept FROM least LEFT JOIN counts ON n = a
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op6_quality_rules": quality_sql(), "op8_embedding_dedup": EMBEDDING_SQL}
