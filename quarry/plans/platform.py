@@ -316,7 +316,14 @@ def crowd_debias(t: Tables) -> DataFrame:
 NODES = [f"node-{i}" for i in range(7)]
 
 
-@query("jump_hash")
+#: Keys step on as unsigned 64-bit numbers until the next jump leaves the buckets.
+JUMP = """WITH RECURSIVE steps AS (SELECT doc_id AS key, doc_id::UHUGEINT AS h, (-1)::BIGINT AS b, 0::BIGINT AS j FROM documents
+UNION ALL SELECT key, h2 AS h, j AS b, floor((j + 1) * (2147483648.0::DOUBLE / ((h2 >> 33::UHUGEINT)::DOUBLE + 1)))::BIGINT AS j
+  FROM (SELECT key, j, (h * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS h2 FROM steps WHERE j < 100))
+SELECT key, max(b) AS bucket FROM steps WHERE b < 100 GROUP BY key"""
+
+
+@query("jump_hash", JUMP)
 def jump_hash(t: Tables) -> DataFrame:
     return control.jump_buckets(t.documents.select(F.col("doc_id").alias("key")), 100)
 
@@ -440,7 +447,7 @@ def red_quantile(t: Tables) -> DataFrame:
     return telemetry.quantile(telemetry.histogram(calls(t)), 0.95).withColumn("x", F.round("x", 6))
 
 
-@query("observe_metrics")
+@query("observe_metrics", "SELECT count(*) AS rows, max(value) AS slowest FROM events")
 def observe_metrics(t: Tables) -> DataFrame:
     """Counts gathered while a plan runs, without a pass of their own."""
     from pyspark.sql import Observation

@@ -174,7 +174,10 @@ def warc_record_types(t: Tables) -> DataFrame:
     return t.pages.select("page_id", formats.metadata_block(fields).alias("block"))
 
 
-@query("warc_block_digest")
+LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT + 1, 1)"
+
+
+@query("warc_block_digest", f"WITH d AS (SELECT page_id, sha1(html) AS h FROM pages), letters AS (SELECT page_id, i, {LETTER} AS c FROM d, range(32) r(i)) SELECT page_id, string_agg(c, '' ORDER BY i) AS digest FROM letters GROUP BY page_id")
 def warc_block_digest(t: Tables) -> DataFrame:
     def digest(batches):
         for batch in batches:
