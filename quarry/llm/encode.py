@@ -16,8 +16,8 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
-#: Entries of the memo of units, and of each generation of pre-tokens: about 100 MB each in a worker.
-MEMO = 500_000
+#: Entries of the memo of units, and of each generation of pre-tokens: about 50 MB each in a worker.
+MEMO = 250_000
 #: Punctuation that no contraction and no special token holds.
 TAIL = ".,;:!?#%&$*()[]{}+-=/@^~"
 _kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -175,7 +175,7 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str, counts: bool = False) -> Encoder:
-    """One for each vocabulary and use in a worker, so that its memo serves all of the worker's tasks."""
+    """The last that was asked for in a worker, so that its memo serves all of the worker's tasks of a step, and no two are held."""
     return Encoder(path, counts)

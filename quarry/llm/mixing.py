@@ -26,6 +26,9 @@ DOMAINS = ("clean", "junk", "toxic")
 #: Labelled documents to learn from at most, words in the vocabulary, and passes of the learner.
 MAX_TRAIN, WORDS, EPOCHS = 8_000, 4_096, 200
 SYMBOLS = "#*$%&|<>!"
+#: What parts words of the vocabulary, beside blanks.
+MARKS = ".,;:!?\"'#*$%&|<>()"
+BLANKED = str.maketrans(MARKS, " " * len(MARKS))
 DENSE = 6
 
 
@@ -64,12 +67,13 @@ class Classifier:
 
 
 def features(texts: list[str | None], vocabulary: dict[str, int]) -> tuple[np.ndarray, list[list[int]], np.ndarray]:
+    """Words of each text, the places in the vocabulary of those it has, and shares of its characters and words."""
     n, places, dense = np.zeros(len(texts)), [], np.zeros((len(texts), DENSE))
     for i, text in enumerate(texts):
         text = text or ""
         words = text.split()
-        kinds = {x.strip(".,;:!?\"'#*$%&|<>()").lower() for x in set(words)}
-        places.append([vocabulary[x] for x in kinds if x in vocabulary])
+        kinds = set(text.lower().translate(BLANKED).split())
+        places.append(list(map(vocabulary.__getitem__, filter(vocabulary.__contains__, kinds))))
         n[i], chars = len(words), max(len(text), 1)
         some = max(len(words), 1)
         dense[i] = (np.log1p(len(words)), sum(map(text.count, SYMBOLS)) / chars, sum(map(str.isupper, words)) / some, len(kinds) / some, chars / some, text.count("\n") / some)
@@ -85,7 +89,7 @@ def train(sample: DataFrame, words: int = WORDS, epochs: int = EPOCHS) -> Classi
     k = len(DOMAINS)
     totals = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = sum(totals.values())
-    kinds = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    kinds = F.array_distinct(F.split(F.translate(F.lower("text"), MARKS, " " * len(MARKS)), r"\s+"))
     each = sample.select("domain", F.explode(kinds).alias("word")).where("word <> ''")
     counts = each.groupBy("word").agg(*[F.sum((F.col("domain") == d).cast("long")).alias(f"n{d}") for d in range(k)], F.count(F.lit(1)).alias("n")).where("n >= 3")
     score = F.lit(0.0)

@@ -35,7 +35,7 @@ WORDS, SIMILARITY, FIND_SHINGLE, FIND_TAU = 5, 0.8, 2, 10
 #: Hashes of a text's sketch, and the Jaccard similarity of sketches (12 of 32 shared) that makes a candidate of a pair that met.
 SKETCH, SKETCHED = 32, 12 / 52
 #: Texts of a block that are compared, and the bytes of their shingles.
-TEXTS, TEXT_BYTES = 1024, 16 << 20
+TEXTS, TEXT_BYTES = 1024, 4 << 20
 #: Shingles are ordered by how many texts have them, counted in 2 ** LG_SLOTS slots of hashes, in PIECES pieces.
 LG_SLOTS, PIECES = 18, 64
 
@@ -187,8 +187,9 @@ def _within(table: pa.Table, group: np.ndarray | None, column: str, tau: int) ->
                 good = np.bitwise_count(x[a] ^ x[b]) <= tau
                 yield a[good], b[good]
             return
-        for at in range(0, len(x), 256):
-            a, b = np.nonzero(np.bitwise_count(x[at : at + 256, None] ^ x[None, at:]) <= tau)
+        wide = max(1, (1 << 20) // len(x))  # so that a million pairs at most are held
+        for at in range(0, len(x), wide):
+            a, b = np.nonzero(np.bitwise_count(x[at : at + wide, None] ^ x[None, at:]) <= tau)
             good = a < b
             yield a[good] + at, b[good] + at
 
@@ -280,18 +281,19 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, key: str = "doc_id", text:
 
 
 def copies_of(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, text_hash, fp (of FIND_SHINGLE-word shingles, each once), sketch (the SKETCH least hashes of shingles) and key, equal where the lower-cased words are."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
+    """doc_id, text_hash, fp (of FIND_SHINGLE-word shingles, each once), sketch (the SKETCH least hashes of shingles), short (their low 16 bits) and key, equal where the lower-cased words are."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary()), ("short", pa.binary())])
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in batches:
-            each = [_words(x.as_py()) for x in batch.column("text")]
+        for part in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            each = [_words(x.as_py()) for x in part.column("text")]
             fps = np.asarray([_majority(_tokens(w, min(FIND_SHINGLE, len(w)), hashes)) for w in each], dtype=np.uint64).view(np.int64)
-            sketches = [_tokens(w, words, hashes)[:SKETCH].tobytes() for w in each]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *[pa.array(x, type=f.type) for x, f in zip((fps, [_key(w) for w in each], sketches), list(schema)[2:], strict=True)]], schema=schema)
+            sketches = [_tokens(w, words, hashes)[:SKETCH] for w in each]
+            made = (fps, [_key(w) for w in each], [x.tobytes() for x in sketches], [x.astype("<u2").tobytes() for x in sketches])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *[pa.array(x, type=f.type) for x, f in zip(made, list(schema)[2:], strict=True)]], schema=schema)
 
-    return rows.mapInArrow(made, "doc_id long, text_hash long, fp long, key binary, sketch binary")
+    return rows.mapInArrow(read, "doc_id long, text_hash long, fp long, key binary, sketch binary, short binary")
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -311,7 +313,7 @@ class _Hashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         self[word] = made = xxhash.xxh64_intdigest(word, SEED)
         return made
@@ -422,35 +424,78 @@ def rare_tokens(rows: DataFrame, similarity: float, words: int) -> DataFrame:
     return materialize(found.select("token", "gid", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")), "rare-tokens")
 
 
-def token_partners(tokens: DataFrame, similarity: float) -> DataFrame:
-    """bucket (the token), gid: texts that share a token with one of another group and may have this similarity by their sizes and the token's places.
-
-    tokens has token, gid, n, pos and bucket (the text's group).
+def _overlaps(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many hashes each two of several sets share; the sets lie one after another, `sizes` long."""
+    n = len(sizes)
+    order = np.argsort(hashes)
+    hashes, row = hashes[order], np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+    del order
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    del hashes
+    shared = ~new  # the first of several equal ones counts too
+    shared[:-1] |= ~new[1:]
+    row, inverse = row[shared], np.cumsum(new[shared], dtype=np.int32) - 1
+    del new, shared
+    both = np.zeros((n, n), dtype=np.float32)
+    width, k, at = max(256, (4 << 20) // n), int(inverse[-1]) + 1 if len(inverse) else 0, 0
+    for first in range(0, k, width):
+        end = int(np.searchsorted(inverse, first + width))
+        has = np.zeros((n, min(width, k - first)), dtype=np.float32)
+        has[row[at:end], inverse[at:end] - first] = 1
+        both += has @ has.T
+        at = end
+    return both
+
+
+def token_links(tokens: DataFrame, similarity: float) -> DataFrame:
+    """a, b: texts of two groups that share a token and may be similar by their sizes, the token's places, and SKETCHED of their sketches.
+
+    tokens has token, gid, n, pos, bucket (the text's group) and sh, the low 16 bits of its sketch. A spanning forest
+    in each two blocks of a token's rows; never the pairs.
     """
     share = similarity / (1 + similarity)
 
     def compare(table: pa.Table, group: np.ndarray | None) -> dict | None:
-        bucket, side = table.column("bucket").to_numpy(), table.column("_side").to_numpy()
+        bucket, side, gid = table.column("bucket").to_numpy(), table.column("_side").to_numpy(), table.column("gid").to_numpy()
         if (bucket == bucket[0]).all():
             return None
-        n, pos = table.column("n").to_numpy(), table.column("pos").to_numpy()
-        rest, some = n - pos, np.zeros(len(n), dtype=bool)
-        for a, b in pairs_of(group) if group is not None else ():
+        n, pos, raw = table.column("n").to_numpy(), table.column("pos").to_numpy(), table.column("sh").to_pylist()
+        rest, sizes, values = n - pos, np.asarray([len(x) // 2 for x in raw]), np.frombuffer(b"".join(raw), dtype="<u2")
+
+        def may(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             good = (bucket[a] != bucket[b]) & ((side[a] == 2) | (side[a] != side[b])) & (np.minimum(rest[a], rest[b]) >= share * (n[a] + n[b]) - 1e-6)
-            good &= np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6
-            some[a[good]] = some[b[good]] = True
-        for at in range(0, len(n) if group is None else 0, 256):
-            a = slice(at, at + 256)
-            good = (bucket[a, None] != bucket[None]) & (np.minimum(rest[a, None], rest[None]) >= share * (n[a, None] + n[None]) - 1e-6)
-            good &= np.minimum(n[a, None], n[None]) >= similarity * np.maximum(n[a, None], n[None]) - 1e-6
-            if side[0] != 2:
-                good &= side[a, None] != side[None]
-            some[a] |= good.any(axis=1)
-            some |= good.any(axis=0)
-        return {"a": table.column("_k").to_numpy()[some], "b": table.column("gid").to_numpy()[some]} if some.any() else None
+            return good & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6)
 
-    found = meet(tokens, "token", compare, "a long, b long", block=BLOCK)
-    return found.select(F.col("a").alias("bucket"), F.col("b").alias("gid")).distinct()
+        lefts, rights = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        if group is not None:
+            each = np.full((len(n), SKETCH), -1, dtype=np.int32)
+            each[np.arange(SKETCH) < sizes[:, None]] = values
+            for a, b in pairs_of(group):
+                good = may(a, b)
+                a, b = a[good], b[good]
+                for k in range(0, len(a), 4096):
+                    x, y = a[k : k + 4096], b[k : k + 4096]
+                    same = ((each[x][:, :, None] == each[y][:, None, :]) & (each[x] >= 0)[:, :, None]).any(axis=2).sum(axis=1)
+                    near = same >= SKETCHED * (sizes[x] + sizes[y] - same) - 1e-6
+                    lefts.append(x[near])
+                    rights.append(y[near])
+        else:
+            every, both = np.arange(len(n)), _overlaps(values, sizes)
+            for at in range(0, len(n), 256):
+                some = both[at : at + 256]
+                good = np.triu(some >= SKETCHED * (sizes[at : at + 256, None] + sizes[None] - some) - 1e-6, at + 1)
+                a, b = np.nonzero(good & may(every[at : at + 256, None], every[None]))
+                lefts.append(a + at)
+                rights.append(b)
+        left, right = np.concatenate(lefts), np.concatenate(rights)
+        if not len(left):
+            return None
+        root = forest(left, right, len(gid))
+        keep = root != np.arange(len(gid))
+        return {"a": gid[keep], "b": gid[root[keep]]}
+
+    return meet(tokens, "token", compare, "a long, b long", block=TEXTS)
 
 
 def sketch_links(found: DataFrame, classes: DataFrame) -> DataFrame:
@@ -473,24 +518,8 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY, block: int |
         sizes = np.asarray([len(x) // 8 for x in raw])
         hashes = np.frombuffer(b"".join(raw), dtype="<u8")
         del raw
-        order = np.argsort(hashes)
-        hashes, row = hashes[order], np.repeat(np.arange(len(gid), dtype=np.int32), sizes)[order]
-        del order
-        new = np.ones(len(hashes), dtype=bool)
-        new[1:] = hashes[1:] != hashes[:-1]
+        both = _overlaps(hashes, sizes)
         del hashes
-        shared = ~new  # the first of several equal ones counts too
-        shared[:-1] |= ~new[1:]
-        row, inverse = row[shared], np.cumsum(new[shared], dtype=np.int32) - 1
-        del new, shared
-        both = np.zeros((len(gid), len(gid)), dtype=np.float32)
-        width, k, at = max(256, (4 << 20) // len(gid)), int(inverse[-1]) + 1 if len(inverse) else 0, 0
-        for first in range(0, k, width):
-            end = int(np.searchsorted(inverse, first + width))
-            has = np.zeros((len(gid), min(width, k - first)), dtype=np.float32)
-            has[row[at:end], inverse[at:end] - first] = 1
-            both += has @ has.T
-            at = end
         lefts, rights = [], []
         for at in range(0, len(gid), 256):
             some = both[at : at + 256]
@@ -526,15 +555,18 @@ def near_duplicate_texts(docs: DataFrame, tau: int = FIND_TAU, similarity: float
     rows = pick(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     found = materialize(copies_of(rows, words), "copies")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    classes = found.groupBy("fp", "key").agg(F.min(first).alias("first"), F.min("sketch").alias("sketch"))
+    classes = found.groupBy("fp", "key").agg(F.min(first).alias("first"), F.min("sketch").alias("sketch"), F.min("short").alias("short"))
     classes = materialize(classes.withColumn("gid", F.monotonically_increasing_id()), "copy-classes")
     near = materialize(sketch_links(partners(classes, tau), classes), "near-links")
     groups = components(near)
-    placed = classes.join(groups, classes["gid"] == groups["node"], "left").select("gid", "key", F.coalesce("component", "gid").alias("bucket"))
-    who = placed.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("_who"), F.col("gid").alias("_gid"), "bucket")
+    placed = classes.join(groups, classes["gid"] == groups["node"], "left").select("gid", "key", F.coalesce("component", "gid").alias("bucket"), "short")
+    who = placed.select(F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("_who"), F.col("gid").alias("_gid"), "bucket", F.col("short").alias("sh"))
     tokens = rare_tokens(rows, similarity, words)
-    tokens = materialize(tokens.join(who, tokens["gid"] == who["_who"]).select("token", F.col("_gid").alias("gid"), "n", "pos", "bucket"), "copy-tokens")
-    near = near.unionByName(materialize(sketch_links(token_partners(tokens, similarity), classes), "near-links"))
+    tokens = tokens.join(who.drop("sh"), tokens["gid"] == who["_who"]).select("token", F.col("_gid").alias("gid"), "n", "pos", "bucket")
+    tokens = materialize(tokens, "copy-tokens")
+    several = tokens.groupBy("token").agg(F.min("bucket").alias("_low"), F.max("bucket").alias("_high")).where("_low < _high").select("token")
+    tokens = tokens.join(several, "token", "left_semi").join(who.select(F.col("_gid").alias("gid"), "sh"), "gid")
+    near = near.unionByName(materialize(token_links(materialize(tokens, "mixed-tokens"), similarity), "near-links"))
     groups = components(near)
     placed = classes.join(groups, classes["gid"] == groups["node"])
     wanted = placed.select("gid", F.col("key").alias("want"), F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_th"), F.col("component").alias("bucket"))
