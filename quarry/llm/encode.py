@@ -16,8 +16,8 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
-#: Entries of the memo of units, and of each generation of pre-tokens: about 50 MB each in a worker.
-MEMO = 250_000
+#: Entries of the memo of units, and of each generation of pre-tokens: about 100 MB each in a worker.
+MEMO = 500_000
 #: Punctuation that no contraction and no special token holds.
 TAIL = ".,;:!?#%&$*()[]{}+-=/@^~"
 _kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
