@@ -106,3 +106,9 @@ def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
         root = root[root]
         if (root == before).all():
             return root
+
+
+def grown(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The roots (as forest gives them) with these links too. Links come in parts, so that a dense block's pairs are never held at once."""
+    new = root[left] != root[right]
+    return forest(root[left[new]], root[right[new]], len(root))[root] if new.any() else root

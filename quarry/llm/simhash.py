@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.buckets import forest, meet, pairs_of
+from quarry.llm.buckets import grown, meet, pairs_of
 from quarry.llm.common import materialize, pick
 from quarry.llm.components import components
 
@@ -36,6 +36,8 @@ WORDS, SIMILARITY, FIND_SHINGLE, FIND_TAU = 5, 0.8, 2, 10
 SKETCH, SKETCHED = 32, 12 / 52
 #: Texts of a block that are compared, and the bytes of their shingles.
 TEXTS, TEXT_BYTES = 1024, 4 << 20
+#: Rows of a block that are compared with all of it at a time.
+STRIP = 256
 #: Shingles are ordered by how many texts have them, counted in 2 ** LG_SLOTS slots of hashes, in PIECES pieces.
 LG_SLOTS, PIECES = 18, 64
 
@@ -207,10 +209,9 @@ def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
 
     def compare(table: pa.Table, group: np.ndarray | None) -> dict | None:
         fp = table.column("gid").to_numpy()
-        left, right = (np.concatenate(x) for x in zip(*_within(table, group, "gid", tau), strict=True))
-        if not len(left):
-            return None
-        root = forest(left, right, len(fp))
+        root = np.arange(len(fp))
+        for left, right in _within(table, group, "gid", tau):
+            root = grown(root, left, right)
         keep = (root != np.arange(len(fp))) & (fp[root] != fp)
         return {"a": fp[keep], "b": fp[root[keep]]} if keep.any() else None
 
@@ -425,7 +426,7 @@ def rare_tokens(rows: DataFrame, similarity: float, words: int) -> DataFrame:
 
 
 def _overlaps(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """How many hashes each two of several sets share; the sets lie one after another, `sizes` long."""
+    """How many hashes each two of several sets share; the sets lie one after another, `sizes` long. Filled for i before j, STRIP rows at a time."""
     n = len(sizes)
     order = np.argsort(hashes)
     hashes, row = hashes[order], np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
@@ -443,7 +444,8 @@ def _overlaps(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         end = int(np.searchsorted(inverse, first + width))
         has = np.zeros((n, min(width, k - first)), dtype=np.float32)
         has[row[at:end], inverse[at:end] - first] = 1
-        both += has @ has.T
+        for i in range(0, n, STRIP):
+            both[i : i + STRIP, i:] += has[i : i + STRIP] @ has[i:].T
         at = end
     return both
 
@@ -467,7 +469,7 @@ def token_links(tokens: DataFrame, similarity: float) -> DataFrame:
             good = (bucket[a] != bucket[b]) & ((side[a] == 2) | (side[a] != side[b])) & (np.minimum(rest[a], rest[b]) >= share * (n[a] + n[b]) - 1e-6)
             return good & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-6)
 
-        lefts, rights = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        root = np.arange(len(gid))
         if group is not None:
             each = np.full((len(n), SKETCH), -1, dtype=np.int32)
             each[np.arange(SKETCH) < sizes[:, None]] = values
@@ -478,22 +480,17 @@ def token_links(tokens: DataFrame, similarity: float) -> DataFrame:
                     x, y = a[k : k + 4096], b[k : k + 4096]
                     same = ((each[x][:, :, None] == each[y][:, None, :]) & (each[x] >= 0)[:, :, None]).any(axis=2).sum(axis=1)
                     near = same >= SKETCHED * (sizes[x] + sizes[y] - same) - 1e-6
-                    lefts.append(x[near])
-                    rights.append(y[near])
+                    root = grown(root, x[near], y[near])
         else:
             every, both = np.arange(len(n)), _overlaps(values, sizes)
-            for at in range(0, len(n), 256):
-                some = both[at : at + 256]
-                good = np.triu(some >= SKETCHED * (sizes[at : at + 256, None] + sizes[None] - some) - 1e-6, at + 1)
-                a, b = np.nonzero(good & may(every[at : at + 256, None], every[None]))
-                lefts.append(a + at)
-                rights.append(b)
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        if not len(left):
-            return None
-        root = forest(left, right, len(gid))
+            for at in range(0, len(n), STRIP):
+                some = both[at : at + STRIP]
+                good = np.triu(some >= SKETCHED * (sizes[at : at + STRIP, None] + sizes[None] - some) - 1e-6, at + 1)
+                good &= root[at : at + STRIP, None] != root[None]
+                a, b = np.nonzero(good & may(every[at : at + STRIP, None], every[None]))
+                root = grown(root, a + at, b)
         keep = root != np.arange(len(gid))
-        return {"a": gid[keep], "b": gid[root[keep]]}
+        return {"a": gid[keep], "b": gid[root[keep]]} if keep.any() else None
 
     return meet(tokens, "token", compare, "a long, b long", block=TEXTS)
 
@@ -520,21 +517,17 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY, block: int |
         del raw
         both = _overlaps(hashes, sizes)
         del hashes
-        lefts, rights = [], []
-        for at in range(0, len(gid), 256):
-            some = both[at : at + 256]
-            good = np.triu(some >= similarity * (sizes[at : at + 256, None] + sizes[None, :] - some) - 1e-6, at + 1)
+        root = np.arange(len(gid))
+        for at in range(0, len(gid), STRIP):
+            some = both[at : at + STRIP]
+            good = np.triu(some >= similarity * (sizes[at : at + STRIP, None] + sizes[None, :] - some) - 1e-6, at + 1)
+            good &= root[at : at + STRIP, None] != root[None, :]
             if side[0] != 2:
-                good &= side[at : at + 256, None] != side[None, :]
+                good &= side[at : at + STRIP, None] != side[None, :]
             left, right = np.nonzero(good)
-            lefts.append(left + at)
-            rights.append(right)
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        if not len(left):
-            return None
-        root = forest(left, right, len(gid))
+            root = grown(root, left + at, right)
         keep = root != np.arange(len(gid))
-        return {"a": gid[keep], "b": gid[root[keep]]}
+        return {"a": gid[keep], "b": gid[root[keep]]} if keep.any() else None
 
     return meet(texts.select("bucket", "gid", "sh", "n"), "bucket", compare, "a long, b long", block=block or TEXTS, weight="n", most=TEXT_BYTES // 8, small=0)
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import components as cc
-from quarry.llm import embed_dedup, encode, line_dedup, mixing, packing, pii, quality, queries, sharding, simhash, token_counts, token_files
+from quarry.llm import buckets, embed_dedup, encode, line_dedup, mixing, packing, pii, quality, queries, sharding, simhash, token_counts, token_files
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -534,6 +534,25 @@ def test_thresholds_meet_the_pigeonhole():
 # --- components
 
 
+def test_links_in_parts_give_the_same_forest():
+    draw = np.random.default_rng(5)
+    for n in (1, 2, 50, 600):
+        for m in (0, 1, n // 2, 4 * n):
+            left, right = draw.integers(0, n, m), draw.integers(0, n, m)
+            root = np.arange(n)
+            for k in range(0, m, 7):
+                root = buckets.grown(root, left[k : k + 7], right[k : k + 7])
+            assert (root == buckets.forest(left, right, n)).all()
+
+
+def test_overlaps_of_more_sets_than_a_strip():
+    draw = np.random.default_rng(6)
+    sets = [set(draw.choice(90, draw.integers(0, 40), replace=False).tolist()) for _ in range(simhash.STRIP + 70)]
+    both = simhash._overlaps(np.asarray([x for s in sets for x in sorted(s)], dtype="<u8"), np.asarray([len(s) for s in sets]))
+    for i, j in draw.integers(0, len(sets), (4000, 2)).tolist():
+        assert i > j or both[i, j] == len(sets[i] & sets[j])
+
+
 def test_components(spark):
     rng = random.Random(1)
     for n, m in ((1, 0), (50, 30), (300, 280), (200, 199)):
