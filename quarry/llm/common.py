@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +31,20 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def slots_in_order(df: DataFrame, group: str, order: list[str], out: str, tag: str) -> DataFrame:
+def slots_in_order(df: DataFrame, group: str, order: list[str], out: str, tag: str, written: Callable[[DataFrame], None] = lambda rows: None) -> DataFrame:
     """Gapless places from 0 within each group, by `order`, without putting a group into one task.
 
     Rows are dealt by range over the whole order, counted by (range, group), and numbered inside each pair;
     a group that holds a third of all rows is spread over every range. Rows equal in `order` are told apart by
     a row number taken when they are read, so even copies of one row split. Nulls sort first.
+    written() is given the rows once they are written, before they are dealt.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written first: finding the ranges reads the rows once more
-    dealt = materialize(df.withColumn("_row", F.monotonically_increasing_id()), f"{tag}-rows").repartitionByRange(n, *order, "_row")
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), f"{tag}-rows")
+    written(rows)
+    dealt = rows.repartitionByRange(n, *order, "_row")
     dealt = materialize(dealt.withColumn("_range", F.spark_partition_id()), tag)
     counts = dealt.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,6 +86,47 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(x for x, k in contents for _ in range(k)), n) for groups in rooms.values() for contents, n in groups]
 
 
+def best_fit_bins(have: list[int], lengths: list[int], capacity: int) -> int:
+    """How many bins best_fit() takes of have[x] items of each length x of lengths (descending), without their contents.
+
+    Bins with equal room are alike to it, so only their number by room is kept, and rooms that no item fits are dropped.
+    """
+    number, order, bins = [0] * (capacity + 1), [], 0  # bins by room; rooms in use, ascending
+    least = next((x for x in reversed(lengths) if have[x]), 0)
+
+    def put(room: int, n: int) -> None:
+        if room >= least:
+            if not number[room]:
+                order.insert(bisect_left(order, room), room)
+            number[room] += n
+
+    for length in lengths:
+        left = have[length]
+        while left:
+            k = bisect_left(order, length)
+            if k == len(order):
+                each = capacity // length
+                full, rest = divmod(left, each)
+                bins += full
+                if full:
+                    put(capacity - each * length, full)
+                if rest:
+                    bins += 1
+                    put(capacity - rest * length, 1)
+                break
+            room = order[k]
+            each = room // length
+            now = min(number[room], left // each)
+            used = each if now else left
+            now = now or 1
+            number[room] -= now
+            if not number[room]:
+                order.pop(k)
+            left -= used * now
+            put(room - used * length, now)
+    return bins
+
+
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """The L2 bound: for each size, large items need bins of their own and the others the room that is left."""
     lengths = sorted(counts)
@@ -238,10 +280,9 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
             seen.add(state)
         opened += 1
         made.append(found)
-        rest = best_fit({x: left[x] for x in lengths if left[x]}, capacity)
-        n = bins + sum(k for _, k in rest)
-        if n < most:
-            best, most = [*made, *rest], n
+        rest = best_fit_bins(left, lengths, capacity)
+        if bins + rest < most:
+            best, most = [*made, *best_fit({x: left[x] for x in lengths if left[x]}, capacity)], bins + rest
         if rest:
             stack.append(fillings())
         else:
@@ -303,12 +344,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int | None = NODES)
     pieces has doc_id, piece, start, length (1 to capacity), ids_crc32 and maybe more.
 
     Places within a length are dealt over many tasks, so a length that a third of the pieces share is no bottleneck.
-    An empty table gives an empty one. Rows that repeat a document are packed each.
+    An empty table gives an empty one. Rows that repeat a document are packed each. The search hangs on the counts alone,
+    so the driver searches while the executors find the places.
     """
-    placed = slots_in_order(pieces, "length", ["doc_id", "piece", "ids_crc32"], "_place", "pieces")
-    placed = materialize(placed, "pieces-placed")
-    counts = {r.length: r.n for r in placed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    plan = bin_completion(counts, capacity, nodes)
+    with ThreadPoolExecutor(1) as beside:
+        searched: list[Future[Plan]] = []
+
+        def search(rows: DataFrame) -> None:
+            counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+            searched.append(beside.submit(bin_completion, counts, capacity, nodes))
+
+        placed = slots_in_order(pieces, "length", ["doc_id", "piece", "ids_crc32"], "_place", "pieces", search)
+        placed = materialize(placed, "pieces-placed")
+        plan = searched[0].result()
     runs = {x: tuple(np.asarray(y, dtype=np.int64) for y in v) for x, v in dealt(plan.patterns).items()}
     names = pieces.columns
     spec = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"

@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 import re
+import threading
 import zlib
 from collections import Counter, defaultdict
 
@@ -362,6 +363,44 @@ def test_a_spent_budget_is_told():
     assert used == counts
 
 
+def test_bins_without_contents_equal_best_fit(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(500):
+        capacity = rng.choice([7, 30, 100, 1000])
+        counts = {rng.randint(1, capacity): rng.choice([1, 2, 5, 40, 1000]) for _ in range(rng.randint(1, 60))}
+        have = [counts.get(x, 0) for x in range(capacity + 1)]
+        assert packing.best_fit_bins(have, sorted(counts, reverse=True), capacity) == sum(n for _, n in packing.best_fit(counts, capacity))
+    made = []
+    monkeypatch.setattr(packing, "best_fit", lambda *a, made_by=packing.best_fit: made.append(made_by(*a)) or made[-1])
+    rng = random.Random(1)
+    plan = packing.bin_completion(dict(Counter(rng.randint(200, 700) for _ in range(400))), 1000, 50)
+    assert not plan.proven
+    bins = [sum(n for _, n in x) for x in made]
+    assert len(bins) <= 1 + bins[0] - plan.bins  # contents are made for the first packing and for better ones, not at each node
+
+
+def test_the_search_runs_beside_the_places(spark, monkeypatch):
+    began, placed, waited = threading.Event(), threading.Event(), []
+    write, search = packing.materialize, packing.bin_completion
+
+    def written(df, tag):
+        waited.append(began.wait(20))  # the search begins before the places are found
+        out = write(df, tag)
+        placed.set()
+        return out
+
+    def slow(*a):
+        began.set()
+        waited.append(placed.wait(60))  # and may end after
+        return search(*a)
+
+    monkeypatch.setattr(packing, "materialize", written)
+    monkeypatch.setattr(packing, "bin_completion", slow)
+    pieces = spark.createDataFrame([(i, 0, 0, 1 + i % 7, i) for i in range(50)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed = packing.pack(pieces, capacity=10)
+    assert waited == [True, True] and packed.count() == 50
+
+
 # --- 10: simhash
 
 
