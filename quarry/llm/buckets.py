@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.encode import forget
+
 #: Rows of a block. A bucket of more rows is cut into blocks, and every two blocks meet in a group of their own.
 BLOCK = 2048
 #: Groups of so many rows at most are compared many at a time.
@@ -43,6 +45,7 @@ def meet(rows: DataFrame, key: str, compare: Callable[[pa.Table, np.ndarray | No
 
 
 def _groups(batches: Iterator[pa.RecordBatch], compare: Callable, schema: str, small: int) -> Iterator[pa.RecordBatch]:
+    forget()
     held: pa.Table | None = None
     target = SCHEMAS[schema]
 

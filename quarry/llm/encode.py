@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+import weakref
 from array import array
 from functools import lru_cache
 
@@ -69,14 +70,18 @@ def rule(path: str) -> str | None:
 
 
 class Units(dict):
-    """unit -> value, made when it is first asked for."""
+    """unit -> value, made when it is first asked for.
 
-    def __init__(self, make):
+    The encoder that makes it is held weakly: in a cycle, its memos would stay until Python looks for cycles, long after
+    the next encoder has filled its own.
+    """
+
+    def __init__(self, encoder: Encoder):
         super().__init__()
-        self.make = make
+        self.encoder = weakref.proxy(encoder)
 
     def __missing__(self, unit: str):
-        value = self[unit] = self.make(unit)
+        value = self[unit] = self.encoder._unit(unit)
         return value
 
 
@@ -90,7 +95,7 @@ class Encoder:
     def __init__(self, path: str, counts: bool = False):
         self.tokenizer, self.rule, self.counts = load(path), rule(path), counts
         self.keeps_blanks = self.rule == "bytes"
-        self.model, self.units, self.heads, self.old = getattr(self.tokenizer, "model", None), Units(self._unit), {}, {}
+        self.model, self.units, self.heads, self.old = getattr(self.tokenizer, "model", None), Units(self), {}, {}
         self.feed = self._whole(["\n"])[0] if self.keeps_blanks else None
 
     def _value(self, ids):
@@ -179,3 +184,8 @@ class Encoder:
 def encoder(path: str, counts: bool = False) -> Encoder:
     """The last that was asked for in a worker, so that its memo serves all of the worker's tasks of a step, and no two are held."""
     return Encoder(path, counts)
+
+
+def forget() -> None:
+    """Give up the worker's encoder. A worker outlives its steps, so those that don't encode call this before they fill its memory."""
+    encoder.cache_clear()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, pick
-from quarry.llm.encode import encoder
+from quarry.llm.encode import encoder, forget
 
 DOMAINS = ("clean", "junk", "toxic")
 #: Labelled documents to learn from at most, words in the vocabulary, and passes of the learner.
@@ -186,6 +186,7 @@ def fit_rates(members: DataFrame, shares: dict[str, float], budget: float | str
 
     def sums(history: list, gram: bool) -> np.ndarray:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             total = np.zeros(k * k if gram else k)
             for batch in batches:
                 p, t = _matrix(batch), batch.column("n_tokens").to_numpy().astype(float)
@@ -236,6 +237,7 @@ def rated(members: DataFrame, fit: Fit) -> DataFrame:
     fields = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_tokens", pa.int64()), *[(f"p_{d}", pa.float64()) for d in DOMAINS], ("rate", pa.float64())]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             p = _matrix(batch)
             yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in ("doc_id", "text_hash", "n_tokens")], *[pa.array(np.ascontiguousarray(p[:, i])) for i in range(p.shape[1])], pa.array(replay(p, history, most))], schema=pa.schema(fields))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, pick, slots_in_order
-from quarry.llm.encode import encoder
+from quarry.llm.encode import encoder, forget
 
 CAPACITY, NODES = 4096, 1_000
 Pattern = tuple[tuple[int, ...], int]  # lengths in descending order; how many sequences are so
@@ -362,6 +362,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int | None = NODES)
     spec = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sequence, offset = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
             length, place = batch.column("length").to_numpy(), batch.column("_place").to_numpy()

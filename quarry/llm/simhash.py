@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quarry.llm.buckets import grown, meet, pairs_of
 from quarry.llm.common import materialize, pick
 from quarry.llm.components import components
+from quarry.llm.encode import forget
 
 TAU, SHINGLE, SEED = 2, 3, 42
 #: Comparisons of fingerprints that cost as much as sending one probe to its bucket; rows of a block of fingerprints.
@@ -286,6 +287,7 @@ def copies_of(rows: DataFrame, words: int = WORDS) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary()), ("short", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes = _Hashes()
         for part in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             each = [_words(x.as_py()) for x in part.column("text")]
@@ -341,6 +343,7 @@ def slot_counts(rows: DataFrame, words: int) -> np.ndarray:
     schema = pa.schema([("piece", pa.int32()), ("n", pa.binary())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes, total = _Hashes(), np.zeros(1 << LG_SLOTS, dtype=np.int64)
         for batch in batches:
             for x in batch.column("text"):
@@ -375,6 +378,7 @@ def rare_tokens(rows: DataFrame, similarity: float, words: int) -> DataFrame:
     schema = pa.schema([("token", pa.int64()), ("gid", pa.int64()), ("at", pa.int64())])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes = _Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

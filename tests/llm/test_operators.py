@@ -1,10 +1,12 @@
 """Each operator against a brute-force version, on the supplied tables and on a table of odd rows."""
 
 import datetime
+import gc
 import hashlib
 import random
 import re
 import threading
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -56,6 +58,32 @@ def test_encoder_memo_generations(monkeypatch):
     assert encode.Encoder(path, counts=True)(texts) == want
 
 
+def test_encoder_is_freed_at_once():
+    """By the next one, and by the steps that don't encode; without a search for cycles, which comes too late in a worker."""
+    path = queries.vocabulary("word_bpe_49k.json")
+
+    class Rows:
+        def mapInArrow(self, step, schema):  # noqa: N802
+            return list(step(iter(())))
+
+    def filled(counts):
+        made = encode.encoder(path, counts)
+        assert made(["some words, and others"])
+        return weakref.ref(made)
+
+    gc.disable()
+    try:
+        first, second = filled(False), filled(True)
+        assert first() is None and second() is not None
+        simhash.copies_of(Rows())
+        assert second() is None
+        third = filled(True)
+        assert list(buckets._groups(iter(()), lambda table, group: None, "a long, b long", buckets.SMALL)) == []
+        assert third() is None
+    finally:
+        gc.enable()
+
+
 # --- 2: shards
 
 
