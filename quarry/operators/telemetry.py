@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.hashing import mix64
+from quarry.operators.ordered import shared_table
 
 BOUNDS = (2.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0)
 OTHER, MOST = "_OTHER", 512
@@ -54,6 +57,19 @@ def quantile(hist: DataFrame, q: float) -> DataFrame:
     return hit.select("method", F.when(F.col("bucket") >= len(BOUNDS), F.lit(BOUNDS[-1])).otherwise(inside).alias("x"))
 
 
+def depths(spans: DataFrame) -> DataFrame:
+    """span, depth of (span, parent): 0 for roots, whose parent is null. Spans join to the level above them until a level is empty.
+
+    A level is a table in the shared folder, so there is no limit on rows or levels, as there is on recursive SQL.
+    Spans that no root leads to have no depth.
+    """
+    level, out = shared_table(spans.where("parent IS NULL").select("span"), "spans"), []
+    while not level.isEmpty():
+        out.append(level.withColumn("depth", F.lit(len(out))))
+        level = shared_table(spans.join(level.withColumnRenamed("span", "parent"), "parent").select("span"), "spans")
+    return reduce(DataFrame.unionByName, out, level.withColumn("depth", F.lit(0)))
+
+
 def tail_kept(spans: DataFrame, slow: float) -> DataFrame:
     """Spans that are sampled, failed, or slow if slow is above 0."""
     return spans.where(F.col("sampled") | F.col("failed") | ((F.col("ms") >= slow) & F.lit(slow > 0)))

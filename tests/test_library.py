@@ -376,6 +376,29 @@ def test_telemetry_edges(spark):
     assert {r.sampled for r in telemetry.ratio_sampled(spark.range(5).select(F.col("id").alias("trace_id")), 1.0).collect()} == {True}
 
 
+def test_depths_of_spans_have_no_limit_of_rows(spark):
+    """Recursive SQL stops at a million rows (here at six); a chain, a star, a loop that no root leads to and a lost parent."""
+    rows = [(0, None), *[(i, i - 1) for i in range(1, 12)], (20, None), *[(i, 20) for i in range(21, 29)], (40, 41), (41, 40), (50, 49)]
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "6")
+    try:
+        got = sorted((r.span, r.depth) for r in telemetry.depths(spark.createDataFrame(rows, "span long, parent long")).collect())
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert got == [*[(i, i) for i in range(12)], (20, 0), *[(i, 1) for i in range(21, 29)]]
+    assert telemetry.depths(spark.createDataFrame([(1, 1)], "span long, parent long")).count() == 0
+
+
+def test_trace_tree_over_few_rows_a_level(spark, tmp_path):
+    """Before, the query itself failed where a recursion may return fewer rows than there are events."""
+    spark.range(100).select(F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        got = {r.span: r.depth for r in QUERIES["trace_tree"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert got == {i: (0, 1, 1, 2, 2, 2, 2, 3)[i % 8] for i in range(100)}
+
+
 def test_placement_goes_on_after_a_restart(spark, tmp_path):
     """Membership that comes in three files, a batch each, with the stream stopped in between."""
     shards = spark.createDataFrame([(i,) for i in range(12)], "shard long")
