@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import hashing
+from quarry.functions.numbers import sql_round
 from quarry.functions.text import ascii_terms
 from quarry.operators import evaluation, graph, vectors
 from quarry.operators.ordered import shared_table
@@ -30,33 +31,33 @@ L2 = "list_sum(list_transform(list_zip(a, b), lambda p: (p[1] - p[2]) * (p[1] -
 
 @query("vec_l2", f"WITH {NEXT} SELECT vec_id, round({L2}, 6) AS d FROM pairs")
 def vec_l2(t: Tables) -> DataFrame:
-    return pairs(t).select("vec_id", F.round(vectors.l2(F.col("a"), F.col("b")), 6).alias("d"))
+    return pairs(t).select("vec_id", sql_round(vectors.l2(F.col("a"), F.col("b")), 6).alias("d"))
 
 
 @query("vec_inner_product", f"WITH {NEXT} SELECT vec_id, round(list_dot_product(a, b), 6) AS d FROM pairs")
 def vec_inner_product(t: Tables) -> DataFrame:
-    return pairs(t).select("vec_id", F.round(vectors.dot(F.col("a"), F.col("b")), 6).alias("d"))
+    return pairs(t).select("vec_id", sql_round(vectors.dot(F.col("a"), F.col("b")), 6).alias("d"))
 
 
 @query("vec_cosine", f"WITH {NEXT} SELECT vec_id, round(list_cosine_similarity(a, b), 6) AS d FROM pairs")
 def vec_cosine(t: Tables) -> DataFrame:
-    return pairs(t).select("vec_id", F.round(vectors.cosine(F.col("a"), F.col("b")), 6).alias("d"))
+    return pairs(t).select("vec_id", sql_round(vectors.cosine(F.col("a"), F.col("b")), 6).alias("d"))
 
 
 @query("vec_distance", f"WITH {NEXT} SELECT vec_id, round({L2}, 6) AS l2, round(-list_dot_product(a, b), 6) AS inner_product, round(-list_cosine_similarity(a, b), 6) AS cosine FROM pairs")
 def vec_distance(t: Tables) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    return pairs(t).select("vec_id", *[F.round(vectors.distance(m, a, b), 6).alias(n) for m, n in (("l2", "l2"), ("inner", "inner_product"), ("cosine", "cosine"))])
+    return pairs(t).select("vec_id", *[sql_round(vectors.distance(m, a, b), 6).alias(n) for m, n in (("l2", "l2"), ("inner", "inner_product"), ("cosine", "cosine"))])
 
 
 @query("embed_cosine", f"WITH {NEXT} SELECT vec_id, round(list_dot_product(a, b), 6) AS cosine FROM pairs")
 def embed_cosine(t: Tables) -> DataFrame:
-    return pairs(t).select("vec_id", F.round(vectors.embed_cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+    return pairs(t).select("vec_id", sql_round(vectors.embed_cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
 
 
 @query("vec_normalize", "SELECT vec_id, i - 1 AS dim, round((embedding::DOUBLE[])[i] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS x FROM embeddings, range(1, 65) r(i)")
 def vec_normalize(t: Tables) -> DataFrame:
-    return t.embeddings.select("vec_id", F.posexplode(vectors.normalize(F.col("embedding"))).alias("dim", "x")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
+    return t.embeddings.select("vec_id", F.posexplode(vectors.normalize(F.col("embedding"))).alias("dim", "x")).select("vec_id", F.col("dim").cast("long").alias("dim"), sql_round("x", 6).alias("x"))
 
 
 def asked(t: Tables) -> DataFrame:
@@ -68,7 +69,7 @@ def asked(t: Tables) -> DataFrame:
 row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_zip(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), v.vec_id) AS rank
 FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10""")
 def knn_exact(t: Tables) -> DataFrame:
-    return vectors.nearest(t.embeddings, asked(t), 10).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+    return vectors.nearest(t.embeddings, asked(t), 10).select("query_id", "vec_id", sql_round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 def vector_graph(t: Tables) -> DataFrame:
@@ -96,7 +97,7 @@ CODES = "codes AS (SELECT vec_id, dim, low, scale, (embedding::DOUBLE[])[dim + 1
 
 @query("sq_train", f"WITH {RANGES} SELECT dim, round(low, 8) AS low, round(scale, 10) AS scale FROM ranges")
 def sq_train(t: Tables) -> DataFrame:
-    return vectors.scalar_ranges(t.embeddings).select(F.col("dim").cast("long").alias("dim"), F.round("low", 8).alias("low"), F.round("scale", 10).alias("scale"))
+    return vectors.scalar_ranges(t.embeddings).select(F.col("dim").cast("long").alias("dim"), sql_round("low", 8).alias("low"), sql_round("scale", 10).alias("scale"))
 
 
 def coded(t: Tables) -> tuple[DataFrame, list[float], list[float]]:
@@ -112,7 +113,7 @@ def sq_encode(t: Tables) -> DataFrame:
 @query("sq_distance", f"WITH {RANGES}, {CODES} SELECT vec_id, round(sum((x - (low + (code + 127) * scale)) * (x - (low + (code + 127) * scale))), 8) AS distortion FROM codes GROUP BY vec_id")
 def sq_distance(t: Tables) -> DataFrame:
     rows, low, scale = coded(t)
-    return rows.select("vec_id", F.round(vectors.l2(F.col("embedding"), vectors.scalar_decoded(F.col("codes"), low, scale)), 8).alias("distortion"))
+    return rows.select("vec_id", sql_round(vectors.l2(F.col("embedding"), vectors.scalar_decoded(F.col("codes"), low, scale)), 8).alias("distortion"))
 
 
 MEANS = "means AS (SELECT i, avg((embedding::DOUBLE[])[i]) AS m FROM embeddings, range(1, 65) r(i) GROUP BY i), bits AS (SELECT vec_id, label, embedding, string_agg(CASE WHEN (embedding::DOUBLE[])[i] > m THEN '1' ELSE '0' END, '' ORDER BY i DESC) AS bits FROM embeddings, means GROUP BY ALL)"
@@ -136,7 +137,7 @@ def bq_hamming_rescore(t: Tables) -> DataFrame:
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     exact = near.join(v.select("vec_id", "embedding"), "vec_id").join(q.select("query_id", "q"), "query_id").select("query_id", "vec_id", vectors.l2(F.col("q"), F.col("embedding")).alias("distance"))
     best = exact.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where("n <= 10")
-    return best.select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+    return best.select("query_id", "vec_id", sql_round("distance", 6).alias("distance"))
 
 
 @query("pq_train_distortion")
@@ -156,7 +157,7 @@ def fixed_book(t: Tables):
 @query("pq_encode", f"WITH {FIXED} SELECT vec_id, string_agg(c::VARCHAR, ',' ORDER BY p) AS codes, round(sum(d), 6) AS distortion FROM codes GROUP BY vec_id")
 def pq_encode(t: Tables) -> DataFrame:
     rows = vectors.product_encoded(t.embeddings, fixed_book(t))
-    return rows.select("vec_id", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"), F.round("distortion", 6).alias("distortion"))
+    return rows.select("vec_id", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"), sql_round("distortion", 6).alias("distortion"))
 
 
 @query("pq_adc_topk", f"""WITH {FIXED}, q AS (SELECT vec_id AS query_id, p, part FROM parts WHERE vec_id % 20 = 0), adc AS (SELECT q.query_id, k.vec_id, round(sum(list_sum(list_transform(list_zip(q.part, k.centroid), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS distance FROM q JOIN codes k USING (p) GROUP BY ALL)
@@ -164,7 +165,7 @@ SELECT query_id, vec_id, distance FROM adc QUALIFY row_number() OVER (PARTITION
 def pq_adc_topk(t: Tables) -> DataFrame:
     book = fixed_book(t)
     codes = vectors.product_encoded(t.embeddings, book)
-    top = vectors.asymmetric_top(codes, asked(t), book, 40).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+    top = vectors.asymmetric_top(codes, asked(t), book, 40).select("query_id", "vec_id", sql_round("distance", 6).alias("distance"))
     return top.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where("n <= 10").drop("n")
 
 
@@ -189,7 +190,7 @@ def hash_embed(t: Tables) -> DataFrame:
     signed = F.when(F.col("h") < 0, F.col("n")).otherwise(-F.col("n"))
     parts = toks.join(hashed, "term").groupBy("doc_id", F.col("h").bitwiseAND(F.lit(DIM - 1)).alias("dim")).agg(F.sum(signed).cast("double").alias("x")).where("x <> 0")
     norm = parts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return parts.join(norm, "doc_id").select("doc_id", "dim", F.round(F.col("x") / F.col("norm"), 6).alias("x"))
+    return parts.join(norm, "doc_id").select("doc_id", "dim", sql_round(F.col("x") / F.col("norm"), 6).alias("x"))
 
 
 # --- the link graph: nations by trade (dense), and suppliers to parts (dangling)
@@ -247,7 +248,7 @@ def seeds(t: Tables) -> DataFrame:
 
 
 def rounded(found: tuple[DataFrame, int, bool]) -> DataFrame:
-    return found[0].select("v", F.round("rank", 9).alias("rank"))
+    return found[0].select("v", sql_round("rank", 9).alias("rank"))
 
 
 @query("pagerank_fixed20", ranked_sql(SUPPLY, "1.0::DOUBLE / (SELECT count(*) FROM vertices)"))
@@ -263,7 +264,7 @@ SETTLED = ", moved AS (" + " UNION ALL ".join(f"SELECT {i} AS i, sum(abs(a.rank
 @query("pagerank_converged", ranked_sql(NATIONS, "1.0::DOUBLE / (SELECT count(*) FROM vertices)", ROUNDS, SETTLED))
 def pagerank_converged(t: Tables) -> DataFrame:
     ranks, rounds, converged = graph.power_iteration(*trade(t))
-    return ranks.select("v", F.round("rank", 9).alias("rank"), F.lit(rounds).alias("rounds"), F.lit(converged).alias("converged"))
+    return ranks.select("v", sql_round("rank", 9).alias("rank"), F.lit(rounds).alias("rounds"), F.lit(converged).alias("converged"))
 
 
 @query("trustrank_fixed20", ranked_sql(NATIONS, SEED_SQL))
@@ -301,7 +302,7 @@ def metrics(t: Tables) -> DataFrame:
 def _metric(name: str, column: str) -> None:
     @query(name, f"{METRICS} SELECT query_id, round({column}, 6) AS {column} FROM metrics")
     def metric(t: Tables) -> DataFrame:
-        return metrics(t).select("query_id", F.round(column, 6).alias(column))
+        return metrics(t).select("query_id", sql_round(column, 6).alias(column))
 
 
 for _name, _column in (("eval_dcg", "dcg"), ("eval_ndcg", "ndcg"), ("eval_mrr", "mrr"), ("eval_recall", "recall"), ("eval_context_precision", "context_precision")):
@@ -310,14 +311,14 @@ for _name, _column in (("eval_dcg", "dcg"), ("eval_ndcg", "ndcg"), ("eval_mrr",
 
 @query("eval_map", f"{METRICS} SELECT round(avg(ap), 6) AS map FROM metrics")
 def eval_map(t: Tables) -> DataFrame:
-    return metrics(t).agg(F.round(F.coalesce(F.avg("ap"), F.lit(0.0)), 6).alias("map"))
+    return metrics(t).agg(sql_round(F.coalesce(F.avg("ap"), F.lit(0.0)), 6).alias("map"))
 
 
 REPORT = "round(coalesce(avg(ndcg), 0), 6) AS ndcg, round(coalesce(avg(mrr), 0), 6) AS mrr, round(coalesce(avg(recall), 0), 6) AS recall"
 
 
 def report(t: Tables) -> DataFrame:
-    return metrics(t).agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in ("ndcg", "mrr", "recall")])
+    return metrics(t).agg(*[sql_round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in ("ndcg", "mrr", "recall")])
 
 
 @query("harness_relevance", f"{METRICS} SELECT {REPORT} FROM metrics")
@@ -345,24 +346,24 @@ SHARES = ("faithfulness", "citation_recall", "citation_precision", "context_reca
 
 @query("eval_answer_fractions", f"SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in SHARES)} FROM ({ANSWERS})")
 def eval_answer_fractions(t: Tables) -> DataFrame:
-    return answers(t).select("query_id", *[F.round(c, 6).alias(c) for c in SHARES])
+    return answers(t).select("query_id", *[sql_round(c, 6).alias(c) for c in SHARES])
 
 
 @query("eval_f1", f"SELECT query_id, round(CASE WHEN citation_recall + citation_precision > 0 THEN 2 * citation_recall * citation_precision / (citation_recall + citation_precision) ELSE 0 END, 6) AS f1 FROM ({ANSWERS})")
 def eval_f1(t: Tables) -> DataFrame:
-    return answers(t).select("query_id", F.round(evaluation.f1(F.col("citation_recall"), F.col("citation_precision")), 6).alias("f1"))
+    return answers(t).select("query_id", sql_round(evaluation.f1(F.col("citation_recall"), F.col("citation_precision")), 6).alias("f1"))
 
 
 MEANS_SQL = ", ".join(f"round(coalesce(avg({c}), 0), 6) AS {c}" for c in SHARES)
 
 
 def answer_report(t: Tables) -> DataFrame:
-    return answers(t).agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in SHARES])
+    return answers(t).agg(*[sql_round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in SHARES])
 
 
 @query("harness_answer", f"WITH m AS (SELECT {MEANS_SQL} FROM ({ANSWERS})) SELECT *, round(CASE WHEN citation_recall + citation_precision > 0 THEN 2 * citation_recall * citation_precision / (citation_recall + citation_precision) ELSE 0 END, 6) AS f1 FROM m")
 def harness_answer(t: Tables) -> DataFrame:
-    return answer_report(t).withColumn("f1", F.round(evaluation.f1(F.col("citation_recall"), F.col("citation_precision")), 6))
+    return answer_report(t).withColumn("f1", sql_round(evaluation.f1(F.col("citation_recall"), F.col("citation_precision")), 6))
 
 
 @query("gate_answer", f"WITH m AS (SELECT {MEANS_SQL} FROM ({ANSWERS})), e AS (SELECT unnest([{', '.join(chr(123) + f'{chr(39)}metric{chr(39)}: {chr(39)}{c}{chr(39)}, {chr(39)}baseline{chr(39)}: 0.9::DOUBLE, {chr(39)}got{chr(39)}: {c}' + chr(125) for c in SHARES)}], recursive := true) FROM m) SELECT metric, baseline, got, format('{{}} fell from {{:.4f}} to {{:.4f}}', metric, baseline, got) AS message FROM e WHERE got < baseline - 0.02")

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import hashing
+from quarry.functions.numbers import sql_round
 
 from quarry.operators import answer, control, crawl, crowd, dedup, evaluation, graph, index, ordered, rank, serving, storage, telemetry, vectors
 from quarry.plans import platform  # noqa: F401
@@ -379,6 +380,20 @@ def test_crowd_bias_is_removed(spark):
     assert one.exceptAll(two).count() > 1000
 
 
+def test_rounding_is_that_of_sql(spark, tmp_path):
+    """Prices that aren't whole cents come near halves, where Spark's own rounding goes by the shortest decimal."""
+    rng = np.random.default_rng(2)
+    xs = [*np.round(rng.uniform(-100, 100, 20_000), 5).tolist(), *rng.uniform(0, 3e8, 20_000).tolist(), 0.285, 1.005, -0.00005, 1e300, -1e17, 4503599627370495.5, float("inf"), None]
+    spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, x double").select("i", "x", *[sql_round("x", n).alias(f"r{n}") for n in (2, 4, 6)]).coalesce(1).write.parquet(str(tmp_path / "r"))
+    table = f"'{tmp_path}/r/*.parquet'"
+    for n in (2, 4, 6):
+        assert duckdb.sql(f"SELECT x, r{n} FROM {table} WHERE round(x, {n}) IS DISTINCT FROM r{n}").fetchall() == []
+    spark.createDataFrame([(i, x) for i, x in enumerate(xs) if x is not None and 0 <= x < 1e9], "o_orderkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in QUERIES["cap_token_cost"](spark, str(tmp_path)).collect()) == sorted(duck.sql(ORACLE_SQL["cap_token_cost"]).fetchall())
+
+
 def test_telemetry_edges(spark):
     calls = spark.createDataFrame([("m", 2000.0, None, 1), ("m", 3000.0, "x", 2)], "method string, ms double, error string, seq long")
     assert telemetry.quantile(telemetry.histogram(calls), 0.5).first().x == 1000.0
