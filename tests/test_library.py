@@ -15,7 +15,7 @@ from quarry.functions import hashing
 from quarry.functions.numbers import sql_round
 
 from quarry.operators import answer, control, crawl, crowd, dedup, evaluation, graph, index, ordered, rank, serving, storage, telemetry, vectors
-from quarry.plans import platform  # noqa: F401
+from quarry.plans import platform, search, web  # noqa: F401
 from quarry.plans.registry import ORACLE_SQL, QUERIES
 from quarry.sources import formats
 from quarry.streaming import live
@@ -286,6 +286,40 @@ def test_sealed_index(spark, sf):
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,thing)]" in plan
 
 
+def test_lists_dealt_over_tasks_are_whole(spark, monkeypatch):
+    """Terms in most documents are cut into buckets and dealt; blocks that two tasks begin and end are put together. Keys that repeat are one document."""
+    monkeypatch.setattr(index, "SPAN", 100)
+    rng = random.Random(5)
+    rows = [(d * 3, " ".join(t for t, p in (("a", 0.99), ("b", 0.7), ("c", 0.1), (f"w{d % 50}", 1.0)) for _ in range(rng.randint(1, 3)) if rng.random() < p)) for d in range(4000)]
+    rows += [(30, "a a b new"), (30, "a"), (12_001, None), (12_002, ""), (None, "lost")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = index.seal(docs, ordered.new_path(spark, "test-index"), size=16)
+    posts = index.postings(docs.where("doc_id IS NOT NULL"))
+    whole = {}
+    for r in posts.collect():
+        whole.setdefault(r.term, []).append((r.doc_id, r.tf))
+    assert spark.read.parquet(f"{found.path}/seams").count() > 3
+    lists = {(r.term, r.block): r for r in found.lists.collect()}
+    assert len(lists) == found.lists.count() == sum(-(-len(p) // 16) for p in whole.values())
+    for term, listed in whole.items():
+        listed.sort()
+        for k in range(0, len(listed), 16):
+            r, part = lists[term, k // 16], listed[k : k + 16]
+            assert list(zip(r.docs, r.tfs, strict=True)) == part
+            assert r.gaps == [d - (listed[k + i - 1][0] if k + i else 0) for i, (d, _) in enumerate(part)]
+            assert (r.first_doc, r.last_doc, r.max_tf, r.cf, r.n) == (part[0][0], part[-1][0], max(n for _, n in part), sum(n for _, n in part), len(part))
+    assert {tuple(r) for r in found.dictionary.collect()} == {tuple(r) for r in index.dictionary(posts).collect()}
+    assert sorted((r.term, r.doc_id) for r in formats.decoded(found.lists).collect()) == sorted((r.term, r.doc_id) for r in posts.collect())
+    assert sorted(r.local for r in found.stored.collect()) == list(range(len(rows) - 1))
+    parts = sorted(formats.export_lists(found.lists, found.dictionary, found.stored.select("doc_id", F.lit("d").alias("name"), "length"), "dealt").collect(), key=lambda r: (r.part, r.key.encode(), r.place))
+    assert {t: p for t, _, _, p in formats.read_export(b"".join(bytes(r.data) for r in parts))["lists"]} == whole
+
+
+def test_queries_on_blocks_shuffle_nothing(spark, sf):
+    for name in ("ciff_postings", "ciff_gap_decode", "bitpack_width_stats", "groupvarint_size", "pfor_choose_width", "posting_blocks"):
+        assert "Exchange" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
+
+
 def test_pruned_searches_equal_the_plain_one(spark):
     rng = random.Random(3)
     for k in range(4):
